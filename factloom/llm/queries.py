@@ -57,6 +57,26 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import jaccard_classes
+
+    return jaccard_classes(table(spark, sf_dir, "documents"))
+
+
+def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str):
+    from .toxicity import fit, labelled_texts
+
+    return fit(labelled_texts(docs.where(remainder(4) != 2), table(spark, sf_dir, "labels")))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score_toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    found = score_toxicity(docs, toxicity_model(spark, docs, sf_dir))
+    return held_out(found, 4, 2).select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import bytes_within, prefix_token_counts, total_tokens
 
@@ -70,6 +90,8 @@ QUERIES = {
     "op4_quality_rules": op4_quality_rules,
     "op6_token_output": op6_token_output,
     "op7_decontamination": op7_decontamination,
+    "op8_jaccard_join": op8_jaccard_join,
+    "op9_toxicity": op9_toxicity,
     "op10_token_counts": op10_token_counts,
 }
 
