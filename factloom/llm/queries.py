@@ -27,6 +27,13 @@ def held_out(docs: DataFrame, n: int, fold: int) -> DataFrame:
     return docs.withColumn("held_out", F.coalesce(remainder(n) == fold, F.lit(False)))
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm_scoring import lm_scores
+
+    docs = table(spark, sf_dir, "documents").withColumn("train", remainder(7) != 2)
+    return held_out(lm_scores(docs), 7, 2).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language_id import fit, identify
 
@@ -86,6 +93,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_lm_scoring": op1_lm_scoring,
     "op3_language_id": op3_language_id,
     "op4_quality_rules": op4_quality_rules,
     "op6_token_output": op6_token_output,
