@@ -11,6 +11,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -190,6 +191,18 @@ def mark(batch: pa.RecordBatch, phrases: Phrases) -> pa.RecordBatch:
     )
 
 
+def phrase_blocks(benchmark: DataFrame, n: int, block_bytes: int, item_col: str = "item_id", item_text_col: str = "text") -> list[Broadcast]:
+    """The items in broadcasts of about `block_bytes` of text each, dealt by hash; one empty block for an empty benchmark."""
+    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text")).where("item is not null and text is not null")
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, -(-size // block_bytes))
+    out = []
+    for b in range(blocks):
+        rows = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b).collect()
+        out.append(benchmark.sparkSession.sparkContext.broadcast([(r["item"], r["text"]) for r in rows]))
+    return out
+
+
 def benchmark_hits(
     docs: DataFrame, benchmark: DataFrame, n: int = 10, block_bytes: int = 4 << 20, shard_bytes: int = 8 << 20,
     id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
@@ -204,23 +217,35 @@ def benchmark_hits(
     The phrases reach the tasks in blocks of about `block_bytes` of item text, as many as the benchmark needs: its size is summed first.
     Each block is one more pass over the shards.
     """
-    spark = docs.sparkSession
-    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text")).where("item is not null and text is not null")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // block_bytes))
+    sent = phrase_blocks(benchmark, n, block_bytes, item_col, item_text_col)
     empty = F.array().cast("array<struct<first:int,end:int>>").alias("spans"), F.array().cast("array<bigint>").alias("items")
     out = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *empty)
     schema = "doc_id long, text string, n_words long, n_hit long, spans array<struct<first:int,end:int>>, items array<bigint>"
-    for b in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b).collect()
-        sent = spark.sparkContext.broadcast([(r["item"], r["text"]) for r in rows])
-        last = b == blocks - 1
+    for b, block in enumerate(sent):
+        last = b == len(sent) - 1
 
-        def search(batches, sent=sent, last=last):
-            phrases = Phrases(sent.value, n)
+        def search(batches, block=block, last=last):
+            phrases = Phrases(block.value, n)
             for batch in pieces(batches, "text", shard_bytes):
                 found = mark(batch, phrases)
                 yield found.drop_columns(["text"]) if last else found
 
         out = out.select("doc_id", "text", "spans", "items").mapInArrow(search, schema.replace("text string, ", "") if last else schema)
     return out
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_bytes: int = 4 << 20, shard_bytes: int = 8 << 20, text_col: str = "text") -> DataFrame:
+    """The rows of `docs` in which no window of the benchmark occurs, all their columns as they are."""
+    for block in phrase_blocks(benchmark, n, block_bytes):
+
+        def keep(batches, block=block):
+            phrases = Phrases(block.value, n)
+            for batch in pieces(batches, text_col, shard_bytes):
+                flat, at = split_words(remap(batch.column(text_col), alnum_table()))
+                first, _ = phrases.occurrences(flat, at)
+                clean = np.ones(batch.num_rows, bool)
+                clean[row_of(at)[first]] = False
+                yield batch.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(keep, docs.schema)
+    return docs

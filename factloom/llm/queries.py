@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .license_scan import duckdb_sql
+
 TOKENIZER = "byte_bpe_50k.json"
 
 
@@ -34,6 +36,18 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held_out(lm_scores(docs), 7, 2).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def license_rows(docs: DataFrame) -> DataFrame:
+    """Documents with a place in a tree: source, thousand, fifty, id."""
+    part = lambda n: F.floor(F.col("doc_id") / n).cast("string")
+    return docs.select("doc_id", F.concat_ws("/", "source", part(1000), part(50), F.col("doc_id").cast("string")).alias("path"), "text")
+
+
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import license_scan
+
+    return license_scan(license_rows(table(spark, sf_dir, "documents")))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language_id import fit, identify
 
@@ -50,6 +64,24 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words")
 
 
+#: Target shares of the domains that the labels tell apart.
+MIXTURE = {"clean": 0.9, "low": 0.08, "toxic": 0.02}
+
+
+def domain_labels(labels: DataFrame) -> DataFrame:
+    """`doc_id, domain` of labelled documents."""
+    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "low").when((F.col("toxic") == 0) & (F.col("quality") == 1), "clean")
+    return labels.select("doc_id", domain.alias("domain"))
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mixing_rates
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    found = mixing_rates(docs, domain_labels(labels), MIXTURE)
+    return found.select("doc_id", "n_tokens", *[F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(MIXTURE)], "rate")
+
+
 def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_output import token_output
 
@@ -67,7 +99,7 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard_join import jaccard_classes
 
-    return jaccard_classes(table(spark, sf_dir, "documents"))
+    return jaccard_classes(table(spark, sf_dir, "documents")).drop("key")
 
 
 def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str):
@@ -94,8 +126,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
+    "op2_license_scan": op2_license_scan,
     "op3_language_id": op3_language_id,
     "op4_quality_rules": op4_quality_rules,
+    "op5_mixing": op5_mixing,
     "op6_token_output": op6_token_output,
     "op7_decontamination": op7_decontamination,
     "op8_jaccard_join": op8_jaccard_join,
@@ -103,4 +137,6 @@ QUERIES = {
     "op10_token_counts": op10_token_counts,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_license_scan": duckdb_sql("SELECT doc_id, concat_ws('/', source, (doc_id // 1000)::VARCHAR, (doc_id // 50)::VARCHAR, doc_id::VARCHAR) AS path, text FROM documents"),
+}

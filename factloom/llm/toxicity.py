@@ -191,3 +191,14 @@ def labelled_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """`doc_id, text, toxic` of labelled documents; of several labels of one id the larger holds."""
     one = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     return docs.select("doc_id", "text").join(one, "doc_id")
+
+
+def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows of `docs` that score under the threshold, all their columns as they are."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(batches):
+        for batch in pieces(batches, text_col):
+            yield batch.filter(pa.array(sent.value.scores(pc.fill_null(batch.column(text_col), "")) < threshold))
+
+    return docs.mapInArrow(keep, docs.schema)
