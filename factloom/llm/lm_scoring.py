@@ -209,7 +209,7 @@ class Automaton:
         return np.bincount(owner, weights=total, minlength=len(size))
 
 
-def lm_scores(docs: DataFrame, order: int = 2, mu: float = 8.0, block_bytes: int = 16 << 20, slice_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text", train_col: str = "train") -> DataFrame:
+def lm_scores(docs: DataFrame, order: int = 2, mu: float = 8.0, block_bytes: int = 8 << 20, slice_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text", train_col: str = "train") -> DataFrame:
     """One row per row of `docs`: `doc_id, n_tokens, n_known, train_tokens, base_score, score` (logarithms to base 10).
 
     The model learns from the rows whose `train_col` is true and scores all rows, whole texts. Tokens are words between ASCII white
@@ -231,11 +231,12 @@ def lm_scores(docs: DataFrame, order: int = 2, mu: float = 8.0, block_bytes: int
 
     def cut(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):  # one block in memory at a time
+                row = batch.slice(i, 1).to_pylist()[0]
                 for k, g in enumerate(Block(row, order).grams, 1):
                     ends = slice_bounds(g.keys, slices)
-                    out = [(k, i, row["block"], deltas(g.keys[a:b]), planes(g.counts[a:b].astype(np.uint32))) for i, (a, b) in enumerate(zip(ends[:-1], ends[1:])) if b > a]
-                    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate([pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()])], ["size", "slice", "block", "keys", "counts"])
+                    out = [(k, j, row["block"], deltas(g.keys[a:b]), planes(g.counts[a:b].astype(np.uint32))) for j, (a, b) in enumerate(zip(ends[:-1], ends[1:])) if b > a]
+                    yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate([pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()])], ["size", "slice", "block", "keys", "counts"])
 
     totals = stored(blocks.mapInArrow(cut, SLICES).groupBy("size", "slice").applyInArrow(add_up, TOTALS), "lm-totals")
     known = totals.where("block is null").agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "words", "once", "twice"))).first()
