@@ -1,6 +1,10 @@
-"""Registered queries of the memory engine and their SQL."""
+"""Registered queries of the memory engine and the DuckDB SQL that each agrees with."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from factloom.plans import recall_queries, write_queries
+
+_PARTS = [recall_queries, write_queries]
+
+QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
+ORACLES = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}

@@ -75,7 +75,6 @@ def locate(content: str, quote: str) -> tuple[int, int] | None:
     return len(content[: places[at]].encode()), len(content[: places[at + len(wanted) - 1] + 1].encode())
 
 
-@F.pandas_udf("byte_start int, byte_end int")
 def _located(content: pd.Series, quote: pd.Series) -> pd.DataFrame:
     found = [locate(c, q) for c, q in zip(content, quote)]
     return pd.DataFrame({"byte_start": pd.array([f and f[0] for f in found], "Int32"), "byte_end": pd.array([f and f[1] for f in found], "Int32")})
@@ -83,10 +82,12 @@ def _located(content: pd.Series, quote: pd.Series) -> pd.DataFrame:
 
 def with_spans(rows: DataFrame, content: str = "content", quote: str = "quote") -> DataFrame:
     """`byte_start, byte_end` of each row's quote. Exact matches stay in the JVM; only rows without one go through Python."""
-    exact = exact_span(F.col(content), F.col(quote))
-    rows = rows.withColumn("_exact", exact)
-    loose = F.when(F.col("_exact").isNull() & (F.trim(F.coalesce(quote, F.lit(""))) != ""), _located(F.col(content), F.col(quote)))
-    return rows.withColumn("_span", F.coalesce(F.expr("named_struct('byte_start', cast(_exact.byte_start as int), 'byte_end', cast(_exact.byte_end as int))").alias("e") if False else F.when(F.col("_exact").isNotNull(), F.struct(F.col("_exact.byte_start").cast("int").alias("byte_start"), F.col("_exact.byte_end").cast("int").alias("byte_end"))), loose)).select(*[c for c in rows.columns if c != "_exact"], F.col("_span.byte_start").alias("byte_start"), F.col("_span.byte_end").alias("byte_end"))
+    exact = exact_span(F.col(content), F.col(quote)).cast("struct<byte_start:int,byte_end:int>")
+    search = F.pandas_udf(_located, "byte_start int, byte_end int")
+    loose = F.when(F.trim(F.coalesce(quote, F.lit(""))) != "", search(F.col(content), F.col(quote)))
+    found = rows.withColumn("_exact", exact)
+    found = found.withColumn("_span", F.coalesce("_exact", F.when(F.col("_exact").isNull(), loose)))
+    return found.select(*rows.columns, "_span.byte_start", "_span.byte_end")
 
 
 def citation_window(content: Column, start: Column, end: Column, reach: int = CITATION_BYTES) -> Column:

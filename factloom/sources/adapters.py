@@ -58,7 +58,7 @@ def status_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = items.join(orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate"), "l_orderkey")
     return rows.selectExpr(
         "'p0' as scope", "'' as account", "'o:' || l_orderkey as subject_id", "'has_status' as predicate", "l_orderkey || ':' || l_linenumber || ':' || l_partkey as claim_id",
-        "l_returnflag || l_linestatus as object_value", "cast(l_shipdate as timestamp) as valid_from", "cast(o_orderdate as timestamp) + make_dt_interval(l_linenumber) as learned_at", "struct(l_linenumber, l_partkey) as arrival",
+        "l_returnflag || l_linestatus as object_value", "cast(l_shipdate as timestamp) as valid_from", "cast(o_orderdate as timestamp) + make_dt_interval(l_linenumber) as learned_at", "struct(l_linenumber, l_partkey, l_shipdate) as arrival",
     )
 
 
