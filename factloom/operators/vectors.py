@@ -109,7 +109,7 @@ def missing_vectors(messages: DataFrame, vectors: DataFrame) -> DataFrame:
 
 def build_page(messages: DataFrame, after: tuple[int, int], items: int = 64, most_bytes: int = 1 << 20) -> DataFrame:
     """The next messages to embed after a cursor (offset, ordinal): a bounded number and size."""
-    page = messages.where(F.struct("log_offset", "ordinal") > F.struct(F.lit(after[0]), F.lit(after[1]))).orderBy("log_offset", "ordinal").limit(items)
+    page = messages.where(F.struct(F.col("log_offset").cast("long"), F.col("ordinal").cast("int")) > F.struct(F.lit(after[0]).cast("long"), F.lit(after[1]).cast("int"))).orderBy("log_offset", "ordinal").limit(items)
     run = F.sum(F.octet_length("content")).over(Window.orderBy("log_offset", "ordinal").rowsBetween(Window.unboundedPreceding, 0))
     return page.withColumn("bytes", run).where(F.col("bytes") <= most_bytes)
 

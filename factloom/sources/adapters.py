@@ -57,7 +57,7 @@ def status_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     items, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
     rows = items.join(orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate"), "l_orderkey")
     return rows.selectExpr(
-        "'p0' as scope", "'' as account", "'o:' || l_orderkey as subject_id", "'has_status' as predicate", "l_orderkey || ':' || l_linenumber || ':' || l_partkey as claim_id",
+        "'p0' as scope", "'' as account", "'o:' || l_orderkey as subject_id", "'has_status' as predicate", "l_orderkey || ':' || l_linenumber || ':' || l_partkey || ':' || cast(l_shipdate as date) as claim_id",
         "l_returnflag || l_linestatus as object_value", "cast(l_shipdate as timestamp) as valid_from", "cast(o_orderdate as timestamp) + make_dt_interval(l_linenumber) as learned_at", "struct(l_linenumber, l_partkey, l_shipdate) as arrival",
     )
 
@@ -111,7 +111,7 @@ def audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ledger entries from events."""
     return table(spark, sf_dir, "events").selectExpr(
         "event_id as entry_id", "event_type as operation", "'u' || user_id as principal", "'p' || (user_id % 4) as project", "cast(greatest(floor(value), 0) as bigint) as magnitude",
-        "case when event_type = 'error' or event_id % 17 = 0 then 'refused' else 'allowed' end as outcome", "ts as occurred_at",
+        "case when event_type = 'error' or event_id % 17 = 0 then 'refused' else 'allowed' end as outcome", "cast(ts as timestamp) as occurred_at",
     )
 
 
@@ -141,7 +141,7 @@ SHAPES = {
         _fact_sql("customer", "lives_in", "'c:' || c_custkey", "'n:' || c_nationkey", "c_custkey", "one"), _fact_sql("supplier", "located_in", "'s:' || s_suppkey", "'n:' || s_nationkey", "s_suppkey", "one"),
         _fact_sql("nation", "part_of", "'n:' || n_nationkey", "'r:' || n_regionkey", "n_nationkey", "many"), _fact_sql("(SELECT DISTINCT l_suppkey, l_partkey FROM lineitem)", "created", "'s:' || l_suppkey", "'p:' || l_partkey", "l_partkey", "many"),
     ]),
-    "claims": "SELECT 'p0' AS scope, '' AS account, 'o:' || l_orderkey AS subject_id, 'has_status' AS predicate, l_orderkey || ':' || l_linenumber || ':' || l_partkey AS claim_id, l_returnflag || l_linestatus AS object_value, "
+    "claims": "SELECT 'p0' AS scope, '' AS account, 'o:' || l_orderkey AS subject_id, 'has_status' AS predicate, l_orderkey || ':' || l_linenumber || ':' || l_partkey || ':' || l_shipdate::DATE AS claim_id, l_returnflag || l_linestatus AS object_value, "
     "l_shipdate::TIMESTAMP AS valid_from, o_orderdate::TIMESTAMP + to_days(l_linenumber) AS learned_at, l_linenumber AS a1, l_partkey AS a2 FROM lineitem JOIN orders ON l_orderkey = o_orderkey",
     "messages": "SELECT 'p' || (conv_id % 3) AS scope, 'o' || conv_id AS source_id, 'u' || (conv_id % 11) AS data_subject_id, TIMESTAMP '2024-01-01 00:00:00' + to_hours(conv_id) AS occurred_at, turn::INT AS ordinal, role, coalesce(text, '') AS content, conv_id FROM conversations",
     "observations": "SELECT scope, source_id, data_subject_id, occurred_at, conv_id, count(*) AS messages, sum(length(content) + length(role))::BIGINT AS characters FROM messages GROUP BY ALL",
