@@ -7,7 +7,7 @@ block builds the part of the automaton that its texts can visit, so no task ever
 States are n-grams seen in training. An arc reads a word and carries its log-probability in the state; a state without an arc for a word
 fails to the state of its longest proper suffix at a cost. With `c` the training counts:
 
-*   root: `p(w) = (c(w) - D) / N`, and `p(unknown) = D * V / N`; `D = n1 / (n1 + 2 * n2)` from the words seen once and twice,
+*   root: `p(w) = (c(w) - D) / N`, and `p(unknown) = D * V / N`; `D = n1 / (n1 + 2 * max(n2, 1))` from the words seen once and twice,
     or `1 / (V + 1)` where none was seen once;
 *   other states h, with suffix h': `p(w | h) = (c(hw) + mu * p(w | h')) / (c(h) + mu)`, so the failure arc costs `mu / (c(h) + mu)`.
 
@@ -142,7 +142,7 @@ class Automaton:
     def __init__(self, block: Block, totals: list[np.ndarray], tokens: int, words: int, once: int, twice: int, mu: float):
         order, n_words = len(block.grams), block.n_words
         # Where no word was seen once, a little is kept for what was never seen.
-        discount = once / (once + 2 * twice) if once else 1 / (words + 1)
+        discount = once / (once + 2 * max(twice, 1)) if once else 1 / (words + 1)
         self.n_words, self.unknown = n_words, float(np.log10(discount * words / tokens)) if tokens else 0.0
         offset = np.cumsum([1] + [len(g.keys) for g in block.grams])
         self.fail, self.cost = np.zeros(offset[order - 1], np.int64), np.zeros(offset[order - 1])
