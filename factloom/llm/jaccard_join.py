@@ -11,7 +11,8 @@ inequality gives. Two steps come before it, since almost all sets are at distanc
 
 Within a region each pivot takes in the ball around it. Members of one ball are linked through their pivot and need no comparison. What
 stays for the next pivot is the rest, and of the ball only the boundary: members so far out that the triangle inequality leaves them a
-chance to be within reach of the rest. A region of over `most_sets` sets, or `most_shingles` shingles, is parted first: each set goes to
+chance to be within reach of the rest. When nothing is left, boundary members of different balls have not met yet: each that may still
+reach a set outside its balls becomes a pivot too, except those of the largest class, as any link between classes has another end. A region of over `most_sets` sets, or `most_shingles` shingles, is parted first: each set goes to
 its nearest pivot's Voronoi region and, as a replica, to any other whose window it lies in; parts are parted again until they are small
 or no longer shrink, and parts that don't shrink are joined block by block.
 """
@@ -138,21 +139,41 @@ def linked_classes(sets: list[np.ndarray], percent: int) -> np.ndarray:
 
     region, reach = Region(sets), 1 - percent / 100
     active, rest = np.ones(n, bool), np.ones(n, bool)
-    for p in region.central():
-        if not rest[p]:
-            continue
+    spare = np.full(n, -np.inf)  # how much further than the reach a set is, at least, from all that share no ball with it
+
+    def take(p: int, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Link p with those of `of` in its ball; distances to all sets, and the ball."""
         inter = region.shared(p)
         distance = 1 - inter / (region.size + region.size[p] - inter)
-        ball = active & within(region.size, region.size[p], inter, percent)
+        near = within(region.size, region.size[p], inter, percent)
+        ball = of & near
         for i in np.flatnonzero(ball):
             a, b = root(i), root(p)
             parent[max(a, b)] = min(a, b)
+        # Sets out of the ball are `gap` from p or more, so from a member at distance d they are gap - d or more.
+        gap = distance[~near].min(initial=np.inf)
+        spare[near] = np.maximum(spare[near], gap - distance[near] - reach)
+        spare[p] = np.inf
+        return distance, ball
+
+    order = region.central()
+    for p in order:
+        if not rest[p]:
+            continue
+        distance, ball = take(p, active)
         rest &= ~ball
         active[p] = rest[p] = False
         if not rest.any():
             break
         # Of what pivots have taken in, only the boundary can still reach the rest.
         active &= rest | ~ball | (distance >= distance[rest].min() - reach - 1e-9)
+    label = np.array([root(i) for i in range(n)])
+    largest = label == np.bincount(label).argmax() if n else label
+    every = np.ones(n, bool)
+    for p in order:
+        # A set with room to spare reaches only members of its pivots' balls, with which it is linked.
+        if not largest[p] and spare[p] <= 1e-9:
+            take(p, every)
     return np.array([root(i) for i in range(n)])
 
 

@@ -286,6 +286,31 @@ def test_linked_classes_of_random_sets_equal_all_pairs():
         assert len(set(zip(got.tolist(), parent))) == len(set(got.tolist())) == len(set(parent))
 
 
+def test_links_between_members_of_different_balls_are_found():
+    fresh = iter(range(10**6))
+    own = lambda n: [next(fresh) for _ in range(n)]
+    core, a, b = own(80), own(10), own(10)
+    p1, p2 = core + a, core + b
+    # Only x and y link the two clusters, and neither is a pivot: J(x, y) = 80/94, J(p1, y) = J(p2, x) = 80/97, J(p1, p2) = 80/100.
+    sets = [p1, p2, core + a[:2] + own(5), core + b[:2] + own(5)] + [p1 + own(1) for _ in range(6)] + [p2 + own(1) for _ in range(6)]
+    sets = [np.unique(s) for s in sets]
+    assert len(set(jaccard_join.linked_classes(sets, 85).tolist())) == 1
+    assert len(set(jaccard_join.linked_classes([s for i, s in enumerate(sets) if i != 3], 85).tolist())) == 2
+    rng = np.random.default_rng(6)
+    for _ in range(100):  # clusters whose middles lie apart by about the reach
+        core, sets = own(60), []
+        for _ in range(5):
+            middle = core + own(int(rng.integers(3, 8)))
+            sets += [np.unique([w for w in middle if rng.random() > 0.04] + own(int(rng.integers(0, 4)))) for _ in range(8)]
+        got, want = jaccard_join.linked_classes(sets, 85), np.arange(len(sets))
+        for a in range(len(sets)):
+            for b in range(a):
+                i = len(np.intersect1d(sets[a], sets[b]))
+                if 100 * i >= 85 * (len(sets[a]) + len(sets[b]) - i):
+                    want[want == want[a]] = want[b]
+        assert len(set(zip(got.tolist(), want.tolist()))) == len(set(got.tolist())) == len(set(want.tolist()))
+
+
 def test_toxicity_on_held_out_documents(spark, docs, empty):
     sf = "/root/testdata/sf0.01"
     found = q.op9_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").collect()
