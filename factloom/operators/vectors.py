@@ -69,23 +69,53 @@ def hash_codes(size: int, bits: int, tables: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).standard_normal((tables, bits, size))
 
 
-def approximate_topk(vectors: DataFrame, queries: DataFrame, k: int, size: int, bits: int = 6, tables: int = 12, seed: int = 7) -> DataFrame:
-    """Candidates that share a hyperplane code in some table, ranked by their exact cosine."""
-    planes = hash_codes(size, bits, tables, seed)
+def approximate_topk(vectors: DataFrame, queries: DataFrame, k: int, size: int, bits: int = 6, tables: int = 12, seed: int = 7, probes: int = 7) -> DataFrame:
+    """Candidates in the `probes` hyperplane codes nearest to a query in some table, ranked by their exact cosine.
 
-    def code(batches):
-        for batch in batches:
-            if batch.num_rows:
-                m = np.stack(batch.column("embedding").to_numpy(zero_copy_only=False)).astype(np.float64)
-                signs = np.einsum("tbs,ns->ntb", planes, m) > 0
-                codes = signs @ (1 << np.arange(bits)) + np.arange(tables) * (1 << bits)
-                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("embedding"), pa.array(list(codes.astype(np.int32)), pa.list_(pa.int32()))], ["id", "embedding", "codes"])
+    The nearest codes are the query's own and then those that flip the planes it lies closest to. Each code's items meet its queries in
+    one group, salted by item, of which k a query leave.
+    """
+    planes = hash_codes(size, bits, tables, seed)
+    masks = np.arange(1 << bits)
+    flipped = (masks[:, None] >> np.arange(bits) & 1).astype(np.float64)
+
+    def code(most: int):
+        def run(batches):
+            for batch in batches:
+                if batch.num_rows:
+                    m = np.stack(batch.column("embedding").to_numpy(zero_copy_only=False)).astype(np.float64)
+                    margins = np.einsum("tbs,ns->ntb", planes, m)
+                    own = (margins > 0) @ (1 << np.arange(bits))
+                    nearest = np.argsort((margins**2) @ flipped.T, axis=2, kind="stable")[:, :, :most] if most > 1 else np.zeros((*own.shape, 1), np.int64)
+                    codes = (own[:, :, None] ^ nearest) + (np.arange(tables) * (1 << bits))[:, None]
+                    yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("embedding"), pa.array(list(codes.reshape(len(m), -1).astype(np.int32)), pa.list_(pa.int32()))], ["id", "embedding", "codes"])
+
+        return run
+
+    def search(asked: pa.Table, items: pa.Table) -> pa.Table:
+        unit = []
+        for table in (asked, items) if asked.num_rows and items.num_rows else ():
+            m = np.stack(table.column("embedding").to_numpy()).astype(np.float64)
+            unit.append(m / np.linalg.norm(m, axis=1, keepdims=True))
+        out = [[], [], []]
+        if unit:
+            query, item = asked.column("id").to_numpy(), items.column("id").to_numpy()
+            for start in range(0, len(query), 1024):
+                sims = np.clip(unit[0][start : start + 1024] @ unit[1].T, -1, 1)
+                order = np.lexsort((np.broadcast_to(item, sims.shape), -np.round(sims, 9)), axis=1)[:, :k]
+                for place, column in zip(out, (np.repeat(query[start : start + 1024], order.shape[1]), item[order].ravel(), np.take_along_axis(sims, order, 1).ravel())):
+                    place.append(column)
+        columns = [np.concatenate(x) if x else np.zeros(0) for x in out]
+        return pa.table([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], ["query_id", "item_id", "similarity"])
 
     schema = "id long, embedding array<float>, codes array<int>"
-    left = queries.selectExpr("cast(query_id as long) as id", "embedding").mapInArrow(code, schema).select(F.col("id").alias("query_id"), F.col("embedding").alias("q"), F.explode("codes").alias("code"))
-    right = vectors.selectExpr("cast(item_id as long) as id", "embedding").mapInArrow(code, schema).select(F.col("id").alias("item_id"), "embedding", F.explode("codes").alias("code"))
-    pairs = left.join(right, "code").groupBy("query_id", "item_id").agg(F.first("q").alias("q"), F.first("embedding").alias("embedding"))
-    ranked = pairs.select("query_id", "item_id", cosine(F.col("q"), F.col("embedding")).alias("similarity"))
+    salts = 4 + vectors.count() // (4096 << bits)
+    left = queries.selectExpr("cast(query_id as long) as id", "embedding").mapInArrow(code(probes), schema).select("id", "embedding", F.explode("codes").alias("code"))
+    left = left.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    right = vectors.selectExpr("cast(item_id as long) as id", "embedding").mapInArrow(code(1), schema).select("id", "embedding", F.explode("codes").alias("code"))
+    right = right.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
+    near = left.groupBy("code", "salt").cogroup(right.groupBy("code", "salt")).applyInArrow(search, "query_id long, item_id long, similarity double")
+    ranked = near.groupBy("query_id", "item_id").agg(F.max("similarity").alias("similarity"))
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("similarity", 9)), "item_id")
     return ranked.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
 

@@ -3,10 +3,12 @@
 import itertools
 import random
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from factloom.functions import temporal
-from factloom.operators import community, compaction, formation, governance, ledger, log, recall
+from factloom.operators import community, compaction, formation, governance, ledger, log, recall, vectors
 from factloom.plans.session import stored
 
 
@@ -107,6 +109,24 @@ def test_rollup_leaves_the_newest_turns_and_closes_gaps(spark):
     assert got == [(0, 2, 3), (5, 8, 4)]
 
 
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01", "sf0.1"])
+def test_approximate_neighbours_reach_the_recall(spark, size):
+    items = spark.read.parquet(f"/root/testdata/{size}/embeddings.parquet").selectExpr("vec_id as item_id", "embedding")
+    rows = items.orderBy("item_id").collect()
+    ids, m = np.array([r.item_id for r in rows]), np.array([r.embedding for r in rows], np.float64)
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    asked = items.where("item_id % 100 = 0").withColumnRenamed("item_id", "query_id")
+    got = vectors.approximate_topk(items, asked, 10, m.shape[1]).collect()
+    hits, n = 0, 0
+    for q in np.flatnonzero(ids % 100 == 0):
+        sims = m @ m[q]
+        found = {r.item_id: r.similarity for r in got if r.query_id == ids[q]}
+        assert len(found) == 10 and all(abs(sims[np.searchsorted(ids, i)] - x) < 1e-9 for i, x in found.items())
+        hits += len(found.keys() & set(ids[np.lexsort((ids, -np.round(sims, 9)))[:10]].tolist()))
+        n += 10
+    assert hits >= 0.9 * n
+
+
 def test_plans_have_no_nested_loops(spark, sf):
     from factloom import catalog
 
