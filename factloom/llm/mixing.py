@@ -6,6 +6,9 @@ least squares over nonnegative rates by projected gradient. With A the domains x
 inverse token counts, a step is `r <- max(0, r - W A' B (A r - T))` with `B = (A W A')^-1`; that metric makes a step of size one a
 safe one, and a document's step is its posteriors times a vector of one number a domain. A round is one aggregation over the documents,
 and rates follow from the rounds' vectors, so nothing but the domains' totals leaves the executors.
+
+Where one domain is to stay whole, documents that are most likely of it keep rate 1 and all rates stay within [0, 1]: the others are
+thinned until each domain over its share is at its share of what is taken. Domains short of their share stay short.
 """
 
 from __future__ import annotations
@@ -121,13 +124,22 @@ def solve(matrix: list[list[float]], right: list[float]) -> list[float]:
     return out
 
 
-def rate_of(posteriors: Column, steps: list[list[float]]) -> Column:
-    """A document's rate after some rounds: from one copy, down each round's vector, never below zero."""
+def held_whole(posteriors: Column, whole: int) -> Column:
+    """Whether no domain is likelier than `whole`."""
+    return posteriors[whole] >= F.array_max(posteriors)
+
+
+def rate_of(posteriors: Column, steps: list[list[float]], whole: int | None = None) -> Column:
+    """A document's rate after some rounds: from one copy, down each round's vector, never below zero; with a domain `whole` never above
+    one, and one for its documents."""
     if not steps:
         return F.lit(1.0)
     rounds = F.array(*[F.array(*[F.lit(float(x)) for x in g]) for g in steps])
     down = lambda g: F.aggregate(F.zip_with(posteriors, g, lambda p, x: p * x), F.lit(0.0), lambda a, x: a + x)
-    return F.aggregate(rounds, F.lit(1.0), lambda r, g: F.greatest(F.lit(0.0), r - down(g)))
+    if whole is None:
+        return F.aggregate(rounds, F.lit(1.0), lambda r, g: F.greatest(F.lit(0.0), r - down(g)))
+    thinned = F.aggregate(rounds, F.lit(1.0), lambda r, g: F.least(F.lit(1.0), F.greatest(F.lit(0.0), r - down(g))))
+    return F.when(held_whole(posteriors, whole), 1.0).otherwise(thinned)
 
 
 def fit_rates(measured: DataFrame, targets: list[float], most_rounds: int = 40, tolerance: float = 1e-4) -> list[list[float]]:
@@ -146,6 +158,62 @@ def fit_rates(measured: DataFrame, targets: list[float], most_rounds: int = 40,
     return steps
 
 
+def fit_thinning(measured: DataFrame, share: list[float], whole: int, most_rounds: int = 40, tolerance: float = 1e-4) -> list[list[float]]:
+    """One round's vector for `measured` (n_tokens, p) that thins the domains over their `share`, beside documents of `whole` at rate one.
+
+    A domain's excess is its taken tokens less its share's ratio to those of `whole`, so the total falls with the mass of `whole` that
+    thinned documents held. Of all rates without an excess, those nearest to one (squares weighed by tokens) are `1 - q v` cut to [0, 1],
+    with q a document's part in the excesses and one v >= 0 a domain; v is found by Newton steps on the dual. Where documents of `whole`
+    alone hold more of a domain than its share, its excess stays and the steps end when they change nothing.
+    """
+    others = [j for j in range(len(share)) if j != whole]
+    ratio = {j: share[j] / share[whole] for j in others}
+    m = len(others)
+    t, p = F.col("n_tokens").cast("double"), F.col("p")
+    q = [p[j] - ratio[j] * p[whole] for j in others]
+    free = F.when(held_whole(p, whole), 0.0).otherwise(t)
+    total = lambda x: F.coalesce(F.sum(x), F.lit(0.0))
+    dot = lambda v: sum((x * F.lit(float(c)) for x, c in zip(q, v)), F.lit(0.0))
+    cells = [(a, b) for a in range(m) for b in range(m)]
+
+    def at(points: list[list[float]]) -> list[tuple[float, float, list[float], list[float]]]:
+        """Of each v: the dual's value, tokens taken, excesses and curvature; all in one aggregation."""
+        asked = []
+        for v in points:
+            s = dot(v)
+            rate = F.when(held_whole(p, whole), 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - s)))
+            inner = F.when((1 - s > 0) & (1 - s <= 1), free).otherwise(0.0)
+            asked += [total(-t * ((rate - 1) * (rate - 1) / 2 + s * rate)), total(t * rate), *[total(t * rate * x) for x in q], *[total(inner * q[a] * q[b]) for a, b in cells]]
+        got = list(measured.agg(*asked).first())
+        size = 2 + m + m * m
+        parts = [got[i : i + size] for i in range(0, len(got), size)]
+        return [(x[0], x[1], x[2 : 2 + m], x[2 + m :]) for x in parts]
+
+    v = [0.0] * m
+    here = at([v])[0]
+    full = here[3]
+    for _ in range(most_rounds):
+        _, taken, excess, curve = here
+        # A domain at v = 0 that is short has nothing to thin.
+        moved = [a for a in range(m) if v[a] > 0 or excess[a] > 0]
+        if all(abs(excess[a]) <= tolerance * taken for a in moved):
+            break
+        step = solve([[curve[a * m + b] + 1e-3 * full[a * m + b] for b in moved] for a in moved], [excess[a] for a in moved])
+        points = [[max(0.0, v[a] + share_of * step[moved.index(a)]) if a in moved else v[a] for a in range(m)] for share_of in (1.0, 0.5, 0.2, 0.05, 0.01, 0.001)]
+        found = at(points)
+        best = min(range(len(points)), key=lambda i: found[i][0])
+        if found[best][0] >= here[0] or max(abs(a - b) for a, b in zip(found[best][2], excess)) <= 1e-3 * tolerance * taken:
+            break
+        v, here = points[best], found[best]
+    if not any(v):
+        return []
+    y = [0.0] * len(share)
+    for j, x in zip(others, v):
+        y[j] = x
+        y[whole] -= ratio[j] * x
+    return [y]
+
+
 def measure_domains(docs: DataFrame, model: DomainModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`doc_id, n_tokens, p` of every row: words and posteriors."""
     text = F.col(text_col)
@@ -153,17 +221,10 @@ def measure_domains(docs: DataFrame, model: DomainModel, id_col: str = "doc_id",
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), both.alias("x")).select("doc_id", "x.n_tokens", "x.p")
 
 
-def targets_for(measured: DataFrame, weights: Mapping[str, float], domains: list[str], total: float | None, whole: str | None = None) -> list[float]:
-    """Token targets: shares of `total`, or of the most that can be had without taking more of a domain than there is.
-
-    With a domain `whole`, the total is the one at which that domain is taken once, and domains that are short of their share stay short,
-    so that nothing is repeated.
-    """
+def targets_for(measured: DataFrame, weights: Mapping[str, float], domains: list[str], total: float | None) -> list[float]:
+    """Token targets: shares of `total`, or of the most that can be had without taking more of a domain than there is."""
     have = measured.agg(*[F.coalesce(F.sum(F.col("n_tokens") * F.col("p")[i]), F.lit(0.0)) for i in range(len(domains))]).first()
     share = [weights.get(d, 0.0) / sum(weights.values()) for d in domains]
-    if whole is not None:
-        i = domains.index(whole)
-        return [min(h, s * have[i] / share[i]) for h, s in zip(have, share)]
     if total is None:
         total = min([h / s for h, s in zip(have, share) if s > 0], default=0.0)
     return [s * total for s in share]
@@ -186,13 +247,20 @@ def mixing_rates(docs: DataFrame, labelled: DataFrame, weights: Mapping[str, flo
 
 
 def mixed_documents(docs: DataFrame, labelled: DataFrame, weights: Mapping[str, float], total: float | None = None, whole: str | None = None, **options) -> DataFrame:
-    """`docs` with each row taken as often as its rate says: the whole part, and once more if a hash of the row is under the rest."""
+    """`docs` with each row taken as often as its rate says: the whole part, and once more if a hash of the row is under the rest.
+
+    With a domain `whole`, its documents are all taken once, others once or not at all, and `total` plays no part.
+    """
     domains = list(weights)
     model = fit_domains(docs, labelled, domains, **options)
     measured = stored(measure_domains(docs, model), "mixing")
-    steps = fit_rates(measured, targets_for(measured, weights, domains, total, whole))
+    kept = None if whole is None else domains.index(whole)
+    if kept is None:
+        steps = fit_rates(measured, targets_for(measured, weights, domains, total))
+    else:
+        steps = fit_thinning(measured, [weights[d] / sum(weights.values()) for d in domains], kept)
     text = F.col("text")
-    rate = let(word_array(text), lambda w: let(model.posteriors(text, w), lambda p: rate_of(p, steps)))
+    rate = let(word_array(text), lambda w: let(model.posteriors(text, w), lambda p: rate_of(p, steps, kept)))
     # A rate within the fit's tolerance of a whole number is that number.
     near = let(rate, lambda r: F.when(F.abs(r - F.round(r)) < 1e-3, F.round(r)).otherwise(r))
     chance = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)

@@ -164,6 +164,31 @@ def test_mixing_rates_meet_targets_and_equal_a_dense_solution(spark):
         assert np.allclose(x, r, atol=1e-6)
 
 
+def test_mixing_thins_what_is_over_its_share_and_repeats_nothing(spark):
+    sf, weights = "/root/testdata/sf0.01", {"clean": 0.96, "low": 0.03, "toxic": 0.01}
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), q.domain_labels(spark.read.parquet(f"{sf}/labels.parquet"))
+    model = mixing.fit_domains(docs, labels, list(weights))
+    text = F.col("text")
+    rows = docs.select("doc_id", F.size(mixing.word_array(text)).alias("n"), model.posteriors(text, mixing.word_array(text)).alias("p"), (F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)).alias("chance")).collect()
+    n, p = np.array([r.n for r in rows]), np.array([r.p for r in rows])
+    whole = p[:, 0] >= p.max(axis=1)
+    have = n @ p
+    over = [j for j in (1, 2) if have[j] > have[0] * weights[list(weights)[j]] / 0.96]
+    assert 1 in over and not whole.all()  # else nothing is tried
+    # Rates nearest to one without an excess, by many small dense steps.
+    g = np.array([n * (p[:, j] - p[:, 0] * weights[list(weights)[j]] / 0.96) for j in over])
+    b = np.linalg.inv((g[:, ~whole] / np.maximum(n[~whole], 1)) @ g[:, ~whole].T)
+    r, v = np.ones(len(n)), np.zeros(len(over))
+    for _ in range(4000):
+        v = np.maximum(0, v + 0.5 * (b @ (g @ r)))
+        r = np.where(whole, 1.0, np.clip(1 - (g / np.maximum(n, 1)).T @ v, 0, 1))
+    assert (np.abs(g @ r) < 1e-3 * (n * r).sum()).all()  # the shares can be met
+    got = Counter(x.doc_id for x in mixing.mixed_documents(docs, labels, weights, whole="clean").collect())
+    assert max(got.values()) == 1 and all(got[x.doc_id] for x, w in zip(rows, whole) if w) and len(got) < len(rows)
+    wrong = [x for x, rate in zip(rows, r) if (x.chance < rate) != (x.doc_id in got) and abs(x.chance - rate) > 0.02]
+    assert not wrong
+
+
 def test_mixing_without_labels_rows_or_words(spark, docs, empty):
     none = spark.createDataFrame([], "doc_id long, domain string")
     rows = mixing.mixing_rates(docs, none, {"a": 0.5, "b": 0.5}, total=100.0).collect()
