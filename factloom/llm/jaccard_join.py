@@ -1,31 +1,38 @@
 """Exact Jaccard join of word-shingle sets, as connected classes.
 
-Jaccard distance is a metric, and the join works as a metric-space join: pivots, balls around them, and windows that the triangle
-inequality gives. Two steps come before it, since almost all sets are at distance one from any pivot and no cell of theirs would part:
+Jaccard distance is a metric, and the join works as a recursive metric-space join: pivots, the Voronoi regions around them, and windows
+that the triangle inequality gives. Almost all sets of a corpus are at distance one from any pivot, so two exact steps come first:
 
 1.  Equal sets are one set.
-2.  Cells. A set's shingles are dealt to `m` slots by their hash. Linked sets differ in at most `k` shingles, so with `m > k` slots
-    some slot has the same shingles in both; sets that share no such cell cannot be linked. `m` and `k` follow from the size class. Sets
-    that share cells, directly or through others, form a region; regions are small, for a cell holds several shingles and a passage that
-    many texts share fills none of them alone.
-
-Within a region each pivot takes in the ball around it. Members of one ball are linked through their pivot and need no comparison. What
-stays for the next pivot is the rest, and of the ball only the boundary: members so far out that the triangle inequality leaves them a
-chance to be within reach of the rest. When nothing is left, boundary members of different balls have not met yet: each that may still
-reach a set outside its balls becomes a pivot too, except those of the largest class, as any link between classes has another end. A region of over `most_sets` sets, or `most_shingles` shingles, is parted first: each set goes to
-its nearest pivot's Voronoi region and, as a replica, to any other whose window it lies in; parts are parted again until they are small
-or no longer shrink, and parts that don't shrink are joined block by block.
+2.  Cells. A set's shingles are dealt to `m` slots by their hash. If linked sets can differ in at most `k` shingles, at most `k` slots
+    differ, so of any `k + 1` slots that both put first one is the same in both: each set names the `k + 1` fullest. Sets that share no
+    cell can't be linked; those that do, directly or through others, form a region.
+
+A region of up to `most_sets` sets is joined in one task: each pivot takes in the ball around it. Members of one ball are linked through
+their pivot and need no comparison. What stays for the next pivot is the rest, and of the ball only the boundary: members so far out
+that the triangle inequality leaves them a chance to be within reach of the rest. When nothing is left, boundary members of different
+balls have not met yet: each that may still reach a set outside its balls becomes a pivot too, except those of the largest class, as any
+link between classes has another end.
+
+A larger region is parted, its sets dealt over tasks. Pivots far from each other are drawn from it. The Voronoi region of a pivot holds
+the sets within `2 * reach` of it, replicates of the boundary come in by the window of one reach more, and what is in no region stays
+together. In a pivot's region a set is held as its difference from the pivot. Sets in the pivot's ball are one class already, so a pair
+still to be found has an end outside of it, and by the triangle inequality it shares over half of the inner set's difference; sets in no
+region share most of all they have. Pairs that share none of the rarest elements that this leaves are out. What still hangs together by
+the elements left are regions again: joined in one task where they are small, else element by element, and by those elements that very
+many sets share parted again. After `rounds` rounds regions that are still large are joined block by block.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import let, stored
+from .shared import stored
 from .textarrow import coded, hashed, lower_table, mixed, pieces, remap, row_of, split_words, windows
 
 
@@ -37,11 +44,9 @@ def size_classes(largest: int) -> np.ndarray:
     return np.array(out)
 
 
-def slots_of(last: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """For classes whose largest size is `last`: slots, and how many of them may be empty before empty ones count as cells too."""
-    k = (100 - percent) * 2 * last // (100 + percent)
-    spare = k * 6 // 100 + 1
-    return k + 1 + spare, spare
+def most_apart(size: np.ndarray, other: np.ndarray, percent: int) -> np.ndarray:
+    """In how many shingles linked sets of these sizes may differ."""
+    return (100 - percent) * (size + other) // (100 + percent)
 
 
 def shingle_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -66,12 +71,21 @@ def sums(values: np.ndarray, group: np.ndarray, n: int) -> np.ndarray:
         return low + (high << np.uint64(32))
 
 
-def cells(sets: np.ndarray, first: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, cell name) of every set. A set takes part in its own size class and, where a linked larger set may be in it, in the next."""
+def set_names(sets: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A 64-bit name of each set; equal sets have equal names."""
+    return mixed(sums(mixed(sets), row_of(first), len(first) - 1) + np.diff(first).astype(np.uint64))
+
+
+def cells(sets: np.ndarray, first: np.ndarray, percent: int, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(row, cell name) of every set. A set takes part in its own size class and, where a linked larger set may be in it, in the next.
+
+    A class has half as many slots again as linked sets need. Each set names its fullest ones, as many as it needs: of the slots that two
+    linked sets have in common, the fullest is among those of both. Full slots say more, so fewer sets meet that have little in common.
+    """
     size = np.diff(first)
     starts = size_classes(int(size.max(initial=1)))
     last = starts[1:] - 1
-    slots, spare = slots_of(last, percent)
+    slots = -(-3 * (most_apart(last, last, percent) + 1) // 2)
     own = np.searchsorted(starts, size, side="right") - 1
     rows, names = [], []
     for step in (0, 1):
@@ -81,17 +95,19 @@ def cells(sets: np.ndarray, first: np.ndarray, percent: int) -> tuple[np.ndarray
             use &= 100 * size >= percent * starts[kind]
         chosen = np.flatnonzero(use)
         m = slots[kind[chosen]]
+        needed = most_apart(size[chosen], np.minimum(last[kind[chosen]], 100 * size[chosen] // percent), percent) + 1
         base = np.cumsum(m) - m
         member = np.repeat(use, size)
         rank = np.repeat(np.arange(len(chosen)), size[chosen])
-        value = mixed(sets[member])
+        value = mixed(sets[member] + np.uint64(salt))
         slot = base[rank] + (value % m[rank].astype(np.uint64)).astype(np.int64)
         total, count = sums(mixed(value), slot, int(m.sum())), np.bincount(slot, minlength=int(m.sum()))
         owner = np.repeat(np.arange(len(chosen)), m)
-        inner = (np.arange(len(owner)) - base[owner]).astype(np.uint64)
-        tag = mixed(inner * np.uint64(4096) + kind[chosen][owner].astype(np.uint64))
-        empty = np.bincount(owner, weights=count == 0, minlength=len(chosen))
-        keep = (count > 0) | (empty > spare[kind[chosen]])[owner]
+        inner = np.arange(len(owner)) - base[owner]
+        tag = mixed(inner.astype(np.uint64) * np.uint64(4096) + kind[chosen][owner].astype(np.uint64))
+        # The fullest come last; owners keep their places, as each has all its slots.
+        by = np.lexsort((inner, count, owner))
+        keep = by[inner >= (m - needed)[owner]]
         rows.append(chosen[owner[keep]])
         names.append(mixed(total[keep] ^ tag[keep]))
     return np.concatenate(rows), np.concatenate(names)
@@ -177,65 +193,156 @@ def linked_classes(sets: list[np.ndarray], percent: int) -> np.ndarray:
     return np.array([root(i) for i in range(n)])
 
 
-def components(edges: DataFrame) -> DataFrame:
+def lower_ends(edges: DataFrame) -> DataFrame:
+    """`a, ends`: the distinct lower nodes that each node is connected with, ascending."""
+    return edges.groupBy("a").agg(F.array_sort(F.collect_set("b")).alias("ends"))
+
+
+def handed_down(ends: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect the same nodes: each node keeps its least end, and its other ends are connected with that one."""
+    kept = F.array(F.struct("a", F.col("ends")[0].alias("b")))
+    others = F.transform(F.slice("ends", F.lit(2), F.size("ends")), lambda x: F.struct(x.alias("a"), F.col("ends")[0].alias("b")))
+    return ends.select(F.inline(F.concat(kept, others)))
+
+
+def components(edges: DataFrame, rounds: int = 3) -> DataFrame:
     """`node, label` of all ends of `edges` (a, b): the smallest node that each reaches.
 
-    Each round gives a node the smallest label around it and then that label's own label, so rounds are few; each is written to the
-    shared folder.
+    Nodes hand their edges down until each has one, to a lower node: then the edges are trees, and each node's end is replaced by that
+    end's own, which halves the way to the root each time. What is read again is written to the shared folder. A node's ends are no more
+    than it has edges to lower nodes, however many higher ones there are.
     """
-    edges = stored(edges.select("a", "b").distinct(), "edges")  # read twice from here on, made once
-    both = edges.union(edges.select(F.col("b"), F.col("a")))
-    labels = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).select(F.col("a").alias("node"), "label"), "labels")
+    ends = lower_ends(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
     while True:
-        around = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        step = labels.join(around, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("mid"))
-        jump = labels.select(F.col("node").alias("mid"), F.col("label").alias("far"))
-        fresh = stored(step.join(jump, "mid").select("node", "old", F.least("mid", "far").alias("label")), "labels")
-        changed = fresh.where(F.col("old") != F.col("label")).limit(1).count()
-        labels = fresh.select("node", "label")
-        if not changed:
-            return labels
+        for _ in range(rounds):
+            ends = lower_ends(handed_down(ends))
+        ends = stored(ends, "edges")
+        if not ends.where(F.size("ends") > 1).limit(1).count():
+            break
+    trees = ends.select(F.col("a").alias("node"), F.col("ends")[0].alias("label"))
+    while True:
+        up = trees.select(F.col("node").alias("label"), F.col("label").alias("above"))
+        step = stored(trees.join(up, "label", "left").select("node", F.coalesce("above", "label").alias("label"), F.col("above").isNotNull().alias("moved")), "labels")
+        trees = step.select("node", "label")
+        if not step.where("moved").limit(1).count():
+            break
+    return trees.union(trees.select(F.col("label").alias("node"), "label").distinct())
 
 
 LINKS = "a long, b long"
 
 
+def _split(table: pa.Table) -> list[np.ndarray]:
+    """The arrays of a table's list column `items`, each ascending and free of repeats."""
+    items = table.column("items").combine_chunks()
+    start, flat = items.offsets.to_numpy(), items.values.to_numpy()
+    return [flat[a:b] for a, b in zip(start[:-1], start[1:])]
+
+
 def join_regions(members: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) that connect all linked sets of each region; members: `region, name, items`."""
 
     def join(table: pa.Table) -> pa.Table:
-        names = table.column("name").to_numpy()
-        names, at = np.unique(names, return_index=True)
-        items = table.column("items").combine_chunks().take(pa.array(at))
-        start = items.offsets.to_numpy()
-        flat = items.values.to_numpy()
-        label = linked_classes([flat[a:b] for a, b in zip(start[:-1], start[1:])], percent)
+        names, at = np.unique(table.column("name").to_numpy(), return_index=True)
+        label = linked_classes(_split(table.take(pa.array(at))), percent)
         other = label != np.arange(len(label))
         return pa.table({"a": names[other], "b": names[label[other]]}, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
     return members.groupBy("region").applyInArrow(join, LINKS)
 
 
-def split_regions(members: DataFrame, percent: int, pivots: int, salts: int = 32) -> DataFrame:
-    """Voronoi regions of each region's pivots, as `parts` of each set. A set goes to its nearest pivot's, and to those in whose windows it lies: another set can be
-    within reach of it there only if its distance to that pivot is at most twice the reach above its nearest one."""
-    order = Window.partitionBy("region").orderBy(F.xxhash64("name", "region"))
-    chosen = members.select("region", "name").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= pivots)
-    chosen = members.join(chosen, ["region", "name"]).groupBy("region").agg(F.collect_list(F.struct("nth", "items")).alias("pivots"))
-    # The pivots go to every salt of their region, so that a region's sets spread over tasks.
-    salted = chosen.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    reach = 2 * (1 - percent / 100) + 1e-9
-
-    def distances(items: Column, table: Column) -> Column:
-        size = lambda p: F.size(F.array_intersect(items, p["items"]))
-        return F.transform(table, lambda p: F.struct(let(size(p), lambda n: 1 - n / (F.size(items) + F.size(p["items"]) - n)).alias("d"), p["nth"].alias("nth")))
+def star(rows: DataFrame, key: list[str]) -> DataFrame:
+    """Edges (a, b) from each `node` of a group to the least of its group."""
+    least = F.min("node").over(Window.partitionBy(*key))
+    return rows.select("node", least.alias("least")).where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
 
-    def windows_of(d: Column) -> Column:
-        return let(F.array_min(d)["d"], lambda least: F.filter(d, lambda x: x["d"] - least <= reach))
 
-    near = let(distances(F.col("items"), F.col("pivots")), windows_of)
-    placed = members.withColumn("salt", F.pmod(F.xxhash64("name"), F.lit(salts)).cast("int")).join(salted, ["region", "salt"])
-    return placed.select("region", "name", "items", F.transform(near, lambda x: F.xxhash64("region", x["nth"])).alias("parts"))
+def draw_pivots(members: DataFrame, large: DataFrame, percent: int, most_shingles: int, sample: int, pivots: int) -> DataFrame:
+    """`region, pivot, items`: of some sets of each region the most central, and then those far from all drawn before."""
+    far = 4 * (1 - percent / 100)
+    # Few where sets are very large: what one task gets of a region is bounded.
+    most = F.greatest(F.lit(2), F.least(F.lit(sample), F.floor(most_shingles * F.col("sets") / F.col("shingles")).cast("int")))
+    order = Window.partitionBy("region").orderBy(F.xxhash64("name", "region"))
+    drawn = members.select("region", "name").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= sample)
+    drawn = drawn.join(large.select("region", most.alias("most")), "region").where("nth <= most").select("region", "name")
+
+    def choose(table: pa.Table) -> pa.Table:
+        sets = _split(table)
+        region, n = Region(sets), len(sets)
+        apart = np.ones((n, n))
+        for i in range(n):
+            inter = region.shared(i)
+            apart[i] = 1 - inter / (region.size + region.size[i] - inter)
+        chosen: list[int] = []
+        for i in np.lexsort((apart.sum(1), -(apart <= 1 - percent / 100).sum(1))):
+            if len(chosen) < pivots and (apart[i, chosen] > far).all():
+                chosen.append(int(i))
+        return table.take(pa.array(chosen)).select(["region", "name", "items"]).rename_columns(["region", "pivot", "items"])
+
+    return members.join(drawn, ["region", "name"]).groupBy("region").applyInArrow(choose, "region long, pivot long, items array<long>")
+
+
+def place(members: DataFrame, chosen: DataFrame, large: DataFrame, percent: int, most_sets: int, most_shingles: int) -> DataFrame:
+    """`part, name, pivot, size, pivot_size, inside, apart`: sets in their pivots' Voronoi regions with their difference from the pivot, and sets
+    in no region with their difference from nothing, which is all of them. A set in the window of several regions has a row for each."""
+    reach = 1 - percent / 100
+    # Sets of a region are dealt to as many tasks as it needs, and its pivots go to each.
+    shards = F.ceil(F.greatest(F.col("sets") / most_sets, F.col("shingles") / most_shingles)).cast("int")
+    large = large.select("region", shards.alias("shards"))
+    left = members.join(large, "region").withColumn("shard", F.pmod(F.xxhash64("name"), F.col("shards")).cast("int"))
+    right = chosen.join(large, "region").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
+    kinds = [pa.int64()] * 5 + [pa.bool_(), pa.list_(pa.int64())]
+    names = ["part", "name", "pivot", "size", "pivot_size", "inside", "apart"]
+
+    def measure(sets: pa.Table, pivots: pa.Table) -> pa.Table:
+        own, centres, out = _split(sets), _split(pivots), []
+        name, region = sets.column("name").to_pylist(), np.array(pivots.column("region").to_numpy()[:1], np.int64).view(np.uint64)
+        every = Region(centres + own)
+        size, free = every.size[len(centres) :], np.ones(len(own), bool)
+        for i, (pivot, centre) in enumerate(zip(pivots.column("pivot").to_pylist(), centres)):
+            inter = every.shared(i)[len(centres) :]
+            distance = 1 - inter / (size + len(centre) - inter)
+            near = within(size, len(centre), inter, percent)
+            part = int(mixed(region ^ mixed(np.array([pivot], np.int64).view(np.uint64))).view(np.int64)[0])
+            free &= distance > 2 * reach
+            for j in np.flatnonzero(distance <= 3 * reach + 1e-9):
+                out.append((part, name[j], pivot, size[j], len(centre), bool(near[j]), np.setxor1d(own[j], centre, assume_unique=True)))
+        rest = int(mixed(region + np.uint64(1)).view(np.int64)[0])
+        out += [(rest, name[j], None, size[j], 0, False, own[j]) for j in np.flatnonzero(free)]
+        return pa.table([pa.array([r[c] for r in out], k) for c, k in enumerate(kinds)], names=names)
+
+    schema = "part long, name long, pivot long, size long, pivot_size long, inside boolean, apart array<long>"
+    left, right = left.select("region", "shard", "name", "items"), right.select("region", "shard", "pivot", "items")
+    return left.groupBy("region", "shard").cogroup(right.groupBy("region", "shard")).applyInArrow(measure, schema)
+
+
+def meeting(placed: DataFrame, percent: int) -> DataFrame:
+    """`part, node, token`, such that linked sets of a part that its pivot doesn't link share a token; a set's `node` is its name in a part.
+
+    With `a` and `b` the differences of x and y from pivot p, linked sets have `q (a + b - 2 c) <= r (|x| + |y|)`, where c is what the
+    differences share, q = 100 + percent and r = 100 - percent. If y is outside of p's ball, `q b > r (|y| + |p|)`, so
+    `2 q c > q a + r (|p| - |x|)`; and `c >= b - (most that y and a set linked with it differ in)`. Without a pivot, c is what the sets share,
+    `percent` of a or more. Two differences that share c elements share one among the rarest `a - c + 1` of the one and the rarest
+    `b - c + 1` of the other.
+    """
+    q, r = 100 + percent, 100 - percent
+    held = placed.withColumn("node", F.xxhash64("part", "name"))
+    each = held.select("part", "node", F.explode("apart").alias("token"))
+    often = each.groupBy("part", "token").agg(F.count("*").alias("often")).where("often > 1")
+    shared = each.join(often, ["part", "token"]).groupBy("node").agg(F.array_sort(F.collect_list(F.struct("often", "token"))).alias("shared"))
+    n = F.size("apart").cast("long")
+    half = n - F.floor((q * n + r * (F.col("pivot_size") - F.col("size"))) / (2 * q)).cast("long")
+    half = F.when(F.col("pivot").isNull(), n - F.ceil(percent * n / 100) + 1).otherwise(half)
+    long = n - F.greatest(F.lit(1), n - F.floor(r * (F.col("size") + F.floor(100 * F.col("size") / percent)) / q)) + 1
+    long = F.when(F.col("inside") | F.col("pivot").isNull(), half).otherwise(F.greatest(half, long))
+    # Differences that no other set has are the rarest, and none meets another.
+    kept = held.join(shared, "node").select("part", "node", "inside", "shared", half.alias("half"), long.alias("long"), (n - F.size("shared")).alias("lone"))
+    rows = kept.select("part", "node", "inside", (F.col("half") - F.col("lone")).alias("half"), F.posexplode(F.slice("shared", F.lit(1), F.greatest(F.lit(0), F.col("long") - F.col("lone")).cast("int"))).alias("nth", "x"))
+    rows = rows.select("part", "node", "inside", (F.col("nth") < F.col("half")).alias("first"), F.col("x.token").alias("token"))
+    # Ends outside of the ball meet those inside by `long` and each other by `half`; ends inside have met by the pivot.
+    kinds = rows.groupBy("part", "token").agg(F.max("inside").alias("any_inside"), F.min("inside").alias("only_inside"))
+    rows = rows.join(kinds, ["part", "token"]).where("not only_inside and (any_inside or first)")
+    return rows.select("part", "node", "token")
 
 
 def block_regions(members: DataFrame, sizes: DataFrame, most_sets: int) -> DataFrame:
@@ -246,39 +353,59 @@ def block_regions(members: DataFrame, sizes: DataFrame, most_sets: int) -> DataF
     return placed.select("region", "name", "items", F.explode(pairs).alias("x")).select(F.xxhash64("region", "x.i", "x.j").alias("region"), "name", "items")
 
 
-def region_links(members: DataFrame, sizes: DataFrame, percent: int, most_sets: int, most_shingles: int, pivots: int = 16, most_copies: int = 4, rounds: int = 4) -> DataFrame:
-    """Links that connect all linked sets of regions of any size; `sizes` has the members' `region, sets, shingles`.
-
-    A large region is parted while its sets lie in at most `most_copies` parts on average. Where they lie in more, or after `rounds`
-    rounds, its windows don't part it, and it is joined block by block.
-    """
+def large_region_links(members: DataFrame, sizes: DataFrame, percent: int, most_sets: int, most_shingles: int, sample: int = 64, pivots: int = 8, rounds: int = 6) -> DataFrame:
+    """Links that connect all linked sets of regions that are too large for one task; members: `region, name, items`, sizes: `region, sets,
+    shingles`."""
+    sets = members.select("name", "items")
     out: list[DataFrame] = []
-    for level in range(rounds + 1):
-        sizes = stored(sizes.withColumn("large", (F.col("sets") > most_sets) | ((F.col("shingles") > most_shingles) & (F.col("sets") > 2))), "region-sizes")
-        large = sizes.where("large")
-        if not large.limit(1).count():
-            out.append(join_regions(members, percent))
+    for level in range(rounds):
+        chosen = stored(draw_pivots(members, sizes, percent, most_shingles, sample, pivots), "region-pivots")
+        placed = stored(place(members, chosen, sizes, percent, most_sets, most_shingles), "region-parts")
+        out.append(placed.where("inside and name <> pivot").select(F.col("name").alias("a"), F.col("pivot").alias("b")))
+        met = stored(meeting(placed, percent), "region-tokens")
+        nodes = placed.select(F.xxhash64("part", "name").alias("node"), "name", "size").distinct()
+        labels = components(star(met, ["part", "token"])).select("node", F.col("label").alias("region"))
+        sized = stored(sizes_of(nodes.join(labels, "node"), most_sets, most_shingles), "region-sizes")
+        parted = [nodes.join(labels, "node").join(sized.where("not large").select("region"), "region")]
+        sizes, hot = None, None
+        if sized.where("large").limit(1).count():
+            # What hangs together by single tokens is joined token by token; tokens that very many sets share make the next round's regions.
+            named = met.join(labels.join(sized.where("large").select("region"), "region").select("node"), "node").withColumn("region", F.xxhash64("part", "token", F.lit(0)))
+            often = stored(sizes_of(named.join(nodes, "node"), most_sets, most_shingles), "region-sizes")
+            parted.append(named.join(often.where("not large and sets > 1").select("region"), "region").join(nodes, "node"))
+            if often.where("large").limit(1).count():
+                hot = components(star(named.join(often.where("large").select("region"), "region"), ["region"])).select("node", F.col("label").alias("region"))
+                sized = stored(sizes_of(nodes.join(hot, "node"), most_sets, most_shingles), "region-sizes")
+                parted.append(nodes.join(hot, "node").join(sized.where("not large").select("region"), "region"))
+                sizes = sized.where("large")
+        small = reduce(DataFrame.union, [x.select("region", "name") for x in parted])
+        out.append(join_regions(small.join(sets, "name").select("region", "name", "items"), percent))
+        if sizes is None or not sizes.limit(1).count():
             break
-        if not level:
-            members = stored(members, "region-members")  # read four times below
-        out.append(join_regions(members.join(sizes.where("not large").select("region"), "region", "left_semi"), percent))
-        placed = split_regions(members.join(large.select("region"), "region", "left_semi"), percent, pivots)
-        placed = stored(placed.dropDuplicates(["region", "name"]), "region-parts")
-        spread = stored(placed.groupBy("region").agg(F.avg(F.size("parts")).alias("copies")), "region-spread")
-        dense = spread.where((F.col("copies") > most_copies) | F.lit(level == rounds)).select("region")
-        if dense.limit(1).count():
-            counted = large.join(dense, "region").select("region", F.greatest("sets", F.ceil(F.col("shingles") / most_shingles) * most_sets).alias("sets"))
-            out.append(join_regions(block_regions(placed.drop("parts"), counted, most_sets), percent))
-        members = stored(placed.join(dense, "region", "left_anti").select(F.explode("parts").alias("region"), "name", "items"), "region-members")
-        sizes = members.groupBy("region").agg(F.count("*").alias("sets"), F.sum(F.size("items")).alias("shingles"))
+        members = nodes.join(hot, "node").join(sizes.select("region"), "region").join(sets, "name").select("region", "name", "items")
+        members = stored(members.dropDuplicates(["region", "name"]), "region-members")
+    else:
+        counted = sizes.select("region", F.greatest("sets", F.ceil(F.col("shingles") / most_shingles) * most_sets).alias("sets"))
+        out.append(join_regions(block_regions(members, counted, most_sets), percent))
     links = out[0]
     for more in out[1:]:
         links = links.union(more)
     return links
 
 
+def sizes_of(rows: DataFrame, most_sets: int, most_shingles: int) -> DataFrame:
+    """`region, sets, shingles, large` of rows `region, size`."""
+    sized = rows.groupBy("region").agg(F.count("*").alias("sets"), F.sum("size").alias("shingles"))
+    return sized.withColumn("large", large_region(most_sets, most_shingles))
+
+
+def large_region(most_sets: int, most_shingles: int) -> Column:
+    """Whether a region is more than one task should hold."""
+    return (F.col("sets") > most_sets) | ((F.col("shingles") > most_shingles) & (F.col("sets") > 2))
+
+
 def jaccard_classes(
-    docs: DataFrame, n: int = 4, percent: int = 85, most_sets: int = 8192, most_shingles: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text",
+    docs: DataFrame, n: int = 4, percent: int = 85, most_sets: int = 1024, most_shingles: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """One row per row of `docs`: `doc_id, key, n_shingles, component_id`; `key` is the text's xxhash64, for joining back where ids repeat.
 
@@ -293,15 +420,27 @@ def jaccard_classes(
     def measure(batches):
         for batch in pieces(batches, "text"):
             sets, first = shingle_sets(batch.column("text"), n)
-            name = mixed(sums(mixed(sets), row_of(first), batch.num_rows) + np.diff(first).astype(np.uint64)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(np.diff(first)), pa.array(name, mask=np.diff(first) == 0)], ["doc_id", "key", "n_shingles", "name"])
+            size = np.diff(first)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(size), pa.array(set_names(sets, first).view(np.int64), mask=size == 0)], ["doc_id", "key", "n_shingles", "name"])
 
     def deal(batches):
         for batch in pieces(batches, "text"):
             sets, first = shingle_sets(batch.column("text"), n)
-            name = mixed(sums(mixed(sets), row_of(first), batch.num_rows) + np.diff(first).astype(np.uint64)).view(np.int64)
-            row, cell = cells(sets, first, percent)
-            yield pa.RecordBatch.from_arrays([pa.array(name[row]), pa.array(cell.view(np.int64))], ["name", "cell"])
+            name, size = set_names(sets, first).view(np.int64), np.diff(first)
+            # Equal sets of a batch are dealt once.
+            once = np.zeros(len(size), bool)
+            once[np.unique(name, return_index=True)[1]] = True
+            once &= size > 0
+            row, cell = cells(sets[np.repeat(once, size)], np.concatenate([[0], np.cumsum(size[once])]), percent)
+            name, cell = name[once][row], cell.view(np.int64)
+            # Sets that share a cell here are linked up here, and the least stands for them.
+            by = np.lexsort((name, cell))
+            name, cell = name[by], cell[by]
+            head = np.concatenate([[True], cell[1:] != cell[:-1]]) if len(cell) else np.zeros(0, bool)
+            least = name[np.flatnonzero(head)][np.cumsum(head) - 1] if len(cell) else name
+            cell = np.where(head, cell, mixed(name.view(np.uint64) + np.uint64(1)).view(np.int64))
+            fresh = head | (name != least)
+            yield pa.RecordBatch.from_arrays([pa.array(name[fresh]), pa.array(cell[fresh]), pa.array(least[fresh], mask=head[fresh])], ["node", "cell", "near"])
 
     def collect(batches):
         for batch in pieces(batches, "text"):
@@ -311,15 +450,24 @@ def jaccard_classes(
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("key", F.xxhash64("text"))
     found = stored(rows.mapInArrow(measure, "doc_id long, key long, n_shingles long, name long"), "jaccard-sets")
     named = found.where("doc_id is not null and name is not null")
-    held = rows.where("doc_id is not null").mapInArrow(deal, "name long, cell long")
-    edges = held.select("name", F.min("name").over(Window.partitionBy("cell")).alias("least")).where("name <> least").select(F.col("name").alias("a"), F.col("least").alias("b"))
+    held = rows.where("doc_id is not null").mapInArrow(deal, "node long, cell long, near long")
+    least = F.when(F.col("near").isNull(), F.min("node").over(Window.partitionBy("cell"))).otherwise(F.col("near"))
+    edges = held.select("node", least.alias("least")).where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
     regions = components(edges).select(F.col("node").alias("name"), F.col("label").alias("region"))
     one = named.join(regions, "name").groupBy("name", "region").agg(F.min(F.struct("doc_id", "key", "n_shingles")).alias("x"))
     one = stored(one.select("name", "region", "x.*"), "region-names")
-    sizes = one.groupBy("region").agg(F.count("*").alias("sets"), F.sum("n_shingles").alias("shingles"))
-    texts = rows.join(one.drop("n_shingles"), ["doc_id", "key"]).select("region", "name", "text")
-    members = texts.mapInArrow(collect, "region long, name long, items array<long>")
-    links = components(region_links(members, sizes, percent, most_sets, most_shingles)).select(F.col("node").alias("name"), "label")
+    sizes = stored(sizes_of(one.withColumnRenamed("n_shingles", "size"), most_sets, most_shingles), "region-sizes")
+
+    wanted = one.select("doc_id", "key", "region", "name")
+    # A merge join at every size: a small side would be broadcast, one of a corpus can not.
+    members = rows.join(wanted.hint("merge"), ["doc_id", "key"]).select("region", "name", "text").mapInArrow(collect, "region long, name long, items array<long>")
+    members = stored(members, "region-members")
+    links, large = join_regions(members.join(sizes.where("not large").select("region"), "region"), percent), sizes.where("large")
+    if large.limit(1).count():
+        # Rows alike in id and text are one member.
+        inner = members.join(large.select("region"), "region").dropDuplicates(["region", "name"])
+        links = links.union(large_region_links(stored(inner, "region-members"), large, percent, most_sets, most_shingles))
+    links = components(links).select(F.col("node").alias("name"), "label")
     classed = found.join(links, "name", "left").withColumn("label", F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "name")))
     least = classed.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"))
     return classed.join(least, "label", "left").select("doc_id", "key", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))

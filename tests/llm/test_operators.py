@@ -156,11 +156,13 @@ def test_mixing_rates_meet_targets_and_equal_a_dense_solution(spark):
         steps = mixing.fit_rates(df, goal, most_rounds=200)
         r = np.array([x[0] for x in df.select(mixing.rate_of(F.col("p"), steps)).collect()])
         assert (r >= 0).all() and np.allclose((t * r) @ p, goal, atol=2e-3 * max(goal))
-        a, w = (t[:, None] * p).T, 1 / t
-        b = np.linalg.inv((a * w) @ a.T)
-        x = np.ones(60)
-        for _ in range(len(steps)):
-            x = np.maximum(0, x - w * (a.T @ (b @ (a @ x - goal))))
+        x, off = np.ones(60), t @ p - goal
+        for _ in steps:
+            taken = x > 0
+            m = (p * (t * taken)[:, None]).T @ p
+            y = p @ np.linalg.solve(m + 1e-9 * np.trace(m) * np.eye(3), off)
+            x = min((np.maximum(0, x - length * y) for length in (1.0, 0.5, 0.25, 0.1, 0.03, 0.01)), key=lambda z: float(np.sum(((t * z) @ p - goal) ** 2)))
+            off = (t * x) @ p - goal
         assert np.allclose(x, r, atol=1e-6)
 
 
@@ -336,6 +338,54 @@ def test_links_between_members_of_different_balls_are_found():
         assert len(set(zip(got.tolist(), want.tolist()))) == len(set(got.tolist())) == len(set(want.tolist()))
 
 
+def copies(rng, base, n, edits):
+    """Copies of some words, each with a number of words put in, taken out or changed."""
+    out = []
+    for _ in range(n):
+        w = list(base)
+        for _ in range(rng.randint(*edits)):
+            k = rng.randrange(len(w))
+            w[k : k + 1] = rng.choice([[], [w[k], f"in{rng.randrange(40)}"], [f"new{rng.randrange(40)}"], [f"own{rng.random()}"]])
+        out.append(" ".join(w))
+    return out
+
+
+@pytest.mark.parametrize("most_sets", [8, 40])
+def test_large_regions_equal_brute_force(spark, most_sets):
+    rng = random.Random(12)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(100)]
+    texts = [" ".join(base), *copies(rng, base, 70, (0, 7))]
+    # Copies of a copy out of the base's reach, and two clusters that only copies of their own join.
+    second = copies(rng, base, 1, (9, 9))[0].split()
+    texts += [" ".join(second), *copies(rng, second, 25, (0, 4))]
+    chain = [*base[:20], "a0", *base[21:40], "b0", *base[41:93]]
+    for k, (a, b) in enumerate([("a0", "b0"), ("a1", "b0"), ("a1", "b1"), ("a2", "b1")]):
+        w = [*chain[:20], a, *chain[21:40], b, *chain[41:]]
+        texts.append(" ".join(w))
+        if k in (0, 3):
+            texts += [" ".join([*w[: 50 + 2 * j], f"x{k}{j}", *w[51 + 2 * j :]]) for j in range(10)]
+    # Little but one passage: far from each other, with cells in common.
+    texts += [" ".join([*base[:12], *(f"o{rng.random()}" for _ in range(rng.randint(1, 6)))]) for _ in range(30)]
+    rows = list(enumerate(texts))
+    want = classes(rows)
+    assert 1 < len({c for *_, c in want}) < len(rows)
+    got = jaccard_join.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string"), most_sets=most_sets).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == want
+
+
+def test_a_chain_of_balls_is_one_class(spark):
+    base = [f"w{i}" for i in range(93)]
+    texts = []
+    for k, (a, b) in enumerate([("a0", "b0"), ("a1", "b0"), ("a1", "b1"), ("a2", "b1")]):
+        texts.append([*base[:20], a, *base[21:40], b, *base[41:]])
+    for k in (0, 3):
+        texts += [[*texts[k][: 50 + 2 * j], f"x{k}{j}", *texts[k][51 + 2 * j :]] for j in range(10)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts)]
+    for most_sets in (4, 1024):
+        got = jaccard_join.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string"), most_sets=most_sets).collect()
+        assert {r.component_id for r in got} == {0} and classes(rows)[0][2] == "0"
+
+
 def test_toxicity_on_held_out_documents(spark, docs, empty):
     sf = "/root/testdata/sf0.01"
     found = q.op9_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").collect()
@@ -367,17 +417,51 @@ def test_prefix_counts_answer_cuts_exactly(docs, rows, empty):
 
     path = q.tokenizer_path()
     tok = Tokenizer.from_file(path)
+    n_tokens = lambda t: len(tok.encode(t, add_special_tokens=False).ids)
     got = token_counts.prefix_token_counts(docs, path).collect()
-    assert sorted((str(r.doc_id), r.n_bytes, r.prefix_tokens[-1]) for r in got) == sorted((str(i), len((t or "").encode()), len(tok.encode(t or "", add_special_tokens=False).ids)) for i, t in rows)
+    assert sorted((str(r.doc_id), r.n_bytes, r.prefix_tokens[-1]) for r in got) == sorted((str(i), len((t or "").encode()), n_tokens(t or "")) for i, t in rows)
     by = {(r.doc_id, r.n_bytes): r for r in got}
-    for i, t in rows[:70]:
-        r = by[i, len((t or "").encode())]
-        for stop in range(0, len(t or ""), 5):
-            cut = (t or "")[:stop]
-            assert token_counts.tokens_before((t or "").encode(), len(cut.encode()), r.prefix_bytes, r.prefix_tokens, path) == len(tok.encode(cut, add_special_tokens=False).ids)
+    for i, t in rows:
+        if len(t or "") < 1000:
+            assert by[i, len((t or "").encode())].prefix_tokens == [n_tokens((t or "")[:p]) for p in range(len(t or "") + 1)]
     assert token_counts.prefix_token_counts(empty, path).count() == 0
 
 
+PARTS = [" ", "  ", "\n", "\t", "\xa0", "\x85", "\u3000", "\x1c", "a", "the", " hello", "world", "'ll", "'", "'s", "123", "4567", "!?", "é", "漢字", "\U0001f600", "<|endoftext|>", "<|endof", "|>", "x" * 30, "ab" * 25, "internationalization", "\r\n", " " * 30, "e\u0301", "\ufdd0"]
+
+
+def test_prefix_counts_and_pieces_equal_the_library():
+    from tokenizers import Tokenizer
+
+    from factloom.llm.bpe import encoder
+
+    tok, rng = Tokenizer.from_file(q.tokenizer_path()), random.Random(1)
+    for _ in range(60):
+        texts = ["".join(rng.choice(PARTS) for _ in range(rng.randint(0, 9))) for _ in range(5)]
+        want = [tok.encode(t, add_special_tokens=False).ids for t in texts]
+        ids, per, _, at = encoder(q.tokenizer_path())(pa.array(texts))
+        ends = np.concatenate([[0], np.cumsum(per)])[at]
+        assert [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:])] == want
+        counts, at = token_counts.counter(q.tokenizer_path())(pa.array(texts))
+        for k, t in enumerate(texts):
+            assert counts[at[k] : at[k + 1]].tolist() == [len(tok.encode(t[:p], add_special_tokens=False).ids) for p in range(1, len(t) + 1)]
+
+
+def test_cuts_and_budgets_follow_from_the_counts(spark):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(q.tokenizer_path())
+    # Touching white space, a special token, and pieces of over a budget's tokens; one long text has a double space.
+    texts = ["a  b" * 40, "word " * 500 + " end", "<|endoftext|> x y", "qzxj" * 200, "", None, "短い" * 30, "one", "  "]
+    df = token_counts.prefix_token_counts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), q.tokenizer_path())
+    for budget in (0, 1, 7, 300):
+        got = df.select("doc_id", token_counts.chars_within(F.col("prefix_tokens"), budget).alias("n"), token_counts.tokens_of_prefix(F.col("prefix_tokens"), F.lit(9)).alias("t")).collect()
+        for i, n, t in got:
+            text = texts[i] or ""
+            sizes = [len(tok.encode(text[:p], add_special_tokens=False).ids) for p in range(len(text) + 1)]
+            assert n == max(p for p, c in enumerate(sizes) if c <= budget) and t == sizes[min(9, len(text))]
+
+
 def test_pipeline_stages_each_do_their_work(spark):
     import corpus_pipeline
 
