@@ -1,7 +1,8 @@
 """N-gram language model scores by a weighted backoff automaton.
 
 Documents are taken in blocks. A block is coded once and stored. Its distinct n-grams go, in slices of the hash space, to the tasks
-that add up their counts over all blocks; what comes back to a block are the totals of those n-grams that others have too. From them the
+that add up their counts over all blocks; what comes back to a block are the totals of those n-grams that other blocks have too. From
+n = 3 on a block sends only n-grams whose beginning and end other blocks have as well, as no other can be elsewhere. From the totals the
 block builds the part of the automaton that its texts can visit, so no task ever holds the whole model, and no n-gram is pruned.
 
 States are n-grams seen in training. An arc reads a word and carries its log-probability in the state; a state without an arc for a word
@@ -16,7 +17,10 @@ Probabilities of the known words and the unknown one add up to one in every stat
 
 from __future__ import annotations
 
+import struct
+import uuid
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import shared_dir, stored
 from .textarrow import coded, hashed, lower_table, mixed, pieces, remap, split_words
 
 END = np.uint64(0x9E3779B97F4A7C15)  # the name of the token that ends a text
@@ -35,39 +39,39 @@ TOTALS = "block long, size int, slice int, places binary, totals binary, tokens
 SCORES = "doc_id long, n_tokens long, n_known long, base_score double, score double"
 
 
-def planes(values: np.ndarray) -> bytes:
-    """Integers as planes of bytes, lowest first, which compress well: high planes are mostly zero."""
-    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes()
+def pack(values: np.ndarray) -> bytes:
+    """Integers as planes of bytes, lowest first, compressed: high planes are mostly zero."""
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes()
+    return struct.pack("<Q", len(planes)) + pa.compress(planes, codec="zstd", asbytes=True)
 
 
-def from_planes(data: bytes, dtype) -> np.ndarray:
-    size = np.dtype(dtype).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(dtype).ravel()
+def unpack(data: bytes, dtype) -> np.ndarray:
+    size, (total,) = np.dtype(dtype).itemsize, struct.unpack_from("<Q", data)
+    planes = pa.decompress(memoryview(data)[8:], decompressed_size=total, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(size, -1).T).view(dtype).ravel()
 
 
-def deltas(ascending: np.ndarray) -> bytes:
-    return planes(np.diff(ascending, prepend=ascending.dtype.type(0)))
+def pack_ascending(values: np.ndarray) -> bytes:
+    return pack(np.diff(values, prepend=values.dtype.type(0)))
 
 
-def from_deltas(data: bytes, dtype) -> np.ndarray:
-    return np.cumsum(from_planes(data, dtype), dtype=dtype)
+def unpack_ascending(data: bytes, dtype) -> np.ndarray:
+    return np.cumsum(unpack(data, dtype), dtype=dtype)
 
 
 def encode_block(batch: pa.RecordBatch, block: int) -> pa.RecordBatch:
-    """A block's row: its texts as word codes, the end token (code 0) after each."""
+    """A block's row: its texts as word codes, an end token after each. Codes are places in the ascending names of the block's words."""
     flat, at = split_words(remap(batch.column("text"), lower_table()))
     code, words = coded(flat)
-    often = np.argsort(-np.bincount(code, minlength=len(words)), kind="stable")
-    rank = np.empty(len(words), np.uint32)
-    rank[often] = np.arange(1, len(words) + 1)
-    codes = np.insert(rank[code] if len(words) else code.astype(np.uint32), at[1:], 0)
+    names, place = np.unique(mixed(np.concatenate([[END], hashed(words)])), return_inverse=True)
+    codes = np.insert(place[1:][code], at[1:], place[0])
     at = at + np.arange(len(at))
-    names = np.concatenate([[END], hashed(words)[often]]).astype(np.uint64)
+    whole = np.array([0, batch.num_rows], np.int32)
     one = lambda x, t: pa.array([x], t)
     return pa.RecordBatch.from_arrays(
         [
-            one(block, pa.int64()), one(len(codes), pa.int64()), one(batch.column("doc_id").to_pylist(), pa.list_(pa.int64())), one(batch.column("train").to_pylist(), pa.list_(pa.bool_())),
-            one(at.astype(np.uint32).tobytes(), pa.binary()), one(names.tobytes(), pa.binary()), one(planes(codes.astype(np.uint32)), pa.binary()),
+            one(block, pa.int64()), one(len(codes), pa.int64()), pa.ListArray.from_arrays(whole, batch.column("doc_id")), pa.ListArray.from_arrays(whole, batch.column("train")),
+            one(pack_ascending(at.astype(np.uint32)), pa.binary()), one(pack_ascending(names), pa.binary()), one(pack(codes.astype(np.uint32)), pa.binary()),
         ],
         ["block", "n_tokens", "doc_ids", "train", "at", "names", "codes"],
     )
@@ -84,27 +88,34 @@ class Grams:
 
 
 class Block:
-    """A decoded block."""
+    """A decoded block with its n-grams up to some length."""
 
     def __init__(self, row: dict, order: int):
-        self.doc_ids, self.at = row["doc_ids"], np.frombuffer(row["at"], np.uint32).astype(np.int64)
-        names, self.codes = np.frombuffer(row["names"], np.uint64), from_planes(row["codes"], np.uint32).astype(np.int64)
+        self.at, names, self.codes = unpack_ascending(row["at"], np.uint32).astype(np.int64), unpack_ascending(row["names"], np.uint64), unpack(row["codes"], np.uint32).astype(np.int64)
         size = np.diff(self.at)
-        train = np.repeat(np.array([bool(x) for x in row["train"]]), size)
+        train = np.repeat(np.array(row["train"], bool), size)
         depth = np.arange(len(self.codes)) - np.repeat(self.at[:-1], size)
         self.n_words, self.grams = len(names), []
-        name = names[self.codes]
-        key = mixed(name)
+        key = name = names[self.codes]
         for k in range(1, order + 1):
-            if k > 1:
-                with np.errstate(over="ignore"):
-                    key = mixed(np.concatenate([[np.uint64(0)], key[:-1]]) * np.uint64(0xD1B54A32D192ED03) + name + np.uint64(k))
+            if k == 1:
+                first = np.empty(len(names), np.int64)
+                first[self.codes[::-1]] = np.arange(len(self.codes))[::-1]
+                self.grams.append(Grams(names, first, self.codes, np.bincount(self.codes[train], minlength=len(names))))
+                continue
+            with np.errstate(over="ignore"):
+                key = mixed(np.concatenate([[np.uint64(0)], key[:-1]]) * np.uint64(0xD1B54A32D192ED03) + name + np.uint64(k))
             place = np.flatnonzero(depth >= k - 1)
             keys, first, inverse = np.unique(key[place], return_index=True, return_inverse=True)
             index = np.full(len(key), -1)
             index[place] = inverse
             self.grams.append(Grams(keys, place[first] if len(place) else first, index, np.bincount(inverse[train[place]], minlength=len(keys))))
 
+    def elsewhere(self, k: int, shared: np.ndarray) -> np.ndarray:
+        """Which n-grams of length k other blocks may have, given which of length k - 1 they have."""
+        below, end = self.grams[k - 2], self.grams[k - 1].first
+        return shared[below.index[end - 1]] & shared[below.index[end]] if len(end) else np.zeros(0, bool)
+
 
 def slice_bounds(keys: np.ndarray, slices: int) -> np.ndarray:
     """First places of equal slices of the hash space in ascending keys."""
@@ -112,23 +123,33 @@ def slice_bounds(keys: np.ndarray, slices: int) -> np.ndarray:
     return np.append(np.searchsorted(keys, np.array(edges, np.uint64)), len(keys))
 
 
+def sliced(block: int, k: int, keys: np.ndarray, counts: np.ndarray, slices: int) -> pa.RecordBatch:
+    """A block's n-grams of one length, a row a slice."""
+    ends = slice_bounds(keys, slices)
+    out = [(k, j, block, pack_ascending(keys[a:b]), pack(counts[a:b].astype(np.uint32))) for j, (a, b) in enumerate(zip(ends[:-1], ends[1:])) if b > a]
+    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate(kinds)], ["size", "slice", "block", "keys", "counts"])
+
+
 def add_up(table: pa.Table) -> pa.Table:
-    """Totals of one slice. Back to each block go the n-grams whose total is not the block's own count; one row more tells how many words
-    and tokens there are."""
+    """Totals of one slice. Back to each block go those of the n-grams that other blocks sent too; one row more tells how many words and
+    tokens there are."""
     size, part = table.column("size")[0].as_py(), table.column("slice")[0].as_py()
     blocks = table.column("block").to_pylist()
-    keys = [from_deltas(x, np.uint64) for x in table.column("keys").to_pylist()]
-    counts = [from_planes(x, np.uint32).astype(np.int64) for x in table.column("counts").to_pylist()]
+    keys = [unpack_ascending(x.as_py(), np.uint64) for x in table.column("keys")]
+    counts = np.concatenate([unpack(x.as_py(), np.uint32) for x in table.column("counts")])
+    length = [len(x) for x in keys]
     every, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.zeros(len(every), np.int64)
-    np.add.at(total, inverse, np.concatenate(counts))
+    del keys
+    total = np.bincount(inverse, weights=counts, minlength=len(every)).astype(np.int64)
+    several = np.bincount(inverse, minlength=len(every)) > 1
     rows, start = [], 0
-    for block, own in zip(blocks, counts):
-        mine = total[inverse[start : start + len(own)]]
-        start += len(own)
-        place = np.flatnonzero(mine != own)
+    for block, n in zip(blocks, length):
+        mine = inverse[start : start + n]
+        start += n
+        place = np.flatnonzero(several[mine])
         if len(place):
-            rows.append((block, size, part, deltas(place.astype(np.uint32)), planes(mine[place].astype(np.uint64)), None, None, None, None))
+            rows.append((block, size, part, pack_ascending(place.astype(np.uint32)), pack(total[mine[place]].astype(np.uint64)), None, None, None, None))
     if size == 1:
         rows.append((None, size, part, None, None, int(total.sum()), int((total > 0).sum()), int((total == 1).sum()), int((total == 2).sum())))
     kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), *[pa.int64()] * 4]
@@ -136,6 +157,31 @@ def add_up(table: pa.Table) -> pa.Table:
     return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
 
+def returned(table: pa.Table, k: int, sent: np.ndarray, keys: np.ndarray, slices: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places, among a block's n-grams of length k, of those that came back, and their totals; `sent` are the places of those sent."""
+    ends = slice_bounds(keys[sent], slices)
+    at, total = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for size, part, places, totals in zip(*(table.column(c) for c in ("size", "slice", "places", "totals"))):
+        if size.as_py() == k:
+            at.append(sent[ends[part.as_py()] + unpack_ascending(places.as_py(), np.uint32).astype(np.int64)])
+            total.append(unpack(totals.as_py(), np.uint64).astype(np.int64))
+    return np.concatenate(at), np.concatenate(total)
+
+
+def totals_of(block: Block, table: pa.Table, order: int, slices: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Totals of a block's n-grams of each length up to `order`, and which of the longest other blocks have."""
+    out, shared = [], np.zeros(0, bool)
+    for k in range(1, order + 1):
+        g = block.grams[k - 1]
+        sent = np.arange(len(g.keys)) if k < 3 else np.flatnonzero(block.elsewhere(k, shared))
+        at, total = returned(table, k, sent, g.keys, slices)
+        out.append(g.counts.copy())
+        out[-1][at] = total
+        shared = np.zeros(len(g.keys), bool)
+        shared[at] = True
+    return out, shared
+
+
 class Automaton:
     """States, arcs and failure arcs that a block's texts can visit. State 0 is the root."""
 
@@ -208,7 +254,15 @@ class Automaton:
         return np.bincount(owner, weights=total, minlength=len(size))
 
 
-def lm_scores(docs: DataFrame, order: int = 2, mu: float = 8.0, block_bytes: int = 8 << 20, slice_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text", train_col: str = "train") -> DataFrame:
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """`df` as a table in the shared folder, dealt to buckets by `key`, so that a later grouping by it moves nothing."""
+    spark, name = df.sparkSession, f"lm_blocks_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(buckets, key).option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    return spark.table(name)
+
+
+def lm_scores(docs: DataFrame, order: int = 3, mu: float = 8.0, block_bytes: int = 4 << 20, slice_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text", train_col: str = "train") -> DataFrame:
     """One row per row of `docs`: `doc_id, n_tokens, n_known, train_tokens, base_score, score` (logarithms to base 10).
 
     The model learns from the rows whose `train_col` is true and scores all rows, whole texts. Tokens are words between ASCII white
@@ -224,37 +278,52 @@ def lm_scores(docs: DataFrame, order: int = 2, mu: float = 8.0, block_bytes: int
             seq += 1
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.col(train_col), F.lit(False)).alias("train"))
-    blocks = stored(rows.mapInArrow(encode, BLOCKS), "lm-blocks")
+    blocks = bucketed(rows.mapInArrow(encode, BLOCKS), "block")
     tokens = blocks.agg(F.sum("n_tokens")).first()[0] or 0
     slices = max(1, -(-tokens * 6 // slice_bytes))
+    coded_only = blocks.select("block", "train", "at", "names", "codes")
 
     def cut(batches):
         for batch in batches:
             for i in range(batch.num_rows):  # one block in memory at a time
                 row = batch.slice(i, 1).to_pylist()[0]
-                for k, g in enumerate(Block(row, order).grams, 1):
-                    ends = slice_bounds(g.keys, slices)
-                    out = [(k, j, row["block"], deltas(g.keys[a:b]), planes(g.counts[a:b].astype(np.uint32))) for j, (a, b) in enumerate(zip(ends[:-1], ends[1:])) if b > a]
-                    yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate([pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()])], ["size", "slice", "block", "keys", "counts"])
+                for k, g in enumerate(Block(row, min(order, 2)).grams, 1):
+                    yield sliced(row["block"], k, g.keys, g.counts, slices)
+
+    def added(parts: DataFrame) -> DataFrame:
+        return stored(parts.groupBy("size", "slice").applyInArrow(add_up, TOTALS), "lm-totals")
 
-    totals = stored(blocks.mapInArrow(cut, SLICES).groupBy("size", "slice").applyInArrow(add_up, TOTALS), "lm-totals")
+    totals = added(coded_only.mapInArrow(cut, SLICES))
     known = totals.where("block is null").agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "words", "once", "twice"))).first()
+    tables = [totals.where("block is not null").select("block", "size", "slice", "places", "totals")]
+
+    def longer(k: int):
+        def cut_more(left: pa.Table, right: pa.Table) -> pa.Table:
+            row = left.to_pylist()[0]
+            block = Block(row, k)
+            sent, g = block.elsewhere(k, totals_of(block, right, k - 1, slices)[1]), block.grams[k - 1]
+            return pa.Table.from_batches([sliced(row["block"], k, g.keys[sent], g.counts[sent], slices)])
+
+        return cut_more
+
+    for k in range(3, order + 1):
+        # What other blocks have of length k - 1 depends on the lengths before only where those were left out.
+        so_far = reduce(DataFrame.union, tables).where("size >= 2")
+        parts = coded_only.groupBy("block").cogroup(so_far.groupBy("block")).applyInArrow(longer(k), SLICES)
+        tables.append(added(parts).select("block", "size", "slice", "places", "totals"))
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         row = left.to_pylist()[0]
         block = Block(row, order)
-        total = [g.counts.copy() for g in block.grams]
-        bounds = [slice_bounds(g.keys, slices) for g in block.grams]
-        for r in right.select(["size", "slice", "places", "totals"]).to_pylist():
-            total[r["size"] - 1][bounds[r["size"] - 1][r["slice"]] + from_deltas(r["places"], np.uint32).astype(np.int64)] = from_planes(r["totals"], np.uint64).astype(np.int64)
+        total = totals_of(block, right, order, slices)[0]
         n_tokens, n_words = known[0], known[1]
         automaton = Automaton(block, total, *known, mu)
-        c = total[0][block.grams[0].index]
+        c = total[0][block.codes]
         base = np.add.reduceat(np.log10((c + 1) / (n_tokens + n_words + 1)), block.at[:-1])
         return pa.table({
-            "doc_id": pa.array(block.doc_ids, pa.int64()), "n_tokens": np.diff(block.at), "n_known": np.add.reduceat((c > 0).astype(np.int64), block.at[:-1]),
+            "doc_id": pa.array(row["doc_ids"], pa.int64()), "n_tokens": np.diff(block.at), "n_known": np.add.reduceat((c > 0).astype(np.int64), block.at[:-1]),
             "base_score": base, "score": automaton.read(block.codes, block.at, order),
         })
 
-    found = blocks.groupBy("block").cogroup(totals.where("block is not null").groupBy("block")).applyInArrow(score, SCORES)
+    found = blocks.groupBy("block").cogroup(reduce(DataFrame.union, tables).groupBy("block")).applyInArrow(score, SCORES)
     return found.select("doc_id", "n_tokens", "n_known", F.lit(known[0]).cast("long").alias("train_tokens"), "base_score", "score")
