@@ -105,7 +105,7 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str):
     from .toxicity import fit, labelled_texts
 
-    return fit(labelled_texts(docs.where(remainder(4) != 2), table(spark, sf_dir, "labels")))
+    return fit(labelled_texts(docs, table(spark, sf_dir, "labels").where(remainder(4) != 2)))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,11 +117,11 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .token_counts import bytes_within, prefix_token_counts, total_tokens
+    from .token_counts import chars_within, prefix_token_counts, total_tokens
 
     found = prefix_token_counts(table(spark, sf_dir, "documents"), tokenizer_path())
     tokens, limit = total_tokens(F.col("prefix_tokens")), 1024
-    return found.select("doc_id", "n_bytes", tokens.alias("n_tokens"), (tokens > limit).alias("over_limit"), bytes_within(F.col("prefix_bytes"), F.col("prefix_tokens"), limit).alias("bytes_in_limit"))
+    return found.select("doc_id", "n_bytes", tokens.alias("n_tokens"), (tokens > limit).alias("over_limit"), chars_within(F.col("prefix_tokens"), limit).alias("chars_in_limit"))
 
 
 QUERIES = {
