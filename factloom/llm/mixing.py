@@ -3,9 +3,10 @@
 A classifier learned from the labelled table gives each document posteriors over the domains. Rates, how many times a document is
 taken, are then fitted so that the expected tokens of every domain (tokens x rate x posterior, over all documents) meet their targets:
 least squares over nonnegative rates by projected gradient. With A the domains x documents matrix of tokens x posterior and W the
-inverse token counts, a step is `r <- max(0, r - W A' B (A r - T))` with `B = (A W A')^-1`; that metric makes a step of size one a
-safe one, and a document's step is its posteriors times a vector of one number a domain. A round is one aggregation over the documents,
-and rates follow from the rounds' vectors, so nothing but the domains' totals leaves the executors.
+inverse token counts, a step is `r <- max(0, r - s W A' B (A r - T))` with `B = (A W A')^-1` over the documents whose rate is not zero:
+in that metric a step of length `s = 1` meets the targets at once unless it takes rates to zero, so rounds are few. A document's step is
+its posteriors times a vector of one number a domain. A round is one aggregation over the documents, and rates follow from the rounds'
+vectors, so nothing but the domains' totals leaves the executors.
 
 Where one domain is to stay whole, documents that are most likely of it keep rate 1 and all rates stay within [0, 1]: the others are
 thinned until each domain over its share is at its share of what is taken. Domains short of their share stay short.
@@ -14,6 +15,7 @@ thinned until each domain over its share is at its share of what is taken. Domai
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
@@ -142,22 +144,60 @@ def rate_of(posteriors: Column, steps: list[list[float]], whole: int | None = No
     return F.when(held_whole(posteriors, whole), 1.0).otherwise(thinned)
 
 
-def fit_rates(measured: DataFrame, targets: list[float], most_rounds: int = 40, tolerance: float = 1e-4) -> list[list[float]]:
-    """Rounds' vectors for `measured` (n_tokens, p): until every domain is within `tolerance` of the largest target, or `most_rounds`."""
+def fit_rates(measured: DataFrame, targets: list[float], most_rounds: int = 60, tolerance: float = 1e-6) -> list[list[float]]:
+    """Rounds' vectors for `measured` (n_tokens, p): until every domain is within `tolerance` of the largest target.
+
+    A round tries a few lengths of its step in one aggregation and takes the one that leaves the least squares. The rounds end early
+    where none leaves less, as where no rates meet the targets; what is then off by over a thousandth is told in a warning, and
+    `domain_totals` gives it.
+    """
     k = len(targets)
     t, p = F.col("n_tokens").cast("double"), F.col("p")
-    metric = measured.agg(*[F.coalesce(F.sum(t * p[i] * p[j]), F.lit(0.0)) for i in range(k) for j in range(k)]).first()
-    matrix = [[metric[i * k + j] for j in range(k)] for i in range(k)]
+    lengths = (1.0, 0.5, 0.25, 0.1, 0.03, 0.01)
+
+    def at(points: list[list[list[float]]]) -> list[tuple[list[float], list[list[float]]]]:
+        """Of each way to go on: what is off by domain, and the metric over the documents that are still taken."""
+        rates = [F.lit(1.0)] if points == [[]] else [rate_of(p, x) for x in points]
+        # The rates are computed once a row and summed up from an array.
+        rows = measured.select(t.alias("t"), p.alias("p"), F.array(*rates).alias("r"))
+        asked = []
+        for i in range(len(points)):
+            r = F.col("r")[i]
+            asked += [F.sum(F.col("t") * r * F.col("p")[a]) for a in range(k)]
+            asked += [F.sum(F.when(r > 0, F.col("t")).otherwise(0.0) * F.col("p")[a] * F.col("p")[b]) for a in range(k) for b in range(k)]
+        got = [x or 0.0 for x in rows.agg(*asked).first()]
+        parts = [got[i : i + k + k * k] for i in range(0, len(got), k + k * k)]
+        return [([a - b for a, b in zip(x[:k], targets)], [x[k + i * k : k + i * k + k] for i in range(k)]) for x in parts]
+
+    scale = max([*targets, 1e-300])
     steps: list[list[float]] = []
+    off, metric = at([steps])[0]
     for _ in range(most_rounds):
-        taken = measured.agg(*[F.coalesce(F.sum(t * rate_of(p, steps) * p[i]), F.lit(0.0)) for i in range(k)]).first()
-        off = [a - b for a, b in zip(taken, targets)]
-        if max(map(abs, off), default=0.0) <= tolerance * max([*targets, 1e-300]):
+        if max(map(abs, off), default=0.0) <= tolerance * scale:
             break
-        steps.append(solve(matrix, off))
+        ridge = 1e-9 * sum(metric[i][i] for i in range(k))
+        full = solve([[x + ridge * (i == j) for j, x in enumerate(row)] for i, row in enumerate(metric)], off)
+        points = [[*steps, [x * length for x in full]] for length in lengths]
+        found = at(points)
+        squares = [sum(x * x for x in o) for o, _ in found]
+        best = squares.index(min(squares))
+        if squares[best] >= sum(x * x for x in off) * (1 - 1e-6):
+            break
+        steps, (off, metric) = points[best], found[best]
+    if max(map(abs, off), default=0.0) > 1e-3 * scale:
+        warnings.warn(f"domains are off their targets {targets} by {off}", stacklevel=2)
     return steps
 
 
+def domain_totals(measured: DataFrame, steps: list[list[float]], domains: list[str], targets: list[float], whole: int | None = None) -> DataFrame:
+    """`domain, available, target, taken`: expected tokens of each domain before and after the rates."""
+    t, r = F.col("n_tokens").cast("double"), rate_of(F.col("p"), steps, whole)
+    each = measured.select(t.alias("t"), r.alias("r"), F.posexplode("p").alias("i", "q"))
+    sums = each.groupBy("i").agg(F.sum(F.col("t") * F.col("q")).alias("available"), F.sum(F.col("t") * F.col("r") * F.col("q")).alias("taken"))
+    names, goals = F.array(*[F.lit(d) for d in domains]), F.array(*[F.lit(float(x)) for x in targets])
+    return sums.select(names[F.col("i")].alias("domain"), "available", goals[F.col("i")].alias("target"), "taken")
+
+
 def fit_thinning(measured: DataFrame, share: list[float], whole: int, most_rounds: int = 40, tolerance: float = 1e-4) -> list[list[float]]:
     """One round's vector for `measured` (n_tokens, p) that thins the domains over their `share`, beside documents of `whole` at rate one.
 
@@ -214,11 +254,10 @@ def fit_thinning(measured: DataFrame, share: list[float], whole: int, most_round
     return [y]
 
 
-def measure_domains(docs: DataFrame, model: DomainModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`doc_id, n_tokens, p` of every row: words and posteriors."""
-    text = F.col(text_col)
+def with_domains(rows: DataFrame, model: DomainModel, text: Column) -> DataFrame:
+    """`rows` and `n_tokens, p`: words and posteriors of a text."""
     both = let(word_array(text), lambda w: F.struct(F.size(w).cast("long").alias("n_tokens"), model.posteriors(text, w).alias("p")))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), both.alias("x")).select("doc_id", "x.n_tokens", "x.p")
+    return rows.select("*", both.alias("measured")).select(*rows.columns, "measured.n_tokens", "measured.p")
 
 
 def targets_for(measured: DataFrame, weights: Mapping[str, float], domains: list[str], total: float | None) -> list[float]:
@@ -239,9 +278,9 @@ def mixing_rates(docs: DataFrame, labelled: DataFrame, weights: Mapping[str, flo
     ids may repeat or be null and other columns are ignored.
     """
     domains = list(weights)
-    rows = docs.withColumnsRenamed({id_col: "doc_id", text_col: "text"})
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     model = fit_domains(rows, labelled, domains, **options)
-    measured = stored(measure_domains(rows, model), "mixing")
+    measured = stored(with_domains(rows, model, F.col("text")).drop("text"), "mixing")
     steps = fit_rates(measured, targets_for(measured, weights, domains, total))
     return measured.withColumn("rate", rate_of(F.col("p"), steps))
 
@@ -249,21 +288,21 @@ def mixing_rates(docs: DataFrame, labelled: DataFrame, weights: Mapping[str, flo
 def mixed_documents(docs: DataFrame, labelled: DataFrame, weights: Mapping[str, float], total: float | None = None, whole: str | None = None, **options) -> DataFrame:
     """`docs` with each row taken as often as its rate says: the whole part, and once more if a hash of the row is under the rest.
 
-    With a domain `whole`, its documents are all taken once, others once or not at all, and `total` plays no part.
+    With a domain `whole`, its documents are all taken once, others once or not at all, and `total` plays no part. Columns stay as they
+    are, whatever their names.
     """
     domains = list(weights)
-    model = fit_domains(docs, labelled, domains, **options)
-    measured = stored(measure_domains(docs, model), "mixing")
+    model = fit_domains(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), labelled, domains, **options)
+    # The rows are kept beside their posteriors, which are thus worked out once.
+    measured = stored(with_domains(docs.select(F.struct("*").alias("row")), model, F.col("row.text")), "mixing")
     kept = None if whole is None else domains.index(whole)
     if kept is None:
         steps = fit_rates(measured, targets_for(measured, weights, domains, total))
     else:
         steps = fit_thinning(measured, [weights[d] / sum(weights.values()) for d in domains], kept)
-    text = F.col("text")
-    rate = let(word_array(text), lambda w: let(model.posteriors(text, w), lambda p: rate_of(p, steps, kept)))
     # A rate within the fit's tolerance of a whole number is that number.
-    near = let(rate, lambda r: F.when(F.abs(r - F.round(r)) < 1e-3, F.round(r)).otherwise(r))
-    chance = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
+    near = let(rate_of(F.col("p"), steps, kept), lambda r: F.when(F.abs(r - F.round(r)) < 1e-3, F.round(r)).otherwise(r))
+    chance = F.pmod(F.xxhash64("row.doc_id", "row.text"), F.lit(1 << 30)) / float(1 << 30)
     copies = let(near, lambda r: (F.floor(r) + F.when(chance < r - F.floor(r), 1).otherwise(0)).cast("int"))
     # array_repeat gives no element for 0.
-    return docs.select("*", F.explode(F.array_repeat(F.lit(1), copies)).alias("_copy")).drop("_copy")
+    return measured.select("row", F.explode(F.array_repeat(F.lit(1), copies)).alias("copy")).select("row.*")
