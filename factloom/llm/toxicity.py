@@ -2,15 +2,17 @@
 
 Logistic regression on the presence of words and of their beginnings. Beside the loss on the labels it has a counterfactual penalty:
 for every labelled sentence with an identity term, the squared change of the score when another term of the same group takes its
-place. In a linear model that change is the difference of the two terms' weights, so the penalty needs only how many labelled sentences
-hold each term.
+place. The swap is really made: the penalty is on the weights of the features that the text gains and loses by it.
 
-The fit uses at most about `sample_docs` labelled documents (distinct texts, chosen by a hash) and the `max_features` features that
-tell the classes apart best; both are parameters that bound the model. Every document is scored, over its whole text.
+The fit uses at most about `sample_docs` labelled documents, half of each class and chosen by a hash, which bounds the model; rows weigh
+as much as they stand for. Features are those that tell the classes apart beyond chance (`min_z`). Every document is scored, over its
+whole text.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .language_id import letters_only
+from .shared import stored
 from .textarrow import coded, hashed, mixed, pieces, row_of, split_words
 
 # Identity terms, by the groups within which they are swapped.
@@ -38,6 +41,7 @@ IDENTITY_GROUPS = [
 ]
 
 STARTS = (4, 5, 6)
+SWAPS = pa.list_(pa.struct([("gone", pa.list_(pa.int32())), ("come", pa.list_(pa.int32())), ("n", pa.int32())]))
 
 
 def word_features(words: pa.Array) -> np.ndarray:
@@ -85,48 +89,83 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-(total + self.bias)))
 
 
-def swap_pairs(groups: list[list[str]], sentences: dict[str, int]) -> list[tuple[str, str, int]]:
-    """(term, other term of its group, labelled sentences with the term) of every swap."""
-    return [(a, b, sentences[a]) for group in groups for a in group if sentences.get(a) for b in group if b != a]
-
-
-def descend(indptr: np.ndarray, index: np.ndarray, y: np.ndarray, n_features: int, swaps: list[tuple[np.ndarray, np.ndarray, int]], penalty: float, l2: float, steps: int) -> tuple[np.ndarray, float]:
-    """Weights and bias by gradient descent with momentum. The step of each weight follows a bound of its curvature."""
-    rows = np.repeat(np.arange(len(y)), np.diff(indptr))
-    n = max(1, len(y))
-    w, b = np.zeros(n_features), float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))
-    width = max(1, int(np.diff(indptr).max(initial=1)))
-    bound = 0.25 * np.bincount(index, minlength=n_features) * min(width, 40) / n + l2 / n
+#: A sentence and what ends it.
+SENTENCE = re.compile(r"[^.!?\n]+[.!?\n]*|[.!?\n]+")
+
+
+def swapped_texts(text: str, groups: list[list[str]]) -> list[str]:
+    """The text once for each sentence with an identity term and each other term of its group, that put in the term's place there."""
+    others = {t: [o for o in group if o != t] for group in groups for t in group}
+    out, low = [], text.lower()
+    if len(low) != len(text):
+        text = low
+    for sentence in SENTENCE.finditer(low):
+        part = sentence.group()
+        for term in dict.fromkeys(w for w in re.findall(r"[^\W\d_]+", part) if w in others):
+            for other in others[term]:
+                changed = re.sub(rf"(?<![^\W\d_]){re.escape(term)}(?![^\W\d_])", other, part)
+                out.append(text[: sentence.start()] + changed + text[sentence.end() :])
+    return out
+
+
+def swap_changes(texts: list[str], vocabulary: np.ndarray, groups: list[list[str]]) -> Counter:
+    """How often swaps in some texts change the same features: (lost, gained) places in the vocabulary, and the number of swaps."""
+    out: Counter = Counter()
+    for text in texts:
+        made = swapped_texts(text, groups)
+        for i in range(0, len(made), 100):
+            part = made[i : i + 100]
+            row, feature = present(pa.array([text, *part]), vocabulary)
+            own = set(feature[row == 0].tolist())
+            for k in range(1, len(part) + 1):
+                new = set(feature[row == k].tolist())
+                out[tuple(sorted(own - new)), tuple(sorted(new - own))] += 1
+    return out
+
+
+def descend(
+    indptr: np.ndarray, index: np.ndarray, y: np.ndarray, weight: np.ndarray, n_features: int, swaps: list[tuple[np.ndarray, np.ndarray, int]], penalty: float, l2: float, steps: int
+) -> tuple[np.ndarray, float]:
+    """Weights and bias by gradient descent with momentum; the step of each weight follows a bound of its curvature (row sums)."""
+    width = np.diff(indptr)
+    rows = np.repeat(np.arange(len(y)), width)
+    n = max(weight.sum(), 1e-9)
+    w, b = np.zeros(n_features), float(np.log(((weight * y).sum() + 0.5) / ((weight * (1 - y)).sum() + 0.5)))
+    bound = 0.25 * np.bincount(index, weights=(weight * (width + 1))[rows], minlength=n_features) / n + l2 / n
+    bound_b = 0.25 * (weight * (width + 1)).sum() / n
     held = max(1, sum(c for *_, c in swaps))
     for gone, come, c in swaps:
         bound[np.concatenate([gone, come])] += 2 * penalty * c / held * (len(gone) + len(come))
     speed, at_b = np.zeros(n_features), 0.0
     for _ in range(steps):
-        ahead, ahead_b = w + 0.9 * speed, b + 0.9 * at_b
+        ahead, ahead_b = w + 0.95 * speed, b + 0.95 * at_b
         z = np.bincount(rows, weights=ahead[index], minlength=len(y)) + ahead_b
-        off = 1 / (1 + np.exp(-np.clip(z, -40, 40))) - y
+        off = weight * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y)
         g = np.bincount(index, weights=off[rows], minlength=n_features) / n + l2 * ahead / n
         for gone, come, c in swaps:
             change = ahead[come].sum() - ahead[gone].sum()
             g[come] += 2 * penalty * c / held * change
             g[gone] -= 2 * penalty * c / held * change
-        speed, at_b = 0.9 * speed - 0.3 * g / bound, 0.9 * at_b - 0.3 * off.mean()
+        speed, at_b = 0.95 * speed - g / bound, 0.95 * at_b - off.sum() / n / bound_b
         w, b = w + speed, b + at_b
     return w, b
 
 
 def fit(
-    labelled: DataFrame, sample_docs: int = 20_000, max_features: int = 4096, min_docs: int = 5, penalty: float = 1.0, l2: float = 0.3,
-    steps: int = 400, groups: list[list[str]] = IDENTITY_GROUPS,
+    labelled: DataFrame, sample_docs: int = 20_000, min_z: float = 2.5, min_docs: int = 3, penalty: float = 1.0, l2: float = 0.1,
+    steps: int = 600, groups: list[list[str]] = IDENTITY_GROUPS,
 ) -> ToxicityModel:
-    """Learn from `labelled` (text, toxic 0/1); rows without either teach nothing. Without rows, every score is 0.5."""
-    rows = labelled.where("text is not null and toxic is not null").select("text", F.col("toxic").cast("int").alias("toxic"))
-    n = rows.agg(F.count("*")).first()[0]
-    if not n:
+    """Learn from `labelled` (text, toxic 0/1, and how many rows a row stands for in `weight` if there is one); rows without text or label
+    teach nothing, and texts alike are one. Without rows, every score is 0.5."""
+    weight = F.col("weight") if "weight" in labelled.columns else F.lit(1.0)
+    rows = labelled.where("text is not null and toxic is not null").select("text", F.col("toxic").cast("int").alias("toxic"), weight.cast("double").alias("weight"))
+    sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    if not sizes:
         return ToxicityModel(np.zeros(0, np.uint64), np.zeros(0), 0.0)
-    keep = min(1.0, sample_docs / n)
-    chosen = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(keep * (1 << 30))) if keep < 1 else rows
-    chosen = chosen.groupBy("text").agg(F.max("toxic").alias("toxic"))
+    keep = {k: min(1.0, sample_docs / 2 / n) for k, n in sizes.items()}
+    share = F.element_at(F.create_map(*[F.lit(x) for k, v in keep.items() for x in (k, v)]), F.col("toxic"))
+    chosen = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share * (1 << 30)).withColumn("weight", F.col("weight") / share)
+    chosen = stored(chosen.groupBy("text").agg(F.max("toxic").alias("toxic"), F.max("weight").alias("weight")), "toxicity-sample")
 
     def count(batches):
         for batch in pieces(batches, "text"):
@@ -136,40 +175,38 @@ def fit(
             bad = np.bincount(inverse, weights=y[row], minlength=len(names)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(bad), pa.array(np.bincount(inverse, minlength=len(names)) - bad)], ["feature", "bad", "good"])
 
-    per = chosen.mapInArrow(count, "feature long, bad long, good long").groupBy("feature").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    per = chosen.select("text", "toxic").mapInArrow(count, "feature long, bad long, good long").groupBy("feature").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     classes = chosen.agg(F.sum("toxic"), F.count("*")).first()
     bad_docs, good_docs = classes[0], classes[1] - classes[0]
     a, c = F.col("bad") + 0.5, F.col("good") + 0.5
     odds = F.log(a / (bad_docs + 1 - F.col("bad") + 0.5)) - F.log(c / (good_docs + 1 - F.col("good") + 0.5))
-    best = per.where(F.col("bad") + F.col("good") >= min_docs).select("feature", F.abs(odds / F.sqrt(1 / a + 1 / c)).alias("z")).orderBy(F.desc("z"), "feature").limit(max_features)
-    terms = sorted({t for group in groups for t in group})
-    of_term = dict(zip(terms, word_features(pa.array(terms))))
-    names = [r[0] for r in best.select("feature").collect()]
-    vocabulary = np.unique(np.concatenate([np.array(names, np.int64).view(np.uint64), np.concatenate([f[f != 0] for f in of_term.values()])]))
+    telling = (F.col("bad") + F.col("good") >= min_docs) & (F.abs(odds / F.sqrt(1 / a + 1 / c)) > min_z)
+    terms = word_features(pa.array(sorted({t for group in groups for t in group})))
+    names = per.where(telling).select("feature").toArrow()["feature"].to_numpy()
+    vocabulary = np.unique(np.concatenate([names.view(np.uint64), terms[terms != 0]]))
 
     def gather(batches):
         for batch in pieces(batches, "text"):
             row, feature = present(batch.column("text"), vocabulary)
-            sentences = pc.split_pattern_regex(pc.utf8_lower(batch.column("text")), r"[.!?\n]+")
-            flat, at = split_words(letters_only(sentences.flatten()))
-            place = pc.index_in(flat, value_set=pa.array(terms)).fill_null(-1).to_numpy(zero_copy_only=False)
-            hit = place >= 0
-            held = np.unique(row_of(at)[hit] * len(terms) + place[hit]) % len(terms)
             offsets = np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)
-            # The batch's counts of sentences by term go with its first row.
-            counts = [np.bincount(held, minlength=len(terms)).tolist()] + [None] * (batch.num_rows - 1)
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(feature.astype(np.int32))), pa.array(counts, pa.list_(pa.int32()))], ["toxic", "features", "sentences"])
-
-    # The bounded sample, as places in the bounded vocabulary.
-    got = chosen.mapInArrow(gather, "toxic int, features array<int>, sentences array<int>").toArrow()
+            changes = swap_changes(batch.column("text").to_pylist(), vocabulary, groups)
+            # The batch's swaps go with its first row.
+            held = [[{"gone": list(g), "come": list(x), "n": n} for (g, x), n in changes.items()]] + [None] * (batch.num_rows - 1)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("toxic"), batch.column("weight"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(feature.astype(np.int32))), pa.array(held, SWAPS)], ["toxic", "weight", "features", "swaps"]
+            )
+
+    # The bounded sample, as places in its vocabulary.
+    got = chosen.mapInArrow(gather, "toxic int, weight double, features array<int>, swaps array<struct<gone:array<int>,come:array<int>,n:int>>").toArrow()
     lists = got["features"].combine_chunks()
     index = lists.flatten().to_numpy()
     indptr = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])
-    counts = got["sentences"].drop_null().to_pylist()
-    sentences = dict(zip(terms, np.array(counts).sum(0).tolist())) if counts else {}
-    places = {t: np.searchsorted(vocabulary, f[f != 0]) for t, f in of_term.items()}
-    swaps = [(places[x], places[y], c) for x, y, c in swap_pairs(groups, sentences)]
-    w, b = descend(indptr, index, got["toxic"].to_numpy().astype(float), len(vocabulary), swaps, penalty, l2, steps)
+    total: Counter = Counter()
+    for part in got["swaps"].drop_null().to_pylist():
+        for x in part:
+            total[tuple(x["gone"]), tuple(x["come"])] += x["n"]
+    swaps = [(np.array(g, np.int64), np.array(x, np.int64), n) for (g, x), n in sorted(total.items()) if g or x]
+    w, b = descend(indptr, index, got["toxic"].to_numpy().astype(float), got["weight"].to_numpy(), len(vocabulary), swaps, penalty, l2, steps)
     return ToxicityModel(vocabulary, w, b)
 
 
@@ -187,10 +224,17 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(score, "doc_id long, score double")
 
 
-def labelled_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """`doc_id, text, toxic` of labelled documents; of several labels of one id the larger holds."""
-    one = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return docs.select("doc_id", "text").join(one, "doc_id")
+def labelled_texts(docs: DataFrame, labels: DataFrame, sample_docs: int = 20_000) -> DataFrame:
+    """`doc_id, text, toxic, weight` of labelled documents, at most about `sample_docs` of them and half of each class, chosen by a hash of
+    their id; `weight` is how many labels a row stands for. Of several labels of one id the larger holds."""
+    one = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    sizes = {r["toxic"]: r["n"] for r in one.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    share = F.lit(1.0)
+    for k, n in sizes.items():
+        share = F.when(F.col("toxic") == k, min(1.0, sample_docs / 2 / n)).otherwise(share)
+    chosen = one.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30)).withColumn("weight", 1 / share)
+    # As many rows as the sample's bound says, however large the tables.
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
