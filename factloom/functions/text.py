@@ -42,6 +42,18 @@ def term_windows(words: Column, most: int = ANCHOR_WORDS) -> Column:
     return F.when(F.size(words) > 0, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
 
 
+def question_words(question: Column) -> Column:
+    """Words of a question: between white space and punctuation other than `'` and `-`, which go from a word's ends only; lower case."""
+    words = F.array_remove(F.split(question, r"(?U)[\s[\p{P}&&[^'\-]]]+"), "")
+    return F.transform(words, lambda w: F.lower(F.regexp_replace(w, "^['-]+|['-]+$", "")))
+
+
+def terms_of(question: Column, most: int = ANCHOR_WORDS) -> Column:
+    """Names that a question may hold, in order of first sight: runs of one to `most` words, each also without a possessive ending."""
+    forms = F.flatten(F.transform(term_windows(question_words(question), most), lambda t: F.array(t, F.regexp_replace(t, "'s$", ""))))
+    return F.array_distinct(F.array_remove(forms, ""))
+
+
 def exact_span(content: Column, quote: Column) -> Column:
     """Byte range of the first exact occurrence of a quote, null where there is none or the quote is blank."""
     at = F.instr(content, quote)

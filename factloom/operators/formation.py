@@ -19,8 +19,9 @@ def admit(proposals: DataFrame, vocabulary: DataFrame, unresolvable: list[str])
     """Every proposal with the first gate that it fails as `reason`, null where it is admitted.
 
     Gates in order: relation, subject term, object term, blank ends, quote, polarity, tense, duplicate within the message. Duplicates count
-    among rows that pass all other gates only.
+    among rows that pass all other gates only; the first in `arrival` stays (where there is no such column, the first by quote).
     """
+    first = ["arrival"] if "arrival" in proposals.columns else []
     rows = with_spans(proposals).join(F.broadcast(vocabulary.select("predicate", "semantic_type", "cardinality", "object_kind", "event")), "predicate", "left")
     subject, obj = normalised(F.col("subject")), normalised(F.col("object"))
     gate = (
@@ -32,7 +33,7 @@ def admit(proposals: DataFrame, vocabulary: DataFrame, unresolvable: list[str])
         .when((F.col("tense") != "present") & ~((F.col("tense") == "past") & F.col("event")), "not_current")
     )
     rows = rows.select("*", subject.alias("subject_norm"), obj.alias("object_norm"), gate.alias("gate"))
-    key = Window.partitionBy("scope", "source_id", "ordinal", "predicate", "subject_norm", "object_norm", F.col("gate").isNull()).orderBy("quote", "byte_start")
+    key = Window.partitionBy("scope", "source_id", "ordinal", "predicate", "subject_norm", "object_norm", F.col("gate").isNull()).orderBy(*first, "quote", "byte_start")
     twin = F.when(F.col("gate").isNull() & (F.row_number().over(key) > 1), "duplicate_claim")
     return rows.select("*", F.coalesce("gate", twin).alias("reason")).drop("gate").withColumns({"subject_type": known_kind(F.col("subject_type"), F.lit("")), "object_type": known_kind(F.col("object_type"), F.col("object_kind"))})
 

@@ -40,14 +40,14 @@ def visible(facts: DataFrame, scope: str, roles: list[str], now: str, data_subje
 
 
 def directed_edges(facts: DataFrame, cap: int = FANOUT) -> DataFrame:
-    """`entity_id, direction, fact_id, other_id, capped`: each end's first `cap` facts by id in each direction.
+    """`entity_id, direction, fact_id, predicate, other_id, capped`: each end's first `cap` facts by id in each direction.
 
     Ranks count facts without another end too, and every path that reaches an entity sees the same rows, so ranking once is enough.
     """
-    out = facts.selectExpr("subject_id as entity_id", "'out' as direction", "fact_id", "object_id as other_id")
-    back = facts.selectExpr("object_id as entity_id", "'in' as direction", "fact_id", "subject_id as other_id")
+    # Both ends of one scan, so that what makes the facts runs once.
+    ends = F.array(F.struct(F.col("subject_id").alias("entity_id"), F.lit("out").alias("direction"), F.col("object_id").alias("other_id")), F.struct(F.col("object_id").alias("entity_id"), F.lit("in").alias("direction"), F.col("subject_id").alias("other_id")))
     rank = F.row_number().over(Window.partitionBy("entity_id", "direction").orderBy("fact_id"))
-    near = out.unionByName(back).where("entity_id is not null").withColumn("rn", rank).where(F.col("rn") <= cap + 1)
+    near = facts.select("fact_id", "predicate", F.inline(ends)).where("entity_id is not null").withColumn("rn", rank).where(F.col("rn") <= cap + 1)
     over = F.max("rn").over(Window.partitionBy("entity_id", "direction")) > cap
     return near.withColumn("capped", over).where((F.col("rn") <= cap) & F.col("other_id").isNotNull()).drop("rn")
 
@@ -55,7 +55,8 @@ def directed_edges(facts: DataFrame, cap: int = FANOUT) -> DataFrame:
 def walk(starts: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
     """`question_id, fact_id, anchor_id, hops, path, via, capped`: facts within `hops` steps of an anchor on simple paths.
 
-    A fact keeps its shortest path; of equals, the first by anchor and path. Hops are 1 or 2 and unrolled.
+    A fact keeps its shortest path; of equals, the first by anchor and path. `via` holds the predicates along the path. Hops are 1 or 2
+    and unrolled.
     """
     at = starts.select("question_id", "anchor_id", F.col("anchor_id").alias("node"), F.array("anchor_id").alias("path"), F.array().cast("array<string>").alias("via"), F.lit(False).alias("was"))
     levels = []
@@ -63,7 +64,7 @@ def walk(starts: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
         at = (
             at.join(edges, F.col("node") == F.col("entity_id"))
             .where(~F.array_contains("path", F.col("other_id")))
-            .select("question_id", "anchor_id", F.col("other_id").alias("node"), F.array_append("path", F.col("other_id")).alias("path"), F.array_append("via", F.col("fact_id")).alias("via"), (F.col("was") | F.col("capped")).alias("was"), "fact_id")
+            .select("question_id", "anchor_id", F.col("other_id").alias("node"), F.array_append("path", F.col("other_id")).alias("path"), F.array_append("via", F.col("predicate")).alias("via"), (F.col("was") | F.col("capped")).alias("was"), "fact_id")
         )
         levels.append(at.select("question_id", "fact_id", "anchor_id", F.lit(hop).alias("hops"), "path", "via", F.col("was").alias("capped")))
         at = at.drop("fact_id")
@@ -84,6 +85,19 @@ def attach_evidence(found: DataFrame, facts: DataFrame, evidence: DataFrame, nam
     return rows.join(label("subject_id"), "subject_id", "left").join(label("object_id"), "object_id", "left")
 
 
+def named_paths(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """`rows` with `path_names`: the names of each path's entities in order, empty where an entity has none."""
+    each = rows.select("question_id", "fact_id", F.posexplode("path").alias("at", "entity_id")).join(names, "entity_id", "left")
+    ordered = F.array_sort(F.collect_list(F.struct("at", F.coalesce("canonical_name", F.lit("")).alias("name"))))
+    return rows.join(each.groupBy("question_id", "fact_id").agg(F.transform(ordered, lambda x: x["name"]).alias("path_names")), ["question_id", "fact_id"])
+
+
+def fact_size(context: Column) -> Column:
+    """Characters that a recalled fact takes: its ends, predicate, statement, role, quote, context, and the words of its path."""
+    listed = F.aggregate(F.concat("path_names", "via"), F.lit(0), lambda n, x: n + F.char_length(x))
+    return characters(*[F.col(c) for c in ("subject_name", "predicate", "object_name", "statement", "source_role", "quote")], context) + listed
+
+
 def characters(*texts: Column) -> Column:
     out = F.lit(0)
     for t in texts:

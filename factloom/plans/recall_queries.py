@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import temporal
-from factloom.functions.text import term_windows
+from factloom.functions.text import normalised, terms_of
 from factloom.operators import formation, recall
 from factloom.sources import adapters as a
 from factloom.sources.adapters import with_shapes
@@ -19,33 +19,37 @@ VALID, KNOWN = "1995-06-15 00:00:00", "1996-01-01 00:00:00"
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One question a supplier and nation, read as terms: `question_id, term`."""
     s, n = a.table(spark, sf_dir, "supplier"), a.table(spark, sf_dir, "nation")
-    asked = s.selectExpr("'qs:' || s_suppkey as question_id", "'Where is ' || s_name as question").unionByName(n.selectExpr("'qn:' || n_nationkey as question_id", "'Who lives in ' || n_name as question"))
-    words = F.split(F.lower("question"), " ")
-    return asked.select("question_id", F.explode(term_windows(words)).alias("term"))
+    # As people ask: with marks, and with a possessive.
+    suppliers = s.selectExpr("'qs:' || s_suppkey as question_id", "'So: where is ' || translate(s_name, '#_', '  ') || '\\'s office?' as question")
+    asked = suppliers.unionByName(n.selectExpr("'qn:' || n_nationkey as question_id", "'Who lives in \\'' || translate(n_name, '#_', '  ') || '\\', really?' as question"))
+    return asked.select("question_id", F.explode(terms_of(F.col("question"))).alias("term"))
 
 
 QUESTIONS_SQL = """
-asked AS (SELECT 'qs:' || s_suppkey AS question_id, string_split(lower('Where is ' || s_name), ' ') AS w FROM supplier UNION ALL SELECT 'qn:' || n_nationkey, string_split(lower('Who lives in ' || n_name), ' ') FROM nation),
-terms AS (SELECT DISTINCT question_id, array_to_string(w[i:i + n - 1], ' ') AS term FROM (SELECT question_id, w, unnest(range(1, len(w) + 1)) AS i FROM asked), (SELECT unnest([1, 2, 3, 4]) AS n) WHERE i + n - 1 <= len(w))"""
+asked AS (SELECT 'qs:' || s_suppkey AS question_id, 'So: where is ' || translate(s_name, '#_', '  ') || '''s office?' AS q FROM supplier UNION ALL SELECT 'qn:' || n_nationkey, 'Who lives in ''' || translate(n_name, '#_', '  ') || ''', really?' FROM nation),
+worded AS (SELECT question_id, [lower(trim(x, '''-')) FOR x IN string_split(translate(q, ':,?', '   '), ' ') IF x <> ''] AS w FROM asked),
+runs AS (SELECT question_id, array_to_string(w[i:i + n - 1], ' ') AS term FROM (SELECT question_id, w, unnest(range(1, len(w) + 1)) AS i FROM worded), (SELECT unnest([1, 2, 3, 4]) AS n) WHERE i + n - 1 <= len(w)),
+terms AS (SELECT DISTINCT question_id, term FROM (SELECT * FROM runs UNION ALL SELECT question_id, CASE WHEN term LIKE '%''s' THEN left(term, length(term) - 2) ELSE term END FROM runs) WHERE term <> '')"""
 
 ANCHORS_SQL = "anchors AS (SELECT question_id, entity_id AS anchor_id, term, canonical_name FROM terms JOIN entities ON term = normalized_name)"
 
 VISIBLE_SQL = f"visible AS (SELECT * FROM facts WHERE scope = 'p0' AND source_role IN ('user', 'assistant') AND (retention_until IS NULL OR retention_until > TIMESTAMP '{NOW}'))"
 EDGES_SQL = f"""
-arms AS (SELECT subject_id AS entity_id, 'out' AS direction, fact_id, object_id AS other_id FROM visible UNION ALL SELECT object_id, 'in', fact_id, subject_id FROM visible WHERE object_id IS NOT NULL),
-edges AS (SELECT entity_id, direction, fact_id, other_id, n > {CAP} AS capped FROM (SELECT *, row_number() OVER (PARTITION BY entity_id, direction ORDER BY fact_id) AS rn, count(*) OVER (PARTITION BY entity_id, direction) AS n FROM arms) WHERE rn <= {CAP} AND other_id IS NOT NULL)"""
+arms AS (SELECT subject_id AS entity_id, 'out' AS direction, fact_id, predicate, object_id AS other_id FROM visible UNION ALL SELECT object_id, 'in', fact_id, predicate, subject_id FROM visible WHERE object_id IS NOT NULL),
+edges AS (SELECT entity_id, direction, fact_id, predicate, other_id, n > {CAP} AS capped FROM (SELECT *, row_number() OVER (PARTITION BY entity_id, direction ORDER BY fact_id) AS rn, count(*) OVER (PARTITION BY entity_id, direction) AS n FROM arms) WHERE rn <= {CAP} AND other_id IS NOT NULL)"""
 WALK_SQL = """
-h1 AS (SELECT question_id, anchor_id, other_id AS node, [anchor_id, other_id] AS path, [fact_id] AS via, capped, fact_id, 1 AS hops FROM anchors JOIN edges ON anchor_id = entity_id WHERE other_id <> anchor_id),
-h2 AS (SELECT question_id, anchor_id, other_id AS node, list_append(path, other_id) AS path, list_append(via, edges.fact_id) AS via, h1.capped OR edges.capped AS capped, edges.fact_id, 2 AS hops FROM h1 JOIN edges ON node = entity_id WHERE NOT list_contains(path, other_id)),
+h1 AS (SELECT question_id, anchor_id, other_id AS node, [anchor_id, other_id] AS path, [predicate] AS via, capped, fact_id, 1 AS hops FROM anchors JOIN edges ON anchor_id = entity_id WHERE other_id <> anchor_id),
+h2 AS (SELECT question_id, anchor_id, other_id AS node, list_append(path, other_id) AS path, list_append(via, edges.predicate) AS via, h1.capped OR edges.capped AS capped, edges.fact_id, 2 AS hops FROM h1 JOIN edges ON node = entity_id WHERE NOT list_contains(path, other_id)),
 walked AS (SELECT question_id, fact_id, hops, anchor_id, path, via, capped FROM (SELECT * FROM h1 UNION ALL SELECT * FROM h2) QUALIFY row_number() OVER (PARTITION BY question_id, fact_id ORDER BY hops, anchor_id, path, via) = 1)"""
 EVIDENCE_SQL = """
 evidence AS (SELECT projection_id AS fact_id, source_id, min(try_cast(substring(source_id, 2) AS BIGINT)) OVER (PARTITION BY projection_id) AS first, try_cast(substring(source_id, 2) AS BIGINT) AS log_offset FROM lineage WHERE projection_kind = 'fact'),
 cited AS (SELECT fact_id, source_id, log_offset FROM evidence QUALIFY row_number() OVER (PARTITION BY fact_id ORDER BY log_offset, source_id) = 1)"""
 CUT_SQL = """
-offered AS (SELECT w.*, v.predicate, v.statement, c.source_id, es.canonical_name AS subject_name, eo.canonical_name AS object_name FROM walked w JOIN visible v USING (fact_id) JOIN cited c USING (fact_id) LEFT JOIN entities es ON es.entity_id = v.subject_id LEFT JOIN entities eo ON eo.entity_id = v.object_id),
-sized AS (SELECT *, length(statement) + coalesce(length(subject_name), 0) + coalesce(length(object_name), 0) + length(predicate) AS size FROM offered),
+pathed AS (SELECT question_id, fact_id, sum(length(coalesce(canonical_name, ''))) AS path_size FROM (SELECT question_id, fact_id, unnest(path) AS e FROM walked) LEFT JOIN entities ON e = entity_id GROUP BY 1, 2),
+offered AS (SELECT w.*, path_size + list_sum([length(x) FOR x IN via]) AS listed, v.predicate, v.statement, v.source_role, c.source_id, es.canonical_name AS subject_name, eo.canonical_name AS object_name FROM walked w JOIN pathed USING (question_id, fact_id) JOIN visible v USING (fact_id) JOIN cited c USING (fact_id) LEFT JOIN entities es ON es.entity_id = v.subject_id LEFT JOIN entities eo ON eo.entity_id = v.object_id),
+sized AS (SELECT *, length(statement) + coalesce(length(subject_name), 0) + coalesce(length(object_name), 0) + length(predicate) + length(source_role) + listed AS size FROM offered),
 run AS (SELECT *, row_number() OVER w AS place, sum(size) OVER (w ROWS UNBOUNDED PRECEDING) AS total FROM sized WINDOW w AS (PARTITION BY question_id ORDER BY hops, predicate, fact_id)),
-cutted AS (SELECT *, CASE WHEN place > 20 THEN 'rows' WHEN total > 900 THEN 'characters' END AS cut FROM run)"""
+cutted AS (SELECT *, CASE WHEN place > 20 THEN 'rows' WHEN total > 1800 THEN 'characters' END AS cut FROM run)"""
 
 
 def _visible(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,10 +71,10 @@ def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = a.entities(spark, sf_dir).select("entity_id", "canonical_name")
-    facts = _visible(spark, sf_dir).select("fact_id", "subject_id", "object_id", "predicate", "statement")
-    offered = recall.attach_evidence(_walk(spark, sf_dir, 2), facts, _evidence(spark, sf_dir), names)
-    size = recall.characters(F.col("statement"), F.col("subject_name"), F.col("object_name"), F.col("predicate"))
-    return recall.cut(offered, ["question_id"], ["hops", "predicate", "fact_id"], size, budget=900, most=20)
+    facts = _visible(spark, sf_dir).select("fact_id", "subject_id", "object_id", "predicate", "statement", "source_role")
+    offered = recall.named_paths(recall.attach_evidence(_walk(spark, sf_dir, 2), facts, _evidence(spark, sf_dir), names), names)
+    # Facts of these tables have no quoted text, so there is no context either.
+    return recall.cut(offered, ["question_id"], ["hops", "predicate", "fact_id"], recall.fact_size(F.lit("")), budget=1800, most=20)
 
 
 def question_terms(spark, sf_dir):
@@ -83,7 +87,7 @@ def recall_anchors(spark, sf_dir):
 
 def anchors_of_subject(spark, sf_dir):
     """Anchors that a data subject's sources support (the lineage names facts; their subjects are the entities)."""
-    own = a.lineage(spark, sf_dir).where("projection_kind = 'fact'").selectExpr("'entity' as projection_kind", "'c:' || split_part(projection_id, ':', 3) as projection_id", "data_subject_id")
+    own = a.lineage(spark, sf_dir).where("projection_kind = 'fact'").selectExpr("'entity' as projection_kind", "split_part(projection_id, ':', 2) || ':' || split_part(projection_id, ':', 3) as projection_id", "data_subject_id")
     named = a.entities(spark, sf_dir).where("entity_type = 'person'").select(F.lit("all").alias("question_id"), F.col("entity_id").alias("anchor_id"), "canonical_name")
     return recall.of_subject(named, own, "u3").select("anchor_id", "canonical_name")
 
@@ -114,18 +118,18 @@ def recall_reach(spark, sf_dir):
 
 
 def recall_co_derived(spark, sf_dir):
-    """Facts of one source about one subject name each other."""
-    facts = a.facts(spark, sf_dir).where("predicate = 'lives_in'")
-    rows = facts.join(_evidence(spark, sf_dir), "fact_id").select(F.lit("all").alias("question_id"), "fact_id", "source_id", "source_ordinal", F.col("object_id").alias("subject_norm"))
-    return recall.co_derived(rows).select("fact_id", F.size("co_derived").cast("long").alias("n"), F.element_at("co_derived", 1).alias("first"))
+    """Of the facts kept for a question, those of one message about one subject name each other."""
+    rows = _cut(spark, sf_dir).where("cut is null").withColumn("subject_norm", F.coalesce(normalised(F.col("subject_name")), F.lit("")))
+    return recall.co_derived(rows).select("question_id", "fact_id", F.size("co_derived").cast("long").alias("n"), F.element_at("co_derived", 1).alias("first"))
 
 
 def recall_surfaces(spark, sf_dir):
     """Facts, then passages of the question's scope, under one budget."""
     facts = _cut(spark, sf_dir).where("cut is null").select("question_id", F.col("fact_id").alias("item_id"), "place", "size")
-    lines = a.messages(spark, sf_dir).where("ordinal = 0").select(F.col("source_id").alias("item_id"), F.char_length("content").alias("size"), F.row_number().over(Window.orderBy("conv_id")).alias("place")).where("place <= 8")
+    lines = a.messages(spark, sf_dir).where("ordinal = 0").orderBy("conv_id").limit(8)  # the surface's own limit
+    lines = lines.select(F.col("source_id").alias("item_id"), F.char_length("content").alias("size"), F.row_number().over(Window.orderBy("conv_id")).alias("place"))
     passages = questions(spark, sf_dir).select("question_id").distinct().join(F.broadcast(lines), F.lit(True))  # 8 rows
-    return recall.compose([facts, passages], 1500).groupBy("question_id", "surface").agg(F.count("*").alias("items"), F.sum("size").alias("size"))
+    return recall.compose([facts, passages], 3000).groupBy("question_id", "surface").agg(F.count("*").alias("items"), F.sum("size").alias("size"))
 
 
 def supersession(spark, sf_dir):
@@ -233,7 +237,7 @@ _CUT = ",".join([_WALKED, WALK_SQL, EVIDENCE_SQL, CUT_SQL])
 ORACLES = {
     "question_terms": f"WITH {QUESTIONS_SQL} SELECT question_id, count(*) AS n_terms, max(term) AS last_term FROM terms GROUP BY 1",
     "recall_anchors": with_shapes("entities", f"{QUESTIONS_SQL}, {ANCHORS_SQL} SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY length(term) DESC, canonical_name, anchor_id)::INT AS place FROM anchors"),
-    "anchors_of_subject": with_shapes("entities lineage", "SELECT entity_id AS anchor_id, canonical_name FROM entities WHERE entity_type = 'person' AND entity_id IN (SELECT 'c:' || split_part(projection_id, ':', 3) FROM lineage WHERE projection_kind = 'fact' AND data_subject_id = 'u3')"),
+    "anchors_of_subject": with_shapes("entities lineage", "SELECT entity_id AS anchor_id, canonical_name FROM entities WHERE entity_type = 'person' AND entity_id IN (SELECT split_part(projection_id, ':', 2) || ':' || split_part(projection_id, ':', 3) FROM lineage WHERE projection_kind = 'fact' AND data_subject_id = 'u3')"),
     "fanout_edges": with_shapes("facts", f"{VISIBLE_SQL}, {EDGES_SQL} SELECT entity_id, direction, count(*) AS kept, bool_or(capped) AS capped FROM edges GROUP BY 1, 2"),
     "walk_one_hop": with_shapes("entities facts", f"{_WALKED}, {WALK_SQL} SELECT question_id, fact_id, anchor_id, hops, capped FROM h1 QUALIFY row_number() OVER (PARTITION BY question_id, fact_id ORDER BY anchor_id, path) = 1"),
     "walk_two_hops": with_shapes("entities facts", f"{_WALKED}, {WALK_SQL} SELECT question_id, fact_id, anchor_id, hops, array_to_string(path, '>') AS path, array_to_string(via, '>') AS via, capped FROM walked"),
@@ -242,11 +246,11 @@ ORACLES = {
     "recall_reach": with_shapes("entities facts lineage", f"""{_CUT}, per AS (SELECT question_id, anchor_id, count(*) AS n, bool_or(capped) AS capped FROM cutted WHERE cut IS NULL GROUP BY 1, 2),
         f AS (SELECT question_id, sum(n)::BIGINT AS facts, max(n) AS most, bool_or(capped) AS capped FROM per GROUP BY 1), t AS (SELECT question_id, count(*) AS terms FROM terms GROUP BY 1), an AS (SELECT question_id, count(DISTINCT anchor_id) AS anchors FROM anchors GROUP BY 1)
         SELECT question_id, terms, coalesce(anchors, 0) AS anchors, coalesce(facts, 0) AS facts, coalesce(most, 0) AS most_from_one, coalesce(capped, false) AS capped FROM t LEFT JOIN an USING (question_id) LEFT JOIN f USING (question_id)"""),
-    "recall_co_derived": with_shapes("facts lineage", "e AS (SELECT fact_id, source_id, object_id FROM facts JOIN lineage ON fact_id = projection_id AND projection_kind = 'fact' WHERE predicate = 'lives_in') SELECT a.fact_id, count(DISTINCT b.fact_id) AS n, min(b.fact_id) AS first FROM e a JOIN e b ON a.source_id = b.source_id AND a.object_id = b.object_id AND a.fact_id <> b.fact_id GROUP BY 1"),
+    "recall_co_derived": with_shapes("entities facts lineage", f"{_CUT}, e AS (SELECT question_id, fact_id, source_id, lower(subject_name) AS s FROM cutted WHERE cut IS NULL AND subject_name <> '') SELECT a.question_id, a.fact_id, count(DISTINCT b.fact_id) AS n, min(b.fact_id) AS first FROM e a JOIN e b ON a.question_id = b.question_id AND a.source_id = b.source_id AND a.s = b.s AND a.fact_id <> b.fact_id GROUP BY 1, 2"),
     "recall_surfaces": with_shapes("entities facts lineage messages", f"""{_CUT}, lines AS (SELECT source_id, length(content) AS size, row_number() OVER (ORDER BY conv_id) AS place FROM messages WHERE ordinal = 0 QUALIFY place <= 8),
-        f AS (SELECT question_id, 0 AS surface, size FROM cutted WHERE cut IS NULL AND total <= 1500), spent AS (SELECT question_id, sum(size) AS spent FROM f GROUP BY 1),
+        f AS (SELECT question_id, 0 AS surface, size FROM cutted WHERE cut IS NULL AND total <= 3000), spent AS (SELECT question_id, sum(size) AS spent FROM f GROUP BY 1),
         p AS (SELECT q.question_id, l.size, sum(l.size) OVER (PARTITION BY q.question_id ORDER BY l.place ROWS UNBOUNDED PRECEDING) + coalesce(spent, 0) AS total FROM (SELECT DISTINCT question_id FROM terms) q CROSS JOIN lines l LEFT JOIN spent USING (question_id))
-        SELECT question_id, surface, count(*) AS items, sum(size)::BIGINT AS size FROM (SELECT * FROM f UNION ALL SELECT question_id, 1, size FROM p WHERE total <= 1500) GROUP BY 1, 2"""),
+        SELECT question_id, surface, count(*) AS items, sum(size)::BIGINT AS size FROM (SELECT * FROM f UNION ALL SELECT question_id, 1, size FROM p WHERE total <= 3000) GROUP BY 1, 2"""),
     "supersession": with_shapes("claims", f"{VERSIONS_SQL} SELECT claim_id, accepted, CASE WHEN accepted THEN next_valid END AS valid_to, CASE WHEN accepted THEN known_at END AS known_at FROM sup"),
     "refused_conflicts": with_shapes("claims", f"{VERSIONS_SQL} SELECT 'conflicting_value' AS reason, count(*) AS claims, count(DISTINCT subject_id) AS subjects FROM sup WHERE NOT accepted HAVING count(*) > 0"),
     "fact_history": with_shapes("claims", f"{VERSIONS_SQL} SELECT status, count(*) AS versions, count(DISTINCT subject_id) AS subjects, min(known_from) AS first, max(known_from) AS last FROM (SELECT *, CASE WHEN valid_to IS NULL THEN 'current' ELSE 'validity_closed' END AS status FROM vf UNION ALL SELECT *, 'knowledge_closed' FROM vh) GROUP BY 1"),

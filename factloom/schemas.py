@@ -32,7 +32,7 @@ REASONS = [
     "unmapped_relation", "unresolvable_subject", "unresolvable_object", "unlocatable_quote", "not_asserted", "not_current",
     "duplicate_claim", "conflicting_value", "not_spoken_by_principal", "entity_name_limit",
 ]
-SPEAKER_TERMS = ["i", "me", "my", "myself", "user", "the user"]
+SPEAKER_TERMS = ["i", "me", "myself", "the user", "user", "أنا", "انا", "نفسي"]
 # Kinds of derived rows, and whether a row survives while another source supports it.
 PROJECTION_KINDS = {
     "chunk": True, "fact": True, "entity": True, "rejected_claim": True, "community_report": False, "fact_history": False, "agent_artifact": False,

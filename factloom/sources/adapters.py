@@ -22,7 +22,7 @@ def role_of(key: str) -> Column:
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`scope, entity_id, canonical_name, normalized_name, entity_type`; of equal normalised names the lowest id."""
     parts = [("customer", "c:", "c_custkey", "c_name", "person"), ("supplier", "s:", "s_suppkey", "s_name", "organisation"), ("nation", "n:", "n_nationkey", "n_name", "place"), ("region", "r:", "r_regionkey", "r_name", "place")]
-    rows = [table(spark, sf_dir, t).selectExpr(f"'{p}' || {k} as entity_id", f"{n} as canonical_name", f"'{e}' as entity_type") for t, p, k, n, e in parts]
+    rows = [table(spark, sf_dir, t).selectExpr(f"'{p}' || {k} as entity_id", f"translate({n}, '#_', '  ') as canonical_name", f"'{e}' as entity_type") for t, p, k, n, e in parts]
     things = table(spark, sf_dir, "part").withColumn("normalized", normalised(F.col("p_name"))).groupBy("normalized").agg(F.min(F.struct("p_partkey", "p_name")).alias("x"))
     rows.append(things.selectExpr("'p:' || x.p_partkey as entity_id", "x.p_name as canonical_name", "'thing' as entity_type"))
     out = rows[0]
@@ -96,15 +96,18 @@ def proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """`scope, projection_kind, projection_id, source_id, data_subject_id`: each fact of a customer has one to three sources, each report one or two."""
+    """`scope, projection_kind, projection_id, source_id, data_subject_id`: each fact has one to three sources by its key, each report one or two."""
+    made = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey").distinct()
     base = table(spark, sf_dir, "customer").selectExpr("c_custkey as k", "'lives_in:c:' || c_custkey || ':n:' || c_nationkey as projection_id")
-    arms = [("k % 97", "true"), ("k % 89 + 100", "k % 2 = 0"), ("k % 83 + 200", "k % 3 = 0")]
-    rows = [base.where(w).selectExpr("'p0' as scope", "'fact' as projection_kind", "projection_id", f"'o' || ({o}) as source_id", f"case when k % 5 <> 0 then 'u' || (({o}) % 11) end as data_subject_id") for o, w in arms]
-    reports = [base.where("k % 10 = 0").selectExpr("'p0' as scope", "'community_report' as projection_kind", "'report:' || k as projection_id", f"'o' || ({o}) as source_id", f"'u' || (({o}) % 11) as data_subject_id") for o in ("k % 97", "k % 89 + 100")]
-    out = rows[0]
-    for r in rows[1:] + reports:
-        out = out.unionByName(r)
-    return out
+    base = base.unionByName(table(spark, sf_dir, "supplier").selectExpr("s_suppkey as k", "'located_in:s:' || s_suppkey || ':n:' || s_nationkey as projection_id"))
+    base = base.unionByName(table(spark, sf_dir, "nation").selectExpr("n_nationkey as k", "'part_of:n:' || n_nationkey || ':r:' || n_regionkey as projection_id"))
+    base = base.unionByName(made.selectExpr("l_partkey as k", "'created:s:' || l_suppkey || ':p:' || l_partkey as projection_id"))
+    source = lambda o: f"struct('o' || ({o}) as source_id, case when k % 5 <> 0 then 'u' || (({o}) % 11) end as data_subject_id)"
+    arms = f"filter(array({source('k % 97')}, if(k % 2 = 0, {source('k % 89 + 100')}, null), if(k % 3 = 0, {source('k % 83 + 200')}, null)), x -> x is not null)"
+    facts_of = base.selectExpr("'p0' as scope", "'fact' as projection_kind", "projection_id", f"inline({arms})")
+    reports = table(spark, sf_dir, "customer").where("c_custkey % 10 = 0").selectExpr("c_custkey as k")
+    both = "array(struct('o' || (k % 97) as source_id, 'u' || ((k % 97) % 11) as data_subject_id), struct('o' || (k % 89 + 100) as source_id, 'u' || ((k % 89 + 100) % 11) as data_subject_id))"
+    return facts_of.unionByName(reports.selectExpr("'p0' as scope", "'community_report' as projection_kind", "'report:' || k as projection_id", f"inline({both})"))
 
 
 def audit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,11 +134,15 @@ def _fact_sql(source: str, predicate: str, subject: str, obj: str, key: str, car
     )
 
 
+_KEYED = (
+    "SELECT c_custkey AS k, 'lives_in:c:' || c_custkey || ':n:' || c_nationkey AS projection_id FROM customer UNION ALL SELECT s_suppkey, 'located_in:s:' || s_suppkey || ':n:' || s_nationkey FROM supplier "
+    "UNION ALL SELECT n_nationkey, 'part_of:n:' || n_nationkey || ':r:' || n_regionkey FROM nation UNION ALL SELECT l_partkey, 'created:s:' || l_suppkey || ':p:' || l_partkey FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem)"
+)
 _N = "length(content)"
 SHAPES = {
     "entities": "SELECT 'p0' AS scope, entity_id, canonical_name, " + _NORM.format("canonical_name") + " AS normalized_name, entity_type FROM ("
-    "SELECT 'c:' || c_custkey AS entity_id, c_name AS canonical_name, 'person' AS entity_type FROM customer UNION ALL SELECT 's:' || s_suppkey, s_name, 'organisation' FROM supplier "
-    "UNION ALL SELECT 'n:' || n_nationkey, n_name, 'place' FROM nation UNION ALL SELECT 'r:' || r_regionkey, r_name, 'place' FROM region "
+    "SELECT 'c:' || c_custkey AS entity_id, translate(c_name, '#_', '  ') AS canonical_name, 'person' AS entity_type FROM customer UNION ALL SELECT 's:' || s_suppkey, translate(s_name, '#_', '  '), 'organisation' FROM supplier "
+    "UNION ALL SELECT 'n:' || n_nationkey, translate(n_name, '#_', '  '), 'place' FROM nation UNION ALL SELECT 'r:' || r_regionkey, translate(r_name, '#_', '  '), 'place' FROM region "
     "UNION ALL SELECT 'p:' || min(p_partkey), arg_min(p_name, p_partkey), 'thing' FROM part GROUP BY " + _NORM.format("p_name") + ")",
     "facts": " UNION ALL ".join([
         _fact_sql("customer", "lives_in", "'c:' || c_custkey", "'n:' || c_nationkey", "c_custkey", "one"), _fact_sql("supplier", "located_in", "'s:' || s_suppkey", "'n:' || s_nationkey", "s_suppkey", "one"),
@@ -150,8 +157,7 @@ SHAPES = {
     f"(['likes', 'knows', 'created', 'located_in', 'unheard_of'])[({_N} % 5)::INT + 1] AS predicate, CASE WHEN {_N} % 7 = 0 THEN 'nowhere ' || left(content, 5) ELSE substring(content, 3, 12) END AS quote, "
     f"CASE WHEN {_N} % 11 = 0 THEN 'denied' ELSE 'asserted' END AS polarity, CASE WHEN {_N} % 3 = 0 THEN 'past' ELSE 'present' END AS tense, 'person' AS subject_type, CASE WHEN ordinal % 2 = 0 THEN 'thing' ELSE 'gadget' END AS object_type FROM messages",
     "lineage": " UNION ALL ".join(
-        [f"SELECT 'p0' AS scope, 'fact' AS projection_kind, 'lives_in:c:' || c_custkey || ':n:' || c_nationkey AS projection_id, 'o' || ({o}) AS source_id, CASE WHEN c_custkey % 5 <> 0 THEN 'u' || (({o}) % 11) END AS data_subject_id FROM customer WHERE {w}"
-         for o, w in (("c_custkey % 97", "true"), ("c_custkey % 89 + 100", "c_custkey % 2 = 0"), ("c_custkey % 83 + 200", "c_custkey % 3 = 0"))]
+        [f"SELECT 'p0' AS scope, 'fact' AS projection_kind, projection_id, 'o' || ({o}) AS source_id, CASE WHEN k % 5 <> 0 THEN 'u' || (({o}) % 11) END AS data_subject_id FROM ({_KEYED}) WHERE {w}" for o, w in (("k % 97", "true"), ("k % 89 + 100", "k % 2 = 0"), ("k % 83 + 200", "k % 3 = 0"))]
         + [f"SELECT 'p0', 'community_report', 'report:' || c_custkey, 'o' || ({o}), 'u' || (({o}) % 11) FROM customer WHERE c_custkey % 10 = 0" for o in ("c_custkey % 97", "c_custkey % 89 + 100")]
     ),
     "audit": "SELECT event_id AS entry_id, event_type AS operation, 'u' || user_id AS principal, 'p' || (user_id % 4) AS project, greatest(floor(value), 0)::BIGINT AS magnitude, CASE WHEN event_type = 'error' OR event_id % 17 = 0 THEN 'refused' ELSE 'allowed' END AS outcome, ts AS occurred_at FROM events",

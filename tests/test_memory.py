@@ -46,16 +46,17 @@ def test_supersession_equals_a_row_by_row_run(spark):
 
 def test_fanout_counts_facts_without_another_end_and_flags_the_cap(spark):
     rows = [("h", f"f{i}", None if i == 0 else f"n{i}") for i in range(5)]
-    facts = spark.createDataFrame(rows, "subject_id string, fact_id string, object_id string")
+    facts = spark.createDataFrame([(*r, "knows") for r in rows], "subject_id string, fact_id string, object_id string, predicate string")
     edges = [(r.fact_id, r.capped) for r in recall.directed_edges(facts, 3).where("entity_id = 'h' and direction = 'out'").collect()]
     assert sorted(edges) == [("f1", True), ("f2", True)]
 
 
 def test_walk_keeps_simple_paths_and_the_shortest(spark):
-    facts = spark.createDataFrame([("a", "f1", "b"), ("b", "f2", "c"), ("c", "f3", "a"), ("b", "f4", "b")], "subject_id string, fact_id string, object_id string")
+    rows = [("a", "f1", "b", "knows"), ("b", "f2", "c", "likes"), ("c", "f3", "a", "made"), ("b", "f4", "b", "is")]
+    facts = spark.createDataFrame(rows, "subject_id string, fact_id string, object_id string, predicate string")
     starts = spark.createDataFrame([("q", "a")], "question_id string, anchor_id string")
-    got = {r.fact_id: (r.hops, r.path) for r in recall.walk(starts, recall.directed_edges(facts, 64), 2).collect()}
-    assert got == {"f1": (1, ["a", "b"]), "f3": (1, ["a", "c"]), "f2": (2, ["a", "b", "c"])}
+    got = {r.fact_id: (r.hops, r.path, r.via) for r in recall.walk(starts, recall.directed_edges(facts, 64), 2).collect()}
+    assert got == {"f1": (1, ["a", "b"], ["knows"]), "f3": (1, ["a", "c"], ["made"]), "f2": (2, ["a", "b", "c"], ["knows", "likes"])}
 
 
 def test_refused_twin_does_not_take_the_key(spark):
@@ -133,3 +134,11 @@ def test_plans_have_no_nested_loops(spark, sf):
     for name in ("walk_two_hops", "recall_bundle", "recall_co_derived", "erasure_by_subject", "supersession"):
         plan = catalog.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
+
+
+def test_terms_of_questions_take_marks_and_possessives_off(spark):
+    from factloom.functions.text import question_terms, terms_of
+
+    asked = ["Where does Ann-Marie's brother, Bob live?", "'quoted' -- words", "", "  ", "O'Neil's"]
+    rows = spark.createDataFrame([(x,) for x in asked], "q string").select("q", terms_of(F.col("q")).alias("t")).collect()
+    assert {r.q: r.t for r in rows if "--" not in r.q} == {x: question_terms(x) for x in asked if "--" not in x}
