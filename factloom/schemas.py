@@ -23,7 +23,16 @@ SEGMENT_BYTES = 8192
 ALIAS_CEILING = 64
 SEAL_BATCH = 100_000
 
+BACKLOG = 4096
+BACKLOG_PER_PROJECT = 512
+
+# Forms of names, and the namespace in which segments name themselves.
+PREDICATE_NAME = "^[a-z][a-z_]*[a-z]$"
+PROJECT_NAME = "^[a-z][a-z0-9_]{0,62}$"
+SEGMENT_NAMESPACE = "6f1d8a1e-3b7c-4d2a-9f0e-5c4b3a2d1e0f"
+
 # Closed sets.
+SURFACES = ["facts", "reports", "passages"]
 ROLES = ["user", "assistant", "tool", "system"]
 ENTITY_TYPES = ["person", "organisation", "place", "thing", "event", "concept"]
 CARDINALITY_ONE = ["has_name", "has_role", "lives_in", "born_in", "has_timezone", "instance_of", "located_in", "occurred_on", "scheduled_for", "due_on", "has_status"]
