@@ -51,7 +51,7 @@ def vocabulary_requests(asked: DataFrame, vocabulary: DataFrame) -> DataFrame:
     known = vocabulary.select("predicate", F.lit(True).alias("known"))
     order = Window.partitionBy("predicate").orderBy("arrival")
     rows = asked.withColumn("nth", F.row_number().over(order)).join(F.broadcast(known), "predicate", "left")
-    why = F.when(~F.col("predicate").rlike(PREDICATE_NAME), "invalid_name").when("known", "exists").when(F.col("nth") > 1, "asked_before")
+    why = F.when(~F.col("predicate").rlike(PREDICATE_NAME), "invalid_name").when(F.col("known"), "exists").when(F.col("nth") > 1, "asked_before")
     return rows.select("predicate", "arrival", why.alias("refused"))
 
 
