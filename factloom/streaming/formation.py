@@ -14,24 +14,24 @@ from factloom.operators.formation import CLAIM_KEY, supersede
 def form_claims(spark: SparkSession, source: str, schema: StructType, store: str, checkpoint: str) -> None:
     """Read claims that arrive as Parquet files and keep the store of accepted ones (`store`, Parquet) as a batch run would.
 
-    A batch's claims are judged after those in the store, which is the state across batches: keys never expire. A batch that is replayed
-    after a failure finds its claims in the store and adds nothing.
+    Each batch's accepted claims are a part of the store, and what is needed of all before is one row a key, the latest beginning of its
+    claims: that state is written with each batch under `store` + "-tops". A batch that is replayed after a failure writes the same parts
+    again, so nothing is added twice. Claims that come late, and claims that came before, begin no later than their key's state and are
+    not accepted.
     """
+    tops = f"{store}-tops"
 
     def form(batch: DataFrame, epoch: int) -> None:
-        try:
-            old = spark.read.parquet(store)
-        except Exception as e:  # the first batch finds no store
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            old = None
         fresh = batch.dropDuplicates(["claim_id"])
+        old = spark.read.parquet(f"{tops}/{epoch - 1}") if epoch else None
         if old is not None:
-            fresh = fresh.join(old.select("claim_id"), "claim_id", "left_anti")
-            tops = old.groupBy(*CLAIM_KEY).agg(F.max("valid_from").alias("top"))
-            fresh = fresh.join(tops, CLAIM_KEY, "left").where(F.col("top").isNull() | (F.col("valid_from") > F.col("top"))).drop("top")
-        accepted = supersede(fresh).where("accepted").select(*batch.columns)
-        accepted.write.mode("append").parquet(store)
+            fresh = fresh.join(old, CLAIM_KEY, "left").where(F.col("top").isNull() | (F.col("valid_from") > F.col("top"))).drop("top")
+        part = f"{store}/epoch={epoch}"
+        supersede(fresh).where("accepted").select(*batch.columns).write.mode("overwrite").parquet(part)
+        new = spark.read.schema(batch.schema).parquet(part).groupBy(*CLAIM_KEY).agg(F.max("valid_from").alias("top"))
+        if old is not None:
+            new = new.unionByName(old).groupBy(*CLAIM_KEY).agg(F.max("top").alias("top"))
+        new.write.mode("overwrite").parquet(f"{tops}/{epoch}")
 
     stream = spark.readStream.schema(schema).parquet(source)
     run(stream, form, checkpoint)
