@@ -26,11 +26,11 @@ def validity(vectors: DataFrame, size: int, column: str = "embedding") -> DataFr
     return vectors.select("*", F.when(F.size(v) != size, "size").when(bad, "not_finite").when(~F.exists(v, lambda x: x != 0), "zero").alias("fault"))
 
 
-def exact_topk(vectors: DataFrame, queries: DataFrame, k: int, block: int = 4096, most_queries: int = 100_000) -> DataFrame:
+def exact_topk(vectors: DataFrame, queries: DataFrame, k: int, block: int = 4096, asked: int = 512, most_queries: int = 100_000) -> DataFrame:
     """`query_id, item_id, similarity`: each query's k nearest items by cosine, ties by item id.
 
-    Queries (`query_id, embedding`) are a stated set of at most `most_queries`, sent to the tasks; each task multiplies its batches with
-    blocks of queries and keeps k of each query, so what is shuffled is k rows a query and task.
+    Queries (`query_id, embedding`) are a stated set of at most `most_queries`, sent to the tasks; each task multiplies blocks of `block`
+    items with blocks of `asked` queries and keeps k of each query, so what is shuffled is k rows a query and task.
     """
     rows = queries.select("query_id", "embedding").limit(most_queries + 1).collect()
     if len(rows) > most_queries:
@@ -42,7 +42,7 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int, block: int = 4096
 
     def search(batches):
         ids, unit = sent.value
-        best = [np.zeros((len(ids), 0)), np.zeros((len(ids), 0), np.int64)]
+        best = [(np.zeros((len(x), 0)), np.zeros((len(x), 0), np.int64)) for x in (ids[q : q + asked] for q in range(0, len(ids), asked))]
         for batch in batches:
             if not batch.num_rows or not len(ids):
                 continue
@@ -51,13 +51,15 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int, block: int = 4096
             m /= np.linalg.norm(m, axis=1, keepdims=True)
             for start in range(0, len(item), block):
                 part = item[start : start + block]
-                sims = np.concatenate([best[0], np.clip(unit @ m[start : start + block].T, -1, 1)], axis=1)
-                names = np.concatenate([best[1], np.broadcast_to(part, (len(ids), len(part)))], axis=1)
-                order = np.lexsort((names, -np.round(sims, 9)), axis=1)[:, :k]
-                best = [np.take_along_axis(sims, order, 1), np.take_along_axis(names, order, 1)]
-        n = best[0].shape[1]
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(best[1].ravel()), pa.array(best[0].ravel())], ["query_id", "item_id", "similarity"])
+                for i, (held, named) in enumerate(best):
+                    sims = np.concatenate([held, np.clip(unit[i * asked : (i + 1) * asked] @ m[start : start + block].T, -1, 1)], axis=1)
+                    names = np.concatenate([named, np.broadcast_to(part, (len(held), len(part)))], axis=1)
+                    order = np.lexsort((names, -np.round(sims, 9)), axis=1)[:, :k]
+                    best[i] = np.take_along_axis(sims, order, 1), np.take_along_axis(names, order, 1)
+        for i, (held, named) in enumerate(best):
+            if held.shape[1]:
+                own = ids[i * asked : (i + 1) * asked]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, held.shape[1])), pa.array(named.ravel()), pa.array(held.ravel())], ["query_id", "item_id", "similarity"])
 
     near = vectors.select(F.col("item_id").cast("long").alias("item_id"), "embedding").mapInArrow(search, "query_id long, item_id long, similarity double")
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("similarity", 9)), "item_id")
