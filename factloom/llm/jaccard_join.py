@@ -480,8 +480,10 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     """
     first = Window.partitionBy("component_id").orderBy("doc_id", "key")
     kept = jaccard_classes(docs, **options).where("doc_id = component_id").withColumn("nth", F.row_number().over(first)).where("nth = 1")
-    kept = kept.select("doc_id", F.col("key").alias("_key"))
-    rows = docs.where("doc_id is not null").withColumn("_key", F.xxhash64("text")).join(kept, ["doc_id", "_key"], "left_semi")
+    kept = kept.select(F.col("doc_id").alias("id"), "key")
+    # The rows are held in one column, so that no name of theirs clashes.
+    rows = docs.where("doc_id is not null").select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("key"))
+    rows = rows.join(kept, ["id", "key"], "left_semi")
     # Rows alike in id and text are one document.
-    rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id", "_key").orderBy("_key"))).where("_nth = 1")
-    return rows.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("id", "key").orderBy("key"))).where("nth = 1")
+    return rows.select("row.*").unionByName(docs.where("doc_id is null"))

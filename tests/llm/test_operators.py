@@ -291,6 +291,9 @@ def test_one_document_of_each_class_stays(docs, rows, empty):
     want = {c for i, _, c in classes(rows) if i != "None"}
     assert sorted(str(r.doc_id) for r in kept if r.doc_id is not None) == sorted(want) and sum(r.doc_id is None for r in kept) == 2
     assert jaccard_join.jaccard_classes(empty).count() == 0
+    clashing = docs.withColumns({c: F.lit(1) for c in ("id", "nth", "_key", "label", "region", "n_shingles")})
+    assert sorted(str(r.doc_id) for r in jaccard_join.keep_one(clashing).collect()) == sorted(str(r.doc_id) for r in kept)
+    assert jaccard_join.keep_one(clashing).columns == clashing.columns
 
 
 def test_linked_classes_of_random_sets_equal_all_pairs():
