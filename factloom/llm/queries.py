@@ -124,6 +124,17 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", tokens.alias("n_tokens"), (tokens > limit).alias("over_limit"), chars_within(F.col("prefix_tokens"), limit).alias("chars_in_limit"))
 
 
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_classifier import fit, score_quality
+    from .toxicity import labelled_texts
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    sample = 12_000
+    model = fit(labelled_texts(docs, labels.where(remainder(3) != 1), sample, "quality"), sample)
+    found = score_quality(docs, model)
+    return held_out(found, 3, 1).select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_license_scan": op2_license_scan,
@@ -135,6 +146,7 @@ QUERIES = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_toxicity": op9_toxicity,
     "op10_token_counts": op10_token_counts,
+    "op12_quality_classifier": op12_quality_classifier,
 }
 
 ORACLES: dict[str, str] = {

@@ -224,14 +224,14 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(score, "doc_id long, score double")
 
 
-def labelled_texts(docs: DataFrame, labels: DataFrame, sample_docs: int = 20_000) -> DataFrame:
+def labelled_texts(docs: DataFrame, labels: DataFrame, sample_docs: int = 20_000, label: str = "toxic") -> DataFrame:
     """`doc_id, text, toxic, weight` of labelled documents, at most about `sample_docs` of them and half of each class, chosen by a hash of
-    their id; `weight` is how many labels a row stands for. Of several labels of one id the larger holds."""
-    one = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    sizes = {r["toxic"]: r["n"] for r in one.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    their id; `weight` is how many labels a row stands for. Of several labels of one id the larger holds. `label` names the column."""
+    one = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias(label))
+    sizes = {r[label]: r["n"] for r in one.groupBy(label).agg(F.count("*").alias("n")).collect()}
     share = F.lit(1.0)
     for k, n in sizes.items():
-        share = F.when(F.col("toxic") == k, min(1.0, sample_docs / 2 / n)).otherwise(share)
+        share = F.when(F.col(label) == k, min(1.0, sample_docs / 2 / n)).otherwise(share)
     chosen = one.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30)).withColumn("weight", 1 / share)
     # As many rows as the sample's bound says, however large the tables.
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
