@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import ranked_search
 from .license_scan import duckdb_sql
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -141,6 +142,12 @@ def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held_out(found, 3, 1).select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ranked_search import top_documents
+
+    return top_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_license_scan": op2_license_scan,
@@ -154,8 +161,10 @@ QUERIES = {
     "op10_token_counts": op10_token_counts,
     "op11_embedding_whitening": op11_embedding_whitening,
     "op12_quality_classifier": op12_quality_classifier,
+    "op13_ranked_search": op13_ranked_search,
 }
 
 ORACLES: dict[str, str] = {
     "op2_license_scan": duckdb_sql("SELECT doc_id, concat_ws('/', source, (doc_id // 1000)::VARCHAR, (doc_id // 50)::VARCHAR, doc_id::VARCHAR) AS path, text FROM documents"),
+    "op13_ranked_search": ranked_search.duckdb_sql(),
 }
