@@ -11,7 +11,6 @@ Shards are rows of a Parquet table in the shared folder, so any store that Spark
 from __future__ import annotations
 
 import struct
-import uuid
 import zlib
 
 import numpy as np
@@ -21,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import encoder
-from .shared import shared_dir
+from .shared import new_path
 from .textarrow import pieces
 
 MAGIC = b"FLT1"
@@ -129,7 +128,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 0, max_ids: int
             yield shard()
 
     spark = docs.sparkSession
-    path = f"{shared_dir(spark)}/token-shards-{uuid.uuid4().hex}"
+    path = new_path(spark, "token-shards")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(encode, "part int, seq int, start long, n_ids long, content binary").write.option("compression", "none").parquet(path)
