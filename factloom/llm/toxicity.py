@@ -2,7 +2,8 @@
 
 Logistic regression on the presence of words and of their beginnings. Beside the loss on the labels it has a counterfactual penalty:
 for every labelled sentence with an identity term, the squared change of the score when another term of the same group takes its
-place. The swap is really made: the penalty is on the weights of the features that the text gains and loses by it.
+place. The penalty is on the weights of the features that the text gains and loses by it. Beside the stated groups, groups are found in the
+labelled text itself: words that say nothing of the class and are used alike.
 
 The fit uses at most about `sample_docs` labelled documents, half of each class and chosen by a hash, which bounds the model; rows weigh
 as much as they stand for. Features are those that tell the classes apart beyond chance (`min_z`). Every document is scored, over its
@@ -77,11 +78,12 @@ def present(texts: pa.Array, vocabulary: np.ndarray | None) -> tuple[np.ndarray,
 
 @dataclass
 class ToxicityModel:
-    """Weights of features, in ascending order of their names."""
+    """Weights of features, in ascending order of their names, and how many swaps in labelled sentences the fit has seen."""
 
     vocabulary: np.ndarray
     weights: np.ndarray
     bias: float
+    swaps: int = 0
 
     def scores(self, texts: pa.Array) -> np.ndarray:
         row, feature = present(texts, self.vocabulary)
@@ -89,38 +91,119 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-(total + self.bias)))
 
 
-#: A sentence and what ends it.
-SENTENCE = re.compile(r"[^.!?\n]+[.!?\n]*|[.!?\n]+")
+#: What ends a sentence.
+SENTENCE_END = re.compile(r"[.!?\n]+")
 
 
-def swapped_texts(text: str, groups: list[list[str]]) -> list[str]:
-    """The text once for each sentence with an identity term and each other term of its group, that put in the term's place there."""
+def swap_changes(texts: pa.Array, vocabulary: np.ndarray, groups: list[list[str]]) -> Counter:
+    """How often swaps in some texts change the same features: (lost, gained) places in the vocabulary, and the number of swaps.
+
+    A swap puts another term of the group in a term's place all through one sentence. Which features a text has after it follows from how
+    often it has them: one is lost if the sentence's uses were all of them, and gained if there was none. No text is copied."""
+    out: Counter = Counter()
     others = {t: [o for o in group if o != t] for group in groups for t in group}
-    out, low = [], text.lower()
-    if len(low) != len(text):
-        text = low
-    for sentence in SENTENCE.finditer(low):
-        part = sentence.group()
-        for term in dict.fromkeys(w for w in re.findall(r"[^\W\d_]+", part) if w in others):
-            for other in others[term]:
-                changed = re.sub(rf"(?<![^\W\d_]){re.escape(term)}(?![^\W\d_])", other, part)
-                out.append(text[: sentence.start()] + changed + text[sentence.end() :])
+    terms = pa.array(sorted(others), pa.string())
+    if not len(terms):
+        return out
+    of_term = word_features(terms)
+    known = np.unique(of_term[of_term != 0])
+    flat, at = split_words(letters_only(texts))
+    code, words = coded(flat)
+    some = pc.fill_null(pc.index_in(words, value_set=terms), -1).to_numpy() if len(words) else np.zeros(0, np.int64)
+    row = row_of(at)
+    rows = np.unique(row[some[code] >= 0])
+    if not len(rows):
+        return out
+    # How often the texts that hold a term have each of the terms' features, by whichever word.
+    names = word_features(words)
+    slot = np.minimum(np.searchsorted(known, names), len(known) - 1)
+    slot = np.where(known[slot] == names, slot, -1)
+    held: dict[tuple[int, int], int] = {}
+    for k in range(names.shape[1]):
+        use = slot[:, k][code]
+        pairs, n = np.unique(row[use >= 0] * len(known) + use[use >= 0], return_counts=True)
+        for pair, c in zip(pairs.tolist(), n.tolist()):
+            held[divmod(pair, len(known))] = held.get(divmod(pair, len(known)), 0) + c
+    place = dict(zip(known.tolist(), _known_places(known, vocabulary).tolist()))
+    slots = [{int(np.searchsorted(known, f)) for f in r[r != 0]} for r in of_term]
+    index = {t: k for k, t in enumerate(terms.to_pylist())}
+    name = terms.to_pylist()
+    for r in rows.tolist():
+        uses: Counter = Counter()
+        parts = split_words(letters_only(pa.array(SENTENCE_END.split(texts[r].as_py()))))
+        found = pc.fill_null(pc.index_in(parts[0], value_set=terms), -1).to_numpy().astype(np.int64)
+        hit = found >= 0
+        pairs, n = np.unique(row_of(parts[1])[hit] * len(name) + found[hit], return_counts=True)
+        uses.update(zip((pairs % len(name)).tolist(), n.tolist()))
+        for (t, c), times in uses.items():
+            for other in others[name[t]]:
+                o = index[other]
+                gone = [place[int(known[f])] for f in slots[t] - slots[o] if held.get((r, f), 0) == c]
+                come = [place[int(known[f])] for f in slots[o] - slots[t] if not held.get((r, f), 0)]
+                out[tuple(sorted(x for x in gone if x >= 0)), tuple(sorted(x for x in come if x >= 0))] += times
     return out
 
 
-def swap_changes(texts: list[str], vocabulary: np.ndarray, groups: list[list[str]]) -> Counter:
-    """How often swaps in some texts change the same features: (lost, gained) places in the vocabulary, and the number of swaps."""
-    out: Counter = Counter()
-    for text in texts:
-        made = swapped_texts(text, groups)
-        for i in range(0, len(made), 100):
-            part = made[i : i + 100]
-            row, feature = present(pa.array([text, *part]), vocabulary)
-            own = set(feature[row == 0].tolist())
-            for k in range(1, len(part) + 1):
-                new = set(feature[row == k].tolist())
-                out[tuple(sorted(own - new)), tuple(sorted(new - own))] += 1
-    return out
+def _known_places(names: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
+    if not len(vocabulary):
+        return np.full(len(names), -1)
+    at = np.minimum(np.searchsorted(vocabulary, names), len(vocabulary) - 1)
+    return np.where(vocabulary[at] == names, at, -1)
+
+
+def like_terms(
+    chosen: DataFrame, given: list[list[str]], sizes: tuple[int, int], most: int = 400, least_docs: int = 20, group: int = 6, shortest: int = 3
+) -> list[list[str]]:
+    """Further groups of terms that texts use alike: of the `most` commonest words of the sample that do not tell the classes apart by
+    themselves (within one standard error), those that mostly follow one word and precede one word go together, `group` at most."""
+
+    def count(batches):
+        for batch in pieces(batches, "text"):
+            flat, at = split_words(letters_only(batch.column("text")))
+            code, words = coded(flat)
+            pairs = np.unique(row_of(at) * max(len(words), 1) + code)
+            y = batch.column("toxic").to_numpy()[pairs // max(len(words), 1)]
+            bad = np.bincount(pairs % max(len(words), 1), weights=y, minlength=len(words)).astype(np.int64)
+            both = np.bincount(pairs % max(len(words), 1), minlength=len(words)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([words, pa.array(bad), pa.array(both - bad)], ["word", "bad", "good"])
+
+    bad_docs, good_docs = sizes
+    words = chosen.select("text", "toxic").mapInArrow(count, "word string, bad long, good long").groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    a, c = F.col("bad") + 0.5, F.col("good") + 0.5
+    odds = F.log(a / (bad_docs + 1 - F.col("bad") + 0.5)) - F.log(c / (good_docs + 1 - F.col("good") + 0.5))
+    calm = (F.col("bad") + F.col("good") >= least_docs) & (F.abs(odds / F.sqrt(1 / a + 1 / c)) <= 1) & (F.char_length("word") >= shortest)
+    calm = calm & ~F.col("word").isin([t for g in given for t in g])
+    rows = words.where(calm).orderBy(F.desc(F.col("bad") + F.col("good")), "word").limit(most).collect()
+    terms = pa.array(sorted(r["word"] for r in rows), pa.string())
+    if not len(terms):
+        return []
+
+    def beside(batches):
+        for batch in pieces(batches, "text"):
+            flat, at = split_words(letters_only(batch.column("text")))
+            code, words = coded(flat)
+            if not len(words):
+                continue
+            term = pc.fill_null(pc.index_in(words, value_set=terms), -1).to_numpy().astype(np.int64)[code]
+            row, name = row_of(at), hashed(words).view(np.int64)[code]
+            found = []
+            for side in (-1, 1):
+                here = np.flatnonzero(term >= 0)
+                next_ = here + side
+                here, next_ = here[(next_ >= 0) & (next_ < len(row))], next_[(next_ >= 0) & (next_ < len(row))]
+                same = row[here] == row[next_]
+                found.append((term[here[same]], np.full(same.sum(), side), name[next_[same]]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], ["term", "side", "name"])
+
+    near = chosen.select("text").mapInArrow(beside, "term long, side long, name long").groupBy("term", "side", "name").agg(F.count("*").alias("n"))
+    near = near.groupBy("term", "side").agg(F.max(F.struct("n", "name"))["name"].alias("name")).collect()
+    context: dict[int, dict[int, int]] = {}
+    for r in near:
+        context.setdefault(r["term"], {})[r["side"]] = r["name"]
+    alike: dict[tuple, list[str]] = {}
+    for t, sides in sorted(context.items()):
+        alike.setdefault((sides.get(-1), sides.get(1)), []).append(terms[t].as_py())
+    return [g[i : i + group] for _, g in sorted(alike.items(), key=lambda x: x[1]) for i in range(0, len(g), group) if len(g[i : i + group]) > 1]
 
 
 def descend(
@@ -133,19 +216,22 @@ def descend(
     w, b = np.zeros(n_features), float(np.log(((weight * y).sum() + 0.5) / ((weight * (1 - y)).sum() + 0.5)))
     bound = 0.25 * np.bincount(index, weights=(weight * (width + 1))[rows], minlength=n_features) / n + l2 / n
     bound_b = 0.25 * (weight * (width + 1)).sum() / n
-    held = max(1, sum(c for *_, c in swaps))
-    for gone, come, c in swaps:
-        bound[np.concatenate([gone, come])] += 2 * penalty * c / held * (len(gone) + len(come))
+    # Swaps as a sparse matrix: a row each, 1 where a feature comes and -1 where it goes.
+    times = np.array([c for *_, c in swaps], float)
+    share = 2 * penalty * times / max(1.0, times.sum())
+    size = np.array([len(g) + len(x) for g, x, _ in swaps], np.int64)
+    at = np.repeat(np.arange(len(swaps)), size)
+    feature = np.concatenate([x for g, c, _ in swaps for x in (g, c)]).astype(np.int64) if len(swaps) else np.zeros(0, np.int64)
+    sign = np.concatenate([x for g, c, _ in swaps for x in (-np.ones(len(g)), np.ones(len(c)))]) if len(swaps) else np.zeros(0)
+    bound += np.bincount(feature, weights=(share * size)[at], minlength=n_features)
     speed, at_b = np.zeros(n_features), 0.0
     for _ in range(steps):
         ahead, ahead_b = w + 0.95 * speed, b + 0.95 * at_b
         z = np.bincount(rows, weights=ahead[index], minlength=len(y)) + ahead_b
         off = weight * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y)
         g = np.bincount(index, weights=off[rows], minlength=n_features) / n + l2 * ahead / n
-        for gone, come, c in swaps:
-            change = ahead[come].sum() - ahead[gone].sum()
-            g[come] += 2 * penalty * c / held * change
-            g[gone] -= 2 * penalty * c / held * change
+        change = np.bincount(at, weights=sign * ahead[feature], minlength=len(swaps))
+        g += np.bincount(feature, weights=sign * (share * change)[at], minlength=n_features)
         speed, at_b = 0.95 * speed - g / bound, 0.95 * at_b - off.sum() / n / bound_b
         w, b = w + speed, b + at_b
     return w, b
@@ -153,10 +239,12 @@ def descend(
 
 def fit(
     labelled: DataFrame, sample_docs: int = 20_000, min_z: float = 2.5, min_docs: int = 3, penalty: float = 1.0, l2: float = 0.1,
-    steps: int = 600, groups: list[list[str]] = IDENTITY_GROUPS,
-) -> ToxicityModel:
+    steps: int = 600, groups: list[list[str]] = IDENTITY_GROUPS, like: int = 400,
+) -> ToxicityModel:
     """Learn from `labelled` (text, toxic 0/1, and how many rows a row stands for in `weight` if there is one); rows without text or label
-    teach nothing, and texts alike are one. Without rows, every score is 0.5."""
+    teach nothing, and texts alike are one, with the larger of their labels. Without rows, every score is 0.5.
+
+    Swapped are the terms of `groups` and, of the `like` commonest words without a class signal, those used alike (`like_terms`)."""
     weight = F.col("weight") if "weight" in labelled.columns else F.lit(1.0)
     rows = labelled.where("text is not null and toxic is not null").select("text", F.col("toxic").cast("int").alias("toxic"), weight.cast("double").alias("weight"))
     sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -181,7 +269,9 @@ def fit(
     a, c = F.col("bad") + 0.5, F.col("good") + 0.5
     odds = F.log(a / (bad_docs + 1 - F.col("bad") + 0.5)) - F.log(c / (good_docs + 1 - F.col("good") + 0.5))
     telling = (F.col("bad") + F.col("good") >= min_docs) & (F.abs(odds / F.sqrt(1 / a + 1 / c)) > min_z)
-    terms = word_features(pa.array(sorted({t for group in groups for t in group})))
+    if like:
+        groups = [*groups, *like_terms(chosen, groups, (bad_docs, good_docs), like)]
+    terms = word_features(pa.array(sorted({t for group in groups for t in group}), pa.string()))
     names = per.where(telling).select("feature").toArrow()["feature"].to_numpy()
     vocabulary = np.unique(np.concatenate([names.view(np.uint64), terms[terms != 0]]))
 
@@ -189,7 +279,7 @@ def fit(
         for batch in pieces(batches, "text"):
             row, feature = present(batch.column("text"), vocabulary)
             offsets = np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)
-            changes = swap_changes(batch.column("text").to_pylist(), vocabulary, groups)
+            changes = swap_changes(batch.column("text"), vocabulary, groups)
             # The batch's swaps go with its first row.
             held = [[{"gone": list(g), "come": list(x), "n": n} for (g, x), n in changes.items()]] + [None] * (batch.num_rows - 1)
             yield pa.RecordBatch.from_arrays(
@@ -207,13 +297,14 @@ def fit(
             total[tuple(x["gone"]), tuple(x["come"])] += x["n"]
     swaps = [(np.array(g, np.int64), np.array(x, np.int64), n) for (g, x), n in sorted(total.items()) if g or x]
     w, b = descend(indptr, index, got["toxic"].to_numpy().astype(float), got["weight"].to_numpy(), len(vocabulary), swaps, penalty, l2, steps)
-    return ToxicityModel(vocabulary, w, b)
+    return ToxicityModel(vocabulary, w, b, sum(total.values()))
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of `docs`: `doc_id, score`, the probability of label 1. A null text scores as an empty one does, the model's bias.
 
-    Ids may repeat or be null and other columns are ignored.
+    A text of any length is one row of a batch and is read whole. Ids may repeat or be null, equal texts have equal scores, an empty table
+    gives no row, and other columns are ignored.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -238,7 +329,8 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, sample_docs: int = 20_000
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that score under the threshold, all their columns as they are."""
+    """The rows of `docs` that score under the threshold, all their columns as they are. A null text is judged as an empty one; rows
+    alike share their fate, also where the score is the threshold itself (they go)."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def keep(batches):
