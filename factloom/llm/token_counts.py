@@ -29,8 +29,10 @@ RUN = re.compile(f"[{WHITE}]+")
 CUT = r"([^\s\p{Z}\x{85}\x{0b}\x{0c}\x{1c}-\x{1f}])([ \n\t\r])"
 #: Noncharacters, one of which marks the cuts of a batch.
 MARKS = [chr(0xFDD0 + i) for i in range(32)]
-#: Pieces that a worker remembers from batch to batch; beyond, it starts anew.
-KEPT = 500_000
+#: The same cut where a text itself holds all marks.
+CUT_BETWEEN = re.compile(r"(?<=\S)(?=[ \n\t\r])")
+#: Pieces, and characters of pieces, that a worker remembers from batch to batch; beyond, it starts anew.
+KEPT, KEPT_CHARS = 500_000, 16_000_000
 
 
 class PrefixCounter:
@@ -128,7 +130,7 @@ class PrefixCounter:
 
     def places(self, names: list[str]) -> np.ndarray:
         """Numbers of some distinct pieces; what is new is worked out."""
-        if len(self.known) + len(names) > KEPT:
+        if len(self.known) + len(names) > KEPT or len(self.pool) + sum(map(len, names)) > KEPT_CHARS:
             self.known, self.pool, self.chars = {}, np.zeros(0, np.int32), np.zeros(0, np.int64)
         known = self.known
         fresh = [x for x in names if x not in known]
@@ -140,9 +142,13 @@ class PrefixCounter:
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Counts at all characters of all texts in order, and the texts' first places."""
         mark = next((m for m in MARKS if not pc.any(pc.match_substring(texts, m)).as_py()), None)
+        if mark is None and len(texts) > 1:  # in halves, down to the texts that hold all marks by themselves
+            (one, at), (other, more) = self(texts[: len(texts) // 2]), self(texts[len(texts) // 2 :])
+            return np.concatenate([one, other]), np.concatenate([at[:-1], at[-1] + more])
         if mark is None:
-            raise ValueError("texts hold all noncharacters of U+FDD0 to U+FDEF")
-        lists = pc.split_pattern(pc.replace_substring_regex(texts, CUT, rf"\1{mark}\2"), mark)
+            lists = pa.array([CUT_BETWEEN.split(texts[0].as_py())])
+        else:
+            lists = pc.split_pattern(pc.replace_substring_regex(texts, CUT, rf"\1{mark}\2"), mark)
         flat, at = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
         at = at - at[0]
         d = flat.dictionary_encode()

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from factloom.llm import decontamination, jaccard_join, language_id, license_scan, lm_scoring, mixing, quality_rules, token_counts, token_output, toxicity
 from factloom.llm import queries as q
+from factloom.llm.bpe import encoder as encoder_of
 
 LOW = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 WORDS = "the of and in to that was near far red blue green stone river house tree hill road bridge lamp Über naïve don't 12 a1".split()
@@ -450,6 +451,25 @@ def test_prefix_counts_and_pieces_equal_the_library():
             assert counts[at[k] : at[k + 1]].tolist() == [len(tok.encode(t[:p], add_special_tokens=False).ids) for p in range(1, len(t) + 1)]
 
 
+def test_prefix_counts_where_texts_hold_every_mark():
+    from tokenizers import Tokenizer
+
+    tok, marks = Tokenizer.from_file(q.tokenizer_path()), token_counts.MARKS
+    spread = [f"a {m} b{m}  c" for m in marks]
+    for texts in (["".join(marks)], ["x y\u3000 z " + " ".join(marks) + "  end", "", "plain text"], spread, [*spread, " ".join(marks), "one"]):
+        counts, at = token_counts.PrefixCounter(encoder_of(q.tokenizer_path()))(pa.array(texts))
+        for k, t in enumerate(texts):
+            assert counts[at[k] : at[k + 1]].tolist() == [len(tok.encode(t[:p], add_special_tokens=False).ids) for p in range(1, len(t) + 1)]
+
+
+def test_remembered_pieces_are_bounded(monkeypatch):
+    monkeypatch.setattr(token_counts, "KEPT_CHARS", 300)
+    run = token_counts.PrefixCounter(encoder_of(q.tokenizer_path()))
+    for k in range(12):
+        counts, _ = run(pa.array([f"word{k} " + "ab" * 40]))
+        assert len(run.pool) <= 300 and len(counts) == len(f"word{k} ") + 80
+
+
 def test_cuts_and_budgets_follow_from_the_counts(spark):
     from tokenizers import Tokenizer
 
