@@ -109,28 +109,6 @@ def citation_window(content: Column, start: Column, end: Column, reach: int = CI
     return F.struct(first.alias("first"), F.substring(data, first + 1, F.least(end + reach, F.octet_length(content)) - first).alias("bytes"))
 
 
-def legible(window: bytes, at: int, start: int, end: int, total: int) -> tuple[str, bool]:
-    """A window as text: no split code points, no split words outside the span; whether it is the whole message."""
-    left, right = 0, len(window)
-    while left < len(window) and window[left] & 0xC0 == 0x80:
-        left += 1
-    while right > left:
-        try:
-            window[left:right].decode()
-            break
-        except UnicodeDecodeError:
-            right -= 1
-    text, head, tail = window[left:right].decode(), start - at - left, end - at - left
-    before, span, after = window[left : left + head].decode(), window[left + head : left + tail].decode(), window[left + tail : right].decode()
-    if at > 0 and before and not before[0].isspace():
-        cut = next((i for i, c in enumerate(before) if c.isspace()), len(before))
-        before = before[cut:]
-    if at + len(window) < total and after and not after[-1].isspace():
-        cut = next((i for i in range(len(after), 0, -1) if after[i - 1].isspace()), 0)
-        after = after[:cut]
-    return (before.lstrip() if at > 0 else before) + span + (after.rstrip() if at + len(window) < total else after), at == 0 and len(window) == total and bool(text)
-
-
 def segments(text: str, ceiling: int = SEGMENT_BYTES) -> list[str]:
     """Cut a text into pieces of at most `ceiling` bytes that join to it again: after a paragraph, else a sentence, else a space, else a code point."""
     data, out = text.encode(), []

@@ -5,6 +5,12 @@ from __future__ import annotations
 # Limits of the model.
 FANOUT = 64
 CITATION_BYTES = 160
+MESSAGE_BYTES = 65_536
+WINDOW_BYTES = 4096
+EVIDENCE_PAGE = 32
+EVIDENCE_TEXT_BYTES = 262_144
+STATEMENT_BYTES = 65_536
+VERSION_BYTES = 256
 ANCHOR_WORDS = 4
 MAX_TERMS = 512
 MAX_ANCHORS = 256

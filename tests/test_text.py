@@ -1,7 +1,7 @@
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from factloom.functions.text import legible, locate, question_terms, segments
+from factloom.functions.text import locate, question_terms, segments
 
 
 @given(st.text(alphabet="ab .!?\né漢\U0001f600", max_size=400), st.integers(4, 60))
@@ -30,13 +30,3 @@ def test_quotes_are_found_exactly_or_with_other_white_space():
     a, b = locate(content, "we met in Köln")
     assert content.encode()[a:b].decode() == "we  met\nin Köln"
     assert locate(content, "We met") is None and locate(content, "  ") is None and locate("", "x") is None
-
-
-def test_window_is_cut_to_whole_words():
-    text = "alpha beta gamma delta epsilon"
-    data = text.encode()
-    a = text.index("gamma")
-    shown, complete = legible(data[a - 4 : a + 8], a - 4, a, a + 5, len(data))
-    assert shown == "gamma" or shown.strip().endswith("gamma")
-    assert not complete
-    assert legible(data, 0, a, a + 5, len(data)) == (text, True)
