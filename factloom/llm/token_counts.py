@@ -31,8 +31,8 @@ CUT = r"([^\s\p{Z}\x{85}\x{0b}\x{0c}\x{1c}-\x{1f}])([ \n\t\r])"
 MARKS = [chr(0xFDD0 + i) for i in range(32)]
 #: The same cut where a text itself holds all marks.
 CUT_BETWEEN = re.compile(r"(?<=\S)(?=[ \n\t\r])")
-#: Pieces, and characters of pieces, that a worker remembers from batch to batch; beyond, it starts anew.
-KEPT, KEPT_CHARS = 500_000, 16_000_000
+#: Pieces, and characters of pieces, that a worker remembers from batch to batch; beyond, it forgets the rare ones.
+KEPT, KEPT_CHARS = 700_000, 16_000_000
 
 
 class PrefixCounter:
@@ -40,7 +40,7 @@ class PrefixCounter:
 
     def __init__(self, encode: PieceEncoder):
         self.encode, self.pairs = encode, {}
-        self.known, self.pool, self.chars = {}, np.zeros(0, np.int32), np.zeros(0, np.int64)
+        self.known, self.pool, self.chars, self.seen = {}, np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.vocabulary = set(encode.tok.get_vocab())
         self.longest = max(map(len, self.vocabulary))
         self.special = re.compile("|".join(map(re.escape, sorted(encode.special, key=len, reverse=True))) or r"(?!)")
@@ -131,13 +131,26 @@ class PrefixCounter:
     def places(self, names: list[str]) -> np.ndarray:
         """Numbers of some distinct pieces; what is new is worked out."""
         if len(self.known) + len(names) > KEPT or len(self.pool) + sum(map(len, names)) > KEPT_CHARS:
-            self.known, self.pool, self.chars = {}, np.zeros(0, np.int32), np.zeros(0, np.int64)
+            self.forget()
         known = self.known
         fresh = [x for x in names if x not in known]
         pool, chars = self.counts(fresh)
         known.update(zip(fresh, range(len(known), len(known) + len(fresh))))
         self.pool, self.chars = np.concatenate([self.pool, pool]), np.concatenate([self.chars, chars])
-        return np.array([known[x] for x in names], np.int64)
+        self.seen = np.concatenate([self.seen, np.zeros(len(fresh), np.int64)])
+        places = np.array([known[x] for x in names], np.int64)
+        self.seen[places] += 1
+        return places
+
+    def forget(self) -> None:
+        """Drop the pieces that one batch alone has had since the last time; all of them where the rest is over half of what may stay."""
+        keep = np.flatnonzero(self.seen > 1)
+        if len(keep) > KEPT // 2 or self.chars[keep].sum() > KEPT_CHARS // 2:
+            keep = keep[:0]
+        names, size = list(self.known), self.chars[keep]
+        begin = (np.cumsum(self.chars) - self.chars)[keep]
+        self.pool = self.pool[np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+        self.known, self.chars, self.seen = {names[i]: k for k, i in enumerate(keep.tolist())}, size, np.zeros(len(keep), np.int64)
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Counts at all characters of all texts in order, and the texts' first places."""
