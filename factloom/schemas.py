@@ -27,6 +27,7 @@ MAX_LEVEL = 6
 MIN_GAP_RUN = 2
 SEGMENT_BYTES = 8192
 ALIAS_CEILING = 64
+MUTATIONS = 20
 SEAL_BATCH = 100_000
 
 BACKLOG = 4096
