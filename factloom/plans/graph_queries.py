@@ -94,8 +94,8 @@ def graph_edges(spark, sf_dir):
 
 
 def _graph(spark, sf_dir):
-    """Customers, nations, suppliers and regions; parts are left to the edges."""
-    return community.undirected(community.edge_weights(a.facts(spark, sf_dir).where("predicate <> 'created'")))
+    """The whole graph of current facts."""
+    return community.undirected(community.edge_weights(a.facts(spark, sf_dir)))
 
 
 def graph_components(spark, sf_dir):
@@ -106,7 +106,7 @@ def graph_components(spark, sf_dir):
 def _members(spark, sf_dir):
     pairs = stored(_graph(spark, sf_dir), "pairs")
     labels = community.components(pairs, lambda d: stored(d, "components"))
-    return pairs, stored(community.hierarchy(pairs, labels), "communities")
+    return pairs, stored(community.hierarchy(pairs, labels, lambda d: stored(d, "rounds")), "communities")
 
 
 def community_hierarchy(spark, sf_dir):
@@ -204,6 +204,11 @@ QUERIES = {f.__name__: f for f in (
 )}
 
 _COS = "list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[])"
+#: The least label within so many steps: more than any two nodes of these graphs are apart.
+_STEPS = 16
+_LABELS = "e AS (SELECT DISTINCT subject_id AS x, object_id AS y FROM facts UNION SELECT object_id, subject_id FROM facts), l0 AS (SELECT x AS node, min(least(x, y)) AS c FROM e GROUP BY 1)" + "".join(
+    f", l{i} AS (SELECT x AS node, min(least(n.c, o.c)) AS c FROM e JOIN l{i - 1} n ON n.node = y JOIN l{i - 1} o ON o.node = x GROUP BY 1)" for i in range(1, _STEPS + 1)
+)
 ORACLES = {
     "vector_faults": with_shapes("vectors", "SELECT generation_id, CASE WHEN len(embedding) <> (SELECT max(len(embedding)) FROM vectors) THEN 'size' ELSE 'none' END AS fault, count(*) AS vectors FROM vectors GROUP BY 1, 2"),
     "vector_topk": with_shapes("vectors", f"s AS (SELECT q.item_id AS query_id, v.item_id, {_COS} AS c FROM vectors q, vectors v WHERE q.item_id % 100 = 0) SELECT query_id, item_id, round(c, 6) AS similarity, row_number() OVER (PARTITION BY query_id ORDER BY round(c, 9) DESC, item_id)::INT AS place FROM s QUALIFY place <= {K}"),
@@ -213,9 +218,7 @@ ORACLES = {
     "embedding_page": with_shapes("messages", "p AS (SELECT conv_id, ordinal, strlen(content) AS b FROM messages WHERE (conv_id, ordinal) > (3, 0) ORDER BY conv_id, ordinal LIMIT 64), r AS (SELECT *, sum(b) OVER (ORDER BY conv_id, ordinal ROWS UNBOUNDED PRECEDING)::BIGINT AS bytes FROM p) SELECT conv_id AS log_offset, ordinal, bytes FROM r WHERE bytes <= 20000"),
     "embedded_messages": with_shapes("messages", "SELECT source_id, ordinal, sha256(content) AS digest, (length(content) - length(replace(content, 'a', '')))::INT AS a, (length(content) - length(replace(content, 'e', '')))::INT AS e FROM messages"),
     "graph_edges": with_shapes("facts", "SELECT scope, least(subject_id, object_id) AS a, greatest(subject_id, object_id) AS b, count(*)::DOUBLE AS weight FROM facts WHERE subject_id <> object_id GROUP BY 1, 2, 3"),
-    "graph_components": with_shapes("facts", """e AS (SELECT subject_id AS x, object_id AS y FROM facts WHERE predicate = 'part_of'), home AS (SELECT x AS node, y AS region FROM e),
-        m AS (SELECT subject_id AS node, region FROM facts JOIN home ON home.node = object_id WHERE predicate IN ('lives_in', 'located_in') UNION SELECT node, region FROM home UNION SELECT region, region FROM home)
-        SELECT component, nodes FROM (SELECT region, min(node) AS component, count(*) AS nodes FROM m GROUP BY 1)"""),
+    "graph_components": with_shapes("facts", f"{_LABELS} SELECT c AS component, count(*) AS nodes FROM l{_STEPS} GROUP BY 1"),
     "report_material": with_shapes("facts", "SELECT object_id AS community, fact_id, row_number() OVER w::INT AS place, sum(strlen(statement) + 1) OVER (w ROWS UNBOUNDED PRECEDING)::BIGINT AS bytes FROM facts WHERE predicate IN ('lives_in', 'located_in') WINDOW w AS (PARTITION BY object_id ORDER BY predicate, fact_id)").replace("row_number() OVER w::INT", "(row_number() OVER w)::INT"),
     "stale_reports": with_shapes("lineage", "n AS (SELECT source_id, count(*) AS now FROM lineage WHERE projection_kind = 'fact' GROUP BY 1) SELECT DISTINCT projection_id AS report_id FROM lineage LEFT JOIN n USING (source_id) WHERE projection_kind = 'community_report' AND coalesce(now, 0) <> 5"),
     "rollup_plan": with_shapes("observations", f"""{HISTORY_SQL}, old AS (SELECT *, CASE WHEN log_offset < 2 THEN 0 ELSE 1 END AS island, max(log_offset) OVER (PARTITION BY scope, subject) AS newest FROM turns WHERE log_offset < n - 2 AND NOT summarised),

@@ -96,7 +96,7 @@ def test_two_cliques_are_two_communities_in_any_order(spark):
         random.Random(seed).shuffle(pairs)
         df = spark.createDataFrame(pairs, "scope string, a string, b string, weight double")
         labels = community.components(df, lambda d: stored(d, "t"))
-        rows = community.hierarchy(df, labels).where("level = 0").collect()
+        rows = community.hierarchy(df, labels, lambda d: stored(d, "t")).where("level = 0").collect()
         groups: dict = {}
         for r in rows:
             groups.setdefault(r.community, set()).add(r.node)
