@@ -123,15 +123,6 @@ def recall_co_derived(spark, sf_dir):
     return recall.co_derived(rows).select("question_id", "fact_id", F.size("co_derived").cast("long").alias("n"), F.element_at("co_derived", 1).alias("first"))
 
 
-def recall_surfaces(spark, sf_dir):
-    """Facts, then passages of the question's scope, under one budget."""
-    facts = _cut(spark, sf_dir).where("cut is null").select("question_id", F.col("fact_id").alias("item_id"), "place", "size")
-    lines = a.messages(spark, sf_dir).where("ordinal = 0").orderBy("conv_id").limit(8)  # the surface's own limit
-    lines = lines.select(F.col("source_id").alias("item_id"), F.char_length("content").alias("size"), F.row_number().over(Window.orderBy("conv_id")).alias("place"))
-    passages = questions(spark, sf_dir).select("question_id").distinct().join(F.broadcast(lines), F.lit(True))  # 8 rows
-    return recall.compose([facts, passages], 3000).groupBy("question_id", "surface").agg(F.count("*").alias("items"), F.sum("size").alias("size"))
-
-
 def supersession(spark, sf_dir):
     rows = formation.supersede(a.status_claims(spark, sf_dir))
     return rows.select("claim_id", "accepted", F.when(F.col("accepted"), F.col("next_valid")).alias("valid_to"), F.when(F.col("accepted"), F.col("known_at")).alias("known_at"))
@@ -227,7 +218,7 @@ def citations(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    question_terms, recall_anchors, anchors_of_subject, fanout_edges, walk_one_hop, walk_two_hops, recall_bundle, recall_explain, recall_reach, recall_co_derived, recall_surfaces, supersession, refused_conflicts,
+    question_terms, recall_anchors, anchors_of_subject, fanout_edges, walk_one_hop, walk_two_hops, recall_bundle, recall_explain, recall_reach, recall_co_derived, supersession, refused_conflicts,
     fact_history, overlapping_versions, ranges_and_gaps, records_page, records_about, newest_facts, entity_inspection, visible_facts, no_scope_no_answer, citations,
 )} | {"read_current": _read(None, None), "read_valid_at": _read(VALID, None), "read_known_at": _read(None, KNOWN), "read_bitemporal": _read(VALID, KNOWN)}
 
@@ -247,10 +238,6 @@ ORACLES = {
         f AS (SELECT question_id, sum(n)::BIGINT AS facts, max(n) AS most, bool_or(capped) AS capped FROM per GROUP BY 1), t AS (SELECT question_id, count(*) AS terms FROM terms GROUP BY 1), an AS (SELECT question_id, count(DISTINCT anchor_id) AS anchors FROM anchors GROUP BY 1)
         SELECT question_id, terms, coalesce(anchors, 0) AS anchors, coalesce(facts, 0) AS facts, coalesce(most, 0) AS most_from_one, coalesce(capped, false) AS capped FROM t LEFT JOIN an USING (question_id) LEFT JOIN f USING (question_id)"""),
     "recall_co_derived": with_shapes("entities facts lineage", f"{_CUT}, e AS (SELECT question_id, fact_id, source_id, lower(subject_name) AS s FROM cutted WHERE cut IS NULL AND subject_name <> '') SELECT a.question_id, a.fact_id, count(DISTINCT b.fact_id) AS n, min(b.fact_id) AS first FROM e a JOIN e b ON a.question_id = b.question_id AND a.source_id = b.source_id AND a.s = b.s AND a.fact_id <> b.fact_id GROUP BY 1, 2"),
-    "recall_surfaces": with_shapes("entities facts lineage messages", f"""{_CUT}, lines AS (SELECT source_id, length(content) AS size, row_number() OVER (ORDER BY conv_id) AS place FROM messages WHERE ordinal = 0 QUALIFY place <= 8),
-        f AS (SELECT question_id, 0 AS surface, size FROM cutted WHERE cut IS NULL AND total <= 3000), spent AS (SELECT question_id, sum(size) AS spent FROM f GROUP BY 1),
-        p AS (SELECT q.question_id, l.size, sum(l.size) OVER (PARTITION BY q.question_id ORDER BY l.place ROWS UNBOUNDED PRECEDING) + coalesce(spent, 0) AS total FROM (SELECT DISTINCT question_id FROM terms) q CROSS JOIN lines l LEFT JOIN spent USING (question_id))
-        SELECT question_id, surface, count(*) AS items, sum(size)::BIGINT AS size FROM (SELECT * FROM f UNION ALL SELECT question_id, 1, size FROM p WHERE total <= 3000) GROUP BY 1, 2"""),
     "supersession": with_shapes("claims", f"{VERSIONS_SQL} SELECT claim_id, accepted, CASE WHEN accepted THEN next_valid END AS valid_to, CASE WHEN accepted THEN known_at END AS known_at FROM sup"),
     "refused_conflicts": with_shapes("claims", f"{VERSIONS_SQL} SELECT 'conflicting_value' AS reason, count(*) AS claims, count(DISTINCT subject_id) AS subjects FROM sup WHERE NOT accepted HAVING count(*) > 0"),
     "fact_history": with_shapes("claims", f"{VERSIONS_SQL} SELECT status, count(*) AS versions, count(DISTINCT subject_id) AS subjects, min(known_from) AS first, max(known_from) AS last FROM (SELECT *, CASE WHEN valid_to IS NULL THEN 'current' ELSE 'validity_closed' END AS status FROM vf UNION ALL SELECT *, 'knowledge_closed' FROM vh) GROUP BY 1"),
