@@ -43,25 +43,43 @@ def buckets(entries: DataFrame, since: str, until: str, n: int) -> DataFrame:
 
 
 def entry_line() -> Column:
+    """An entry as its seal digests it."""
     when = F.concat(F.floor(F.unix_micros("occurred_at") / 1_000_000).cast("string"), F.lit("."), F.lpad((F.unix_micros("occurred_at") % 1_000_000).cast("string"), 6, "0"))
-    return F.concat_ws("|", F.col("entry_id").cast("string"), "operation", "principal", "project", F.col("magnitude").cast("string"), "outcome", when)
+    who = ["operation", "principal", "principal_kind", "project"]
+    return F.concat_ws("|", F.col("entry_id").cast("string"), *who, F.col("magnitude").cast("string"), "outcome", when)
 
 
-def seal_ranges(entries: DataFrame, batch: int = SEAL_BATCH) -> DataFrame:
-    """Digest of each range of entries by id: `seal, from_id, to_id, entries, digest`. A range is a fixed stretch of ids, so that its size is bounded
-    and ranges need no order among themselves."""
-    rows = entries.select(F.floor(F.col("entry_id") / batch).alias("seal"), "entry_id", F.sha2(entry_line(), 256).alias("line"))
-    return rows.groupBy("seal").agg(F.min("entry_id").alias("from_id"), F.max("entry_id").alias("to_id"), F.count("*").alias("entries"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("entry_id", "line"))), lambda x: x["line"]), "\n"), 256).alias("digest"))
+def ranked(entries: DataFrame, batch: int = SEAL_BATCH) -> DataFrame:
+    """Entries with `rank`, their place in the order of ids (each id once), from 0.
 
+    Ids are counted by stretches of `batch` first; what is ordered as a whole is a row a stretch, and what is ordered within one are at most
+    `batch` entries."""
+    rows = entries.withColumn("_stretch", F.floor(F.col("entry_id") / batch))
+    sizes = rows.groupBy("_stretch").agg(F.count("*").alias("_n"))
+    before = sizes.select("_stretch", (F.sum("_n").over(Window.orderBy("_stretch")) - F.col("_n")).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_stretch").orderBy("entry_id"))
+    return rows.withColumn("_at", within).join(before, "_stretch").withColumn("rank", F.col("_before") + F.col("_at") - 1).drop("_stretch", "_at", "_before")
 
-def chain(ranges: DataFrame) -> DataFrame:
-    """Seals with `previous` and `sealed`: SHA-256 over the previous seal and the range's digest, from 32 zero bytes on.
+
+def seal_ranges(entries: DataFrame, batch: int = SEAL_BATCH, after: int = -1, first: int = 0) -> DataFrame:
+    """`seal, from_id, to_id, entries, digest` of the entries after id `after`, the next `batch` of them a seal; the last may have fewer.
+
+    A seal covers all ids since the one before it. The digest is over the entries' lines in order. Seals are numbered from `first`."""
+    rows = ranked(entries.where(F.col("entry_id") > after), batch).select((F.floor(F.col("rank") / batch) + first).alias("seal"), "entry_id", entry_line().alias("line"))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("entry_id", "line"))), lambda x: x["line"])
+    sealed = rows.groupBy("seal").agg(F.max("entry_id").alias("to_id"), F.count("*").alias("entries"), F.sha2(F.array_join(lines, "\n"), 256).alias("digest"))
+    start = F.coalesce(F.lag("to_id").over(Window.orderBy("seal")), F.lit(after)) + 1  # a row a seal
+    return sealed.select("seal", start.alias("from_id"), "to_id", "entries", "digest")
+
+
+def chain(ranges: DataFrame, previous: str = "00" * 32) -> DataFrame:
+    """Seals with `previous` and `sealed`: SHA-256 over the previous seal and the range's digest, from `previous` on (zeros at the start).
 
     A chain is sequential by nature: one row a range of SEAL_BATCH entries goes through one task, in order.
     """
 
     def link(batches):
-        last = bytes(32)
+        last = bytes.fromhex(previous)
         for pdf in batches:
             out = []
             for digest in pdf["digest"]:
@@ -73,15 +91,41 @@ def chain(ranges: DataFrame) -> DataFrame:
     return ordered.mapInPandas(link, "seal long, from_id long, to_id long, entries long, digest string, previous string, sealed string")
 
 
-def verify(seals: DataFrame, entries: DataFrame, batch: int = SEAL_BATCH) -> DataFrame:
-    """Each seal with what is wrong with it: entries changed, a broken link, or nothing."""
-    fresh = seal_ranges(entries, batch).select("seal", F.col("digest").alias("fresh"))
-    links = seals.withColumn("expected", F.lag("sealed").over(Window.orderBy("seal")))
-    rows = links.join(fresh, "seal", "left")
-    fault = F.when(F.col("fresh").isNull() | (F.col("fresh") != F.col("digest")), "entries_changed").when(F.col("expected").isNotNull() & (F.col("expected") != F.col("previous")), "broken_link")
+def verify(seals: DataFrame, entries: DataFrame, previous: str = "00" * 32) -> DataFrame:
+    """Each seal with what is wrong with it: `entries_missing`, `entries_changed`, `broken_link` or `wrong_digest`, else null.
+
+    The entries of a seal are those that it says, by its range of ids. The first seal follows `previous`."""
+    joined = _in_ranges(entries, seals)
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("entry_id", "line"))), lambda x: x["line"])
+    fresh = joined.groupBy("seal").agg(F.count("*").alias("held"), F.sha2(F.array_join(lines, "\n"), 256).alias("fresh"))
+    rows = seals.withColumn("expected", F.coalesce(F.lag("sealed").over(Window.orderBy("seal")), F.lit(previous))).join(fresh, "seal", "left")
+    own = F.sha2(F.unhex(F.concat("previous", "digest")), 256)
+    fault = (
+        F.when(F.coalesce("held", F.lit(0)) != F.col("entries"), "entries_missing").when(F.col("fresh") != F.col("digest"), "entries_changed")
+        .when(F.col("expected") != F.col("previous"), "broken_link").when(own != F.col("sealed"), "wrong_digest")
+    )
     return rows.select("seal", "entries", fault.alias("fault"))
 
 
+def _in_ranges(entries: DataFrame, seals: DataFrame) -> DataFrame:
+    """`seal, entry_id, line` of the entries that seals cover: each entry goes to the seal with the least end at or after it."""
+    marks = seals.select("seal", F.col("to_id").alias("_end"), "from_id")
+    width = SEAL_BATCH
+    rows = entries.select("entry_id", entry_line().alias("line"), F.floor(F.col("entry_id") / width).alias("_stretch"))
+    # A seal is looked for in each stretch of ids that it touches.
+    spread = marks.withColumn("_stretch", F.explode(F.sequence(F.floor(F.col("from_id") / width), F.floor(F.col("_end") / width))))
+    return rows.join(spread, "_stretch").where((F.col("entry_id") >= F.col("from_id")) & (F.col("entry_id") <= F.col("_end"))).select("seal", "entry_id", "line")
+
+
+def standing(seals: DataFrame, entries: DataFrame, faults: DataFrame) -> DataFrame:
+    """One row: whether the ledger holds, its first seal that does not and why, its head, and how many entries no seal covers yet."""
+    last = seals.agg(F.max(F.struct("seal", "to_id", "sealed")).alias("x"), F.count("*").alias("seals"))
+    wrong = faults.where("fault is not null").agg(F.min(F.struct("seal", "fault")).alias("w"))
+    rows = last.crossJoin(wrong)  # a row each
+    loose = entries.join(rows.select(F.coalesce("x.to_id", F.lit(-1)).alias("_to")), F.col("entry_id") > F.col("_to")).agg(F.count("*").alias("unsealed"))
+    return rows.crossJoin(loose).select(F.col("w").isNull().alias("valid"), F.col("w.seal").alias("first_failure"), F.col("w.fault").alias("fault"), "seals", F.col("x.sealed").alias("head"), "unsealed")
+
+
 def coalesce_reads(reads: DataFrame, seconds: int = 60) -> DataFrame:
     """Reads of a credential in a project, as rows: the first read opens a window anchored at it, later ones in the window become one row
     that counts them, and the next read after it opens another. Groups stream in time order, so none is held."""

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from factloom.operators import governance, ledger
+from factloom.operators import archive, governance, ledger
+from factloom.plans.session import shared_dir, stored
 from factloom.sources import adapters as a
 from factloom.sources.adapters import with_shapes
 
@@ -56,18 +59,53 @@ def seal_chain(spark, sf_dir):
     return ledger.chain(ledger.seal_ranges(a.audit(spark, sf_dir), BATCH)).select("seal", "digest", "previous", "sealed")
 
 
-def chain_verification(spark, sf_dir):
-    """The chain against a ledger in which one magnitude in a thousand was changed after the sealing."""
+def _damaged(spark, sf_dir):
+    """A ledger whose last seal is missing yet, and in which every 3001st magnitude was changed and every 4001st entry removed after sealing."""
     entries = a.audit(spark, sf_dir)
-    seals = ledger.chain(ledger.seal_ranges(entries, BATCH))
+    ranges = ledger.seal_ranges(entries, BATCH)
+    seals = stored(ledger.chain(ranges.where(F.col("seal") < ranges.agg(F.max("seal")).first()[0])), "seals")
     changed = entries.withColumn("magnitude", F.when(F.col("entry_id") % 3001 == 3000, F.col("magnitude") + 1).otherwise(F.col("magnitude")))
-    return ledger.verify(seals, changed, BATCH).select("seal", "entries", F.coalesce("fault", F.lit("none")).alias("fault"))
+    return seals, changed.where(F.col("entry_id") % 4001 != 4000)
+
+
+def chain_verification(spark, sf_dir):
+    """The chain against a damaged ledger, seal by seal."""
+    seals, entries = _damaged(spark, sf_dir)
+    return ledger.verify(seals, entries).select("seal", "entries", F.coalesce("fault", F.lit("none")).alias("fault"))
+
+
+def ledger_standing(spark, sf_dir):
+    """The same in one row: the first failure, the head, and the entries not sealed yet."""
+    seals, entries = _damaged(spark, sf_dir)
+    return ledger.standing(seals, entries, ledger.verify(seals, entries))
+
+
+def ledger_files(spark, sf_dir):
+    """Archived seals as files of two, read back and verified; one file of three has an entry altered, removed, or moved to another seal."""
+    entries = a.audit(spark, sf_dir)
+    seals = stored(ledger.chain(ledger.seal_ranges(entries, BATCH)), "seals")
+    lines = archive.lines(seals, entries, 2)
+    hurt = F.col("file") % 3 == 1
+    lines = lines.withColumn("value", F.when(hurt & F.col("entry_id").isNotNull() & (F.col("entry_id") % BATCH == 500), F.regexp_replace("value", "\\|p", "|q")).otherwise(F.col("value")))
+    path = f"{shared_dir(spark)}/archive-{uuid.uuid4().hex}"
+    archive.write(lines, path)
+    return archive.verify_files(spark, path).select("file", "valid", "failed_seal", "failure", "seals", "entries", "first_entry", "last_entry", "head")
+
+
+def ledger_after_archive(spark, sf_dir):
+    """What stays when sealed ranges have left: the rest of the entries, chained on from the checkpoint, gives the same seals."""
+    entries = a.audit(spark, sf_dir)
+    seals = stored(ledger.chain(ledger.seal_ranges(entries, BATCH)), "seals")
+    mark = archive.checkpoint(seals, seals.agg(F.max("seal")).first()[0] // 2)
+    rest = archive.remaining(entries, mark)
+    again = ledger.chain(ledger.seal_ranges(rest, BATCH, mark["through_entry"], mark["through_seal"] + 1), mark["digest"])
+    return again.select("seal", "from_id", "to_id", "entries", "previous", "sealed")
 
 
 def archive_coverage(spark, sf_dir):
     """Seals older than ten days that an archive would take, and their entries."""
     _, middle, _ = _window(spark, sf_dir)
-    rows = a.audit(spark, sf_dir).groupBy(F.floor(F.col("entry_id") / BATCH).alias("seal")).agg(F.max("occurred_at").alias("newest"), F.count("*").alias("entries"))
+    rows = ledger.ranked(a.audit(spark, sf_dir), BATCH).groupBy(F.floor(F.col("rank") / BATCH).alias("seal")).agg(F.max("occurred_at").alias("newest"), F.count("*").alias("entries"))
     return rows.where(F.col("newest") < F.lit(middle).cast("timestamp")).select("seal", "entries")
 
 
@@ -194,15 +232,19 @@ def owed_notifications(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    ledger_activity, ledger_buckets, busiest_projects, recent_entries, last_acted, outcome_mix, ledger_seals, seal_chain, chain_verification, archive_coverage, coalesced_reads, duration_histograms, merged_histograms,
+    ledger_activity, ledger_buckets, busiest_projects, recent_entries, last_acted, outcome_mix, ledger_seals, seal_chain, chain_verification, ledger_standing, ledger_files, ledger_after_archive, archive_coverage, coalesced_reads, duration_histograms, merged_histograms,
     drain_rate, metering, instance_health, metrics_text, erasure_by_subject, erasure_receipt, erasure_by_source, state_after_erasure, erasable_sources, retention_sweep, purge_preview, purged_facts, unreferenced_entities,
     subject_export, dangling_lineage, quota_totals, vocabulary_coverage, facts_per_source, degree_distribution, owed_notifications,
 )}
 
-_LINE = "entry_id || '|' || operation || '|' || principal || '|' || project || '|' || magnitude || '|' || outcome || '|' || (epoch_us(occurred_at) // 1000000) || '.' || lpad((epoch_us(occurred_at) % 1000000)::VARCHAR, 6, '0')"
-SEALS_SQL = f"seals AS (SELECT entry_id // {BATCH} AS seal, min(entry_id) AS from_id, max(entry_id) AS to_id, count(*) AS entries, sha256(string_agg(sha256({_LINE}), chr(10) ORDER BY entry_id)) AS digest FROM audit GROUP BY 1)"
+_LINE = "entry_id || '|' || operation || '|' || principal || '|' || principal_kind || '|' || project || '|' || magnitude || '|' || outcome || '|' || (epoch_us(occurred_at) // 1000000) || '.' || lpad((epoch_us(occurred_at) % 1000000)::VARCHAR, 6, '0')"
+SEALS_SQL = f"""ranked AS (SELECT *, (row_number() OVER (ORDER BY entry_id) - 1) // {BATCH} AS seal, {_LINE} AS line FROM audit),
+    seals AS (SELECT seal, coalesce(lag(to_id) OVER (ORDER BY seal), -1) + 1 AS from_id, to_id, entries, digest FROM (SELECT seal, max(entry_id) AS to_id, count(*) AS entries, sha256(string_agg(line, chr(10) ORDER BY entry_id)) AS digest FROM ranked GROUP BY 1))"""
 CHAIN_SQL = f"""{SEALS_SQL}, ord AS (SELECT *, row_number() OVER (ORDER BY seal) AS i FROM seals),
 links AS (SELECT i, seal, digest, repeat('0', 64) AS previous, sha256(from_hex(repeat('0', 64) || digest)) AS sealed FROM ord WHERE i = 1 UNION ALL SELECT o.i, o.seal, o.digest, l.sealed, sha256(from_hex(l.sealed || o.digest)) FROM links l JOIN ord o ON o.i = l.i + 1)"""
+_DAMAGE = f"""{SEALS_SQL}, after AS (SELECT seal, string_agg(CASE WHEN entry_id % 3001 = 3000 THEN replace(line, '|' || magnitude || '|' || outcome, '|' || (magnitude + 1) || '|' || outcome) ELSE line END, chr(10) ORDER BY entry_id) AS lines, count(*) AS held
+    FROM ranked WHERE entry_id % 4001 <> 4000 GROUP BY 1),
+    damage AS (SELECT s.*, CASE WHEN coalesce(held, 0) <> entries THEN 'entries_missing' WHEN sha256(lines) <> digest THEN 'entries_changed' END AS fault FROM seals s LEFT JOIN after USING (seal) WHERE seal < (SELECT max(seal) FROM seals))"""
 OUTCOME_SQL = lambda own: f"SELECT scope, projection_kind, projection_id, CASE WHEN projection_kind IN ('chunk', 'fact', 'entity', 'rejected_claim') AND bool_or(NOT ({own})) THEN 'kept' ELSE 'deleted' END AS outcome FROM lineage GROUP BY 1, 2, 3 HAVING bool_or({own})"
 _OWN = f"data_subject_id IS NOT DISTINCT FROM '{SUBJECT}'"
 _RECEIPT = "SELECT projection_kind, count(*) FILTER (outcome = 'deleted') AS deleted, count(*) FILTER (outcome = 'kept') AS residual FROM o GROUP BY 1"
@@ -217,8 +259,19 @@ ORACLES = {
     "outcome_mix": with_shapes("audit", "SELECT operation, count(*) AS entries, count(*) FILTER (outcome = 'refused') AS refused, count(DISTINCT principal) FILTER (outcome = 'refused') AS refused_principals FROM audit GROUP BY 1"),
     "ledger_seals": with_shapes("audit", f"{SEALS_SQL} SELECT * FROM seals"),
     "seal_chain": with_shapes("audit", f"{CHAIN_SQL} SELECT seal, digest, previous, sealed FROM links").replace("WITH audit", "WITH RECURSIVE audit", 1),
-    "chain_verification": with_shapes("audit", f"SELECT entry_id // {BATCH} AS seal, count(*) AS entries, CASE WHEN bool_or(entry_id % 3001 = 3000) THEN 'entries_changed' ELSE 'none' END AS fault FROM audit GROUP BY 1"),
-    "archive_coverage": with_shapes("audit", f"{WINDOW_SQL} SELECT entry_id // {BATCH} AS seal, count(*) AS entries FROM audit GROUP BY 1 HAVING max(occurred_at) < (SELECT m FROM win)"),
+    "chain_verification": with_shapes("audit", f"{_DAMAGE} SELECT seal, entries, coalesce(fault, 'none') AS fault FROM damage"),
+    "ledger_standing": with_shapes("audit", f"""{_DAMAGE}, {CHAIN_SQL.split(", ord AS", 1)[1].join(["ord AS", ""])}
+        SELECT NOT coalesce(bool_or(fault IS NOT NULL), false) AS valid, min(seal) FILTER (fault IS NOT NULL) AS first_failure, arg_min(fault, seal) FILTER (fault IS NOT NULL) AS fault, count(*) AS seals,
+        (SELECT sealed FROM links WHERE seal = (SELECT max(seal) - 1 FROM seals)) AS head, (SELECT count(*) FROM audit WHERE entry_id % 4001 <> 4000 AND entry_id > (SELECT coalesce(max(to_id), -1) FROM damage)) AS unsealed FROM damage""").replace("WITH audit", "WITH RECURSIVE audit", 1),
+    "ledger_files": with_shapes("audit", f"""{CHAIN_SQL}, f AS (SELECT seal // 2 AS file, min(seal) AS seal, max(i) AS i, count(*) AS n FROM links GROUP BY 1), e AS (SELECT seal // 2 AS file, count(*) AS entries, min(entry_id) AS first_entry, max(entry_id) AS last_entry FROM ranked GROUP BY 1),
+        bad AS (SELECT seal // 2 AS file, min(seal) AS seal, min(from_id) AS from_id FROM seals WHERE (seal // 2) % 3 = 1 AND EXISTS (SELECT 1 FROM ranked r WHERE r.seal = seals.seal AND r.entry_id % {BATCH} = 500) GROUP BY 1)
+        SELECT file, bad.seal IS NULL AS valid, bad.seal AS failed_seal, CASE WHEN bad.seal IS NOT NULL THEN 'entries_changed' END AS failure, CASE WHEN bad.seal IS NULL THEN n ELSE bad.seal - f.seal END AS seals,
+        CASE WHEN bad.seal IS NULL THEN e.entries ELSE (SELECT count(*) FROM ranked r WHERE r.seal // 2 = f.file AND r.seal < bad.seal) END AS entries, first_entry,
+        CASE WHEN bad.seal IS NULL THEN last_entry ELSE (SELECT max(entry_id) FROM ranked r WHERE r.seal = bad.seal) END AS last_entry,
+        CASE WHEN bad.seal IS NULL THEN l.sealed ELSE b.previous END AS head
+        FROM f JOIN e USING (file) LEFT JOIN bad USING (file) JOIN links l ON l.i = f.i LEFT JOIN links b ON b.seal = bad.seal""").replace("WITH audit", "WITH RECURSIVE audit", 1),
+    "ledger_after_archive": with_shapes("audit", f"{CHAIN_SQL} SELECT l.seal, from_id, to_id, entries, previous, sealed FROM links l JOIN seals s ON s.seal = l.seal WHERE l.seal > (SELECT max(seal) // 2 FROM seals)").replace("WITH audit", "WITH RECURSIVE audit", 1),
+    "archive_coverage": with_shapes("audit", f"{WINDOW_SQL}, {SEALS_SQL} SELECT seal, count(*) AS entries FROM ranked GROUP BY 1 HAVING max(occurred_at) < (SELECT m FROM win)"),
     "coalesced_reads": with_shapes("audit", """r AS (SELECT principal, project, occurred_at AS t, row_number() OVER (PARTITION BY principal, project ORDER BY occurred_at) AS i FROM audit WHERE outcome = 'allowed'),
         g AS (SELECT principal, project, t, i, t AS w FROM r WHERE i = 1 UNION ALL SELECT r.principal, r.project, r.t, r.i, CASE WHEN r.t >= g.w + INTERVAL 21600 SECONDS THEN r.t ELSE g.w END FROM g JOIN r ON r.principal = g.principal AND r.project = g.project AND r.i = g.i + 1)
         SELECT principal, project, w AS window_start, 'first' AS kind, 1::BIGINT AS magnitude FROM (SELECT principal, project, w, count(*) AS n FROM g GROUP BY 1, 2, 3) UNION ALL SELECT principal, project, w, 'further', n - 1 FROM (SELECT principal, project, w, count(*) AS n FROM g GROUP BY 1, 2, 3) WHERE n > 1""").replace("WITH audit", "WITH RECURSIVE audit", 1),

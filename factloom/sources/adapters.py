@@ -113,7 +113,7 @@ def lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
 def audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ledger entries from events."""
     return table(spark, sf_dir, "events").selectExpr(
-        "event_id as entry_id", "event_type as operation", "'u' || user_id as principal", "'p' || (user_id % 4) as project", "cast(greatest(floor(value), 0) as bigint) as magnitude",
+        "event_id as entry_id", "event_type as operation", "'u' || user_id as principal", "if(user_id % 5 = 0, 'operator', 'credential') as principal_kind", "'p' || (user_id % 4) as project", "cast(greatest(floor(value), 0) as bigint) as magnitude",
         "case when event_type = 'error' or event_id % 17 = 0 then 'refused' else 'allowed' end as outcome", "cast(ts as timestamp) as occurred_at",
     )
 
@@ -160,7 +160,7 @@ SHAPES = {
         [f"SELECT 'p0' AS scope, 'fact' AS projection_kind, projection_id, 'o' || ({o}) AS source_id, CASE WHEN k % 5 <> 0 THEN 'u' || (({o}) % 11) END AS data_subject_id FROM ({_KEYED}) WHERE {w}" for o, w in (("k % 97", "true"), ("k % 89 + 100", "k % 2 = 0"), ("k % 83 + 200", "k % 3 = 0"))]
         + [f"SELECT 'p0', 'community_report', 'report:' || c_custkey, 'o' || ({o}), 'u' || (({o}) % 11) FROM customer WHERE c_custkey % 10 = 0" for o in ("c_custkey % 97", "c_custkey % 89 + 100")]
     ),
-    "audit": "SELECT event_id AS entry_id, event_type AS operation, 'u' || user_id AS principal, 'p' || (user_id % 4) AS project, greatest(floor(value), 0)::BIGINT AS magnitude, CASE WHEN event_type = 'error' OR event_id % 17 = 0 THEN 'refused' ELSE 'allowed' END AS outcome, ts AS occurred_at FROM events",
+    "audit": "SELECT event_id AS entry_id, event_type AS operation, 'u' || user_id AS principal, CASE WHEN user_id % 5 = 0 THEN 'operator' ELSE 'credential' END AS principal_kind, 'p' || (user_id % 4) AS project, greatest(floor(value), 0)::BIGINT AS magnitude, CASE WHEN event_type = 'error' OR event_id % 17 = 0 THEN 'refused' ELSE 'allowed' END AS outcome, ts AS occurred_at FROM events",
     "vectors": "SELECT 'p0' AS scope, 'g' || (label % 2) AS generation_id, vec_id AS item_id, embedding FROM embeddings",
 }
 _NEEDS = {"observations": ["messages"], "proposals": ["messages"]}
