@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.schemas import BRANCH, MIN_GAP_RUN, VERBATIM
+from factloom.schemas import BRANCH, MAX_LEVEL, MIN_GAP_RUN, VERBATIM
 
 
 def plan_turns(turns: DataFrame, branch: int = BRANCH, verbatim: int = VERBATIM) -> DataFrame:
@@ -28,16 +28,113 @@ def plan_turns(turns: DataFrame, branch: int = BRANCH, verbatim: int = VERBATIM)
     return kept.where((F.col("covered") == branch) | (F.col("closed") & (F.col("covered") >= MIN_GAP_RUN))).select("scope", "subject", "from_offset", "to_offset", "covered")
 
 
-def plan_segments(segments: DataFrame, level: int, branch: int = BRANCH) -> DataFrame:
-    """Segments of `level + 1` to write: each run of `branch` neighbouring segments of `level` that no higher one covers."""
-    own, above = segments.where(F.col("level") == level), segments.where(F.col("level") > level)
-    held = own.alias("a").join(above.alias("b"), (F.col("a.scope") == F.col("b.scope")) & (F.col("a.subject") == F.col("b.subject")) & (F.col("a.from_offset") >= F.col("b.from_offset")) & (F.col("a.to_offset") <= F.col("b.to_offset")), "left_anti")
-    order = Window.partitionBy("scope", "subject").orderBy("from_offset")
-    gap = F.col("from_offset") != F.lag("to_offset").over(order) + 1
-    runs = held.withColumn("_gap", F.coalesce(gap, F.lit(True)).cast("int"))
-    runs = runs.withColumn("island", F.sum("_gap").over(order)).withColumn("part", F.floor((F.row_number().over(Window.partitionBy("scope", "subject", "island").orderBy("from_offset")) - 1) / branch))
-    grouped = runs.groupBy("scope", "subject", "island", "part").agg(F.min("from_offset").alias("from_offset"), F.max("to_offset").alias("to_offset"), F.count("*").alias("parts"), F.sum("covered").alias("covered"))
-    return grouped.where(F.col("parts") == branch).select("scope", "subject", F.lit(level + 1).alias("level"), "from_offset", "to_offset", "covered")
+SUBJECT = ["scope", "subject"]
+
+
+def _covered(rows: DataFrame, at: str, segments: DataFrame) -> DataFrame:
+    """`rows` with `covered`: whether a segment (`from_offset, to_offset`, none overlaps another) lies over the offset in column `at`.
+
+    Rows and segments are read in one order, so the last segment that has begun is known without a range join."""
+    marks = segments.select(*SUBJECT, F.col("from_offset").alias("_at"), F.lit(0).alias("_kind"), F.col("to_offset").alias("_end"), F.lit(None).cast(rows.select(F.struct(*rows.columns)).schema[0].dataType).alias("_row"))
+    both = rows.select(*SUBJECT, F.col(at).alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast("long").alias("_end"), F.struct(*rows.columns).alias("_row")).unionByName(marks)
+    order = Window.partitionBy(*SUBJECT).orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn("_end", F.max("_end").over(order)).where("_kind = 1")
+    return both.select("_row.*", F.coalesce(F.col("_end") >= F.col("_at"), F.lit(False)).alias("covered"))
+
+
+def _runs(rows: DataFrame, first: str, breaks: Column, branch: int) -> DataFrame:
+    """`rows` that are not covered, with `island` and `part`, the run of at most `branch` of its island, and `closed`: whether the row after
+    its island is a covered one. `breaks` says where an island ends without that."""
+    order = Window.partitionBy(*SUBJECT).orderBy(first)
+    rows = rows.withColumn("_next", F.lead("covered").over(order)).withColumn("island", F.sum((F.col("covered") | breaks).cast("int")).over(order))
+    rows = rows.where("not covered")
+    part = F.floor((F.row_number().over(Window.partitionBy(*SUBJECT, "island").orderBy(first)) - 1) / branch)
+    return rows.withColumn("part", part).withColumn("closed", F.coalesce("_next", F.lit(False)))
+
+
+def compactable(turns: DataFrame, verbatim: int = VERBATIM) -> DataFrame:
+    """Turns that may be summarised: all but the newest."""
+    newest = Window.partitionBy(*SUBJECT).orderBy(F.desc("log_offset"))
+    return turns.withColumn("_age", F.row_number().over(newest)).where(F.col("_age") > verbatim).select(*SUBJECT, "log_offset")
+
+
+def roll_up_turns(old: DataFrame, segments: DataFrame, branch: int = BRANCH) -> DataFrame:
+    """First-level segments to write over turns that may be summarised: `scope, subject, level, from_offset, to_offset, covered`.
+
+    Runs of `branch` turns under no first-level segment; a shorter one of at least MIN_GAP_RUN where it ends at a segment, as a gap does that
+    an erasure left. What is left at the end waits."""
+    rows = _covered(old, "log_offset", segments.where("level = 1"))
+    runs = _runs(rows, "log_offset", F.lit(False), branch).groupBy(*SUBJECT, "island", "part")
+    found = runs.agg(F.min("log_offset").alias("from_offset"), F.max("log_offset").alias("to_offset"), F.count("*").alias("covered"), F.bool_or("closed").alias("closed"))
+    found = found.where((F.col("covered") == branch) | (F.col("closed") & (F.col("covered") >= MIN_GAP_RUN)))
+    return found.select(*SUBJECT, F.lit(1).alias("level"), "from_offset", "to_offset", "covered")
+
+
+def roll_up_segments(old: DataFrame, segments: DataFrame, level: int, branch: int = BRANCH) -> DataFrame:
+    """Segments of `level` (2 and up) to write over those of the level below, by the same rule.
+
+    Two segments are neighbours if no turn that may be summarised lies between them: turns that were erased part nothing. What ends at a
+    segment of this level closes, be it an old one or one that is written now."""
+    below = _covered(segments.where(F.col("level") == level - 1), "from_offset", segments.where(F.col("level") == level))
+    # How many turns lie before each segment and up to its end: neighbours have the same number between them.
+    ends = below.select(*SUBJECT, F.explode(F.array(F.struct(F.col("from_offset").alias("at"), F.lit(0).alias("kind")), F.struct(F.col("to_offset").alias("at"), F.lit(2).alias("kind")))).alias("x"), "from_offset")
+    marks = ends.select(*SUBJECT, "x.at", "x.kind", "from_offset").unionByName(old.select(*SUBJECT, F.col("log_offset").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("from_offset")))
+    upto = Window.partitionBy(*SUBJECT).orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    marks = marks.withColumn("n", F.sum((F.col("kind") == 1).cast("int")).over(upto)).where("kind <> 1")
+    counts = marks.groupBy(*SUBJECT, "from_offset").agg(F.min("n").alias("before"), F.max("n").alias("upto"))
+    rows = below.join(counts, [*SUBJECT, "from_offset"])
+    order = Window.partitionBy(*SUBJECT).orderBy("from_offset")
+    gap = F.coalesce(F.lag("upto").over(order) != F.col("before"), F.lit(False))
+    rows = rows.withColumn("_gap", gap)
+    rows = _runs(rows, "from_offset", F.col("_gap"), branch)
+    # A short run before a gap closes too, once what follows the gap is covered by a segment written now: its island's first run is if it has
+    # `branch` segments, or two and closes itself. So it goes from the right, up to an island that is decided by itself.
+    islands = rows.groupBy(*SUBJECT, "island").agg(F.min("from_offset").alias("start"), F.count("*").alias("size"), F.max_by("closed", "from_offset").alias("ends"))
+    own = F.when(F.col("size") >= branch, True).when(F.col("size") < MIN_GAP_RUN, False).when(F.col("ends"), True)
+    following = Window.partitionBy(*SUBJECT).orderBy("start")
+    islands = islands.withColumn("own", own)
+    written = F.coalesce(F.first("own", ignorenulls=True).over(following.rowsBetween(0, Window.unboundedFollowing)), F.lit(False))
+    islands = islands.withColumn("written", written)
+    shut = F.col("ends") | F.coalesce(F.lead("written").over(following), F.lit(False))
+    islands = islands.select(*SUBJECT, "island", shut.alias("shut"))
+    found = rows.groupBy(*SUBJECT, "island", "part").agg(
+        F.min("from_offset").alias("from_offset"), F.max("to_offset").alias("to_offset"), F.count("*").alias("parts"), F.sum("covered_turns").alias("covered")
+    )
+    found = found.join(islands, [*SUBJECT, "island"]).where((F.col("parts") == branch) | (F.col("shut") & (F.col("parts") >= MIN_GAP_RUN)))
+    return found.select(*SUBJECT, F.lit(level).alias("level"), "from_offset", "to_offset", "covered")
+
+
+def roll_up(turns: DataFrame, segments: DataFrame, write, branch: int = BRANCH, verbatim: int = VERBATIM, most: int = MAX_LEVEL) -> DataFrame:
+    """All segments that a history gets until nothing is left to write, level by level: the new ones, as `scope, subject, level, from_offset,
+    to_offset, covered`. `write` stores a DataFrame and reads it back. Segments of one level must not overlap; an empty history gets none.
+
+    A level is written whole before the next is planned over it, old and new segments alike, which is the order of one plan at a time."""
+    columns = [*SUBJECT, "level", "from_offset", "to_offset", "covered"]
+    old = write(compactable(turns, verbatim))
+    held = segments.select(*SUBJECT, F.col("level").cast("int").alias("level"), "from_offset", "to_offset", F.col("covered").cast("long").alias("covered"))
+    made = None
+    for level in range(1, most + 1):
+        if level == 1:
+            fresh = roll_up_turns(old, held, branch)
+        else:
+            fresh = roll_up_segments(old, held.withColumnRenamed("covered", "covered_turns"), level, branch)
+        fresh = write(fresh.select(*columns))
+        held = held.unionByName(fresh)
+        made = fresh if made is None else made.unionByName(fresh)
+        if not held.where(F.col("level") == level).take(1):
+            break
+    return made
+
+
+def after_loss(segments: DataFrame, lost: DataFrame) -> DataFrame:
+    """Segments that stay when some turns (`scope, subject, log_offset`) are erased: a summary of an erased turn goes, at every level."""
+    marks = lost.select(*SUBJECT, F.col("log_offset").alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast("long").alias("_end"), F.lit(None).cast("int").alias("level"))
+    ends = segments.select(*SUBJECT, F.explode(F.array(F.struct(F.col("from_offset").alias("_at"), F.lit(0).alias("_kind")), F.struct(F.col("to_offset").alias("_at"), F.lit(2).alias("_kind")))).alias("x"), "from_offset", "level")
+    rows = ends.select(*SUBJECT, "x._at", "x._kind", F.col("from_offset").alias("_end"), "level").unionByName(marks)
+    upto = Window.partitionBy(*SUBJECT).orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    counted = rows.withColumn("_n", F.sum((F.col("_kind") == 1).cast("int")).over(upto)).where("_kind <> 1")
+    whole = counted.groupBy(*SUBJECT, "level", F.col("_end").alias("from_offset")).agg((F.max("_n") - F.min("_n")).alias("_n")).where("_n = 0")
+    return segments.join(whole.drop("_n"), [*SUBJECT, "level", "from_offset"], "left_semi").select(*segments.columns)
 
 
 def assemble(turns: DataFrame, segments: DataFrame, budget: int, verbatim: int = VERBATIM) -> DataFrame:
@@ -68,7 +165,3 @@ def segment_lineage(segments: DataFrame, turns: DataFrame) -> DataFrame:
 def long_histories(turns: DataFrame, verbatim: int = VERBATIM) -> DataFrame:
     """Subjects with more formed turns than are kept verbatim."""
     return turns.groupBy("scope", "subject").agg(F.count("*").alias("turns")).where(F.col("turns") > verbatim)
-
-
-def turn_size(role: Column, content: Column) -> Column:
-    return F.char_length(role) + F.char_length(content)

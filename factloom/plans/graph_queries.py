@@ -12,6 +12,7 @@ from factloom.functions.text import segmented
 from factloom.operators import community, compaction, vectors
 from factloom.plans.recall_queries import VERSIONS_SQL
 from factloom.plans.session import shared_dir, stored
+from factloom.schemas import VERBATIM
 from factloom.sources import adapters as a
 from factloom.sources.adapters import with_shapes
 from factloom.streaming import formation as streams
@@ -142,14 +143,33 @@ def _history(spark, sf_dir):
 HISTORY_SQL = "hist AS (SELECT scope, data_subject_id AS subject, source_id, row_number() OVER (PARTITION BY scope, data_subject_id ORDER BY conv_id) - 1 AS log_offset, characters AS size, count(*) OVER (PARTITION BY scope, data_subject_id) AS n FROM observations), turns AS (SELECT *, log_offset BETWEEN 2 AND 4 AS summarised FROM hist)"
 
 
+def _logs(spark, sf_dir):
+    """Long histories: events as turns of five subjects."""
+    return a.table(spark, sf_dir, "events").selectExpr("'p0' as scope", "'u' || (user_id % 5) as subject", "event_id as log_offset")
+
+
+def _no_segments(spark):
+    return spark.createDataFrame([], "scope string, subject string, level int, from_offset long, to_offset long, covered long")
+
+
 def rollup_plan(spark, sf_dir):
-    return compaction.plan_turns(_history(spark, sf_dir), branch=3, verbatim=2)
+    """First-level segments of long histories."""
+    return compaction.roll_up_turns(compaction.compactable(_logs(spark, sf_dir)), _no_segments(spark))
 
 
 def rollup_levels(spark, sf_dir):
-    """Second-level segments over first-level ones of two turns each."""
-    first = _history(spark, sf_dir).groupBy("scope", "subject", F.floor(F.col("log_offset") / 2).alias("p")).agg(F.min("log_offset").alias("from_offset"), F.max("log_offset").alias("to_offset"), F.count("*").alias("covered"))
-    return compaction.plan_segments(first.where("covered = 2").withColumn("level", F.lit(1)).drop("p"), 1, branch=3)
+    """Segments of long histories at every level."""
+    return compaction.roll_up(_logs(spark, sf_dir), _no_segments(spark), lambda d: stored(d, "rollup"))
+
+
+def rollup_after_erasure(spark, sf_dir):
+    """Every 61st turn is erased with the segments over it; what is written again closes the gaps that this leaves."""
+    write = lambda d: stored(d, "rollup")
+    turns = _logs(spark, sf_dir)
+    first = write(compaction.roll_up(turns, _no_segments(spark), write))
+    gone = F.col("log_offset") % 61 == 7
+    kept = compaction.after_loss(first, turns.where(gone))
+    return compaction.roll_up(turns.where(~gone), kept, write)
 
 
 def _segments(spark, sf_dir):
@@ -166,7 +186,8 @@ def segment_lineage(spark, sf_dir):
 
 
 def long_histories(spark, sf_dir):
-    return compaction.long_histories(_history(spark, sf_dir), 8)
+    """Subjects whose turns are more than a context keeps as they were said."""
+    return compaction.long_histories(_logs(spark, sf_dir))
 
 
 def document_segments(spark, sf_dir):
@@ -200,10 +221,14 @@ def event_windows(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     vector_faults, vector_topk, vector_topk_generation, vector_candidates, cosine_pairs, stale_vectors, embedding_page, embedded_messages, surface_texts, graph_edges, graph_components, community_hierarchy, community_quality,
-    report_material, stale_reports, rollup_plan, rollup_levels, assembled_context, segment_lineage, long_histories, document_segments, documents_by_label, streamed_claims, event_windows,
+    report_material, stale_reports, rollup_plan, rollup_levels, rollup_after_erasure, assembled_context, segment_lineage, long_histories, document_segments, documents_by_label, streamed_claims, event_windows,
 )}
 
 _COS = "list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[])"
+_ROLLUP = f"""WITH t AS (SELECT 'u' || (user_id % 5) AS subject, event_id AS o FROM events),
+    r AS (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY o) - 1 AS i, count(*) OVER (PARTITION BY subject) - {VERBATIM} AS old FROM t),
+    g AS (SELECT subject, o, i, l AS level, (8 ** l)::BIGINT AS w FROM r, (SELECT unnest(range(1, {{top}})) AS l) WHERE i < old)
+    SELECT 'p0' AS scope, subject, level::INT AS level, min(o) AS from_offset, max(o) AS to_offset, count(*) AS covered FROM g GROUP BY subject, level, w, i // w HAVING count(*) = w"""
 #: The least label within so many steps: more than any two nodes of these graphs are apart.
 _STEPS = 16
 _LABELS = "e AS (SELECT DISTINCT subject_id AS x, object_id AS y FROM facts UNION SELECT object_id, subject_id FROM facts), l0 AS (SELECT x AS node, min(least(x, y)) AS c FROM e GROUP BY 1)" + "".join(
@@ -221,15 +246,13 @@ ORACLES = {
     "graph_components": with_shapes("facts", f"{_LABELS} SELECT c AS component, count(*) AS nodes FROM l{_STEPS} GROUP BY 1"),
     "report_material": with_shapes("facts", "SELECT object_id AS community, fact_id, row_number() OVER w::INT AS place, sum(strlen(statement) + 1) OVER (w ROWS UNBOUNDED PRECEDING)::BIGINT AS bytes FROM facts WHERE predicate IN ('lives_in', 'located_in') WINDOW w AS (PARTITION BY object_id ORDER BY predicate, fact_id)").replace("row_number() OVER w::INT", "(row_number() OVER w)::INT"),
     "stale_reports": with_shapes("lineage", "n AS (SELECT source_id, count(*) AS now FROM lineage WHERE projection_kind = 'fact' GROUP BY 1) SELECT DISTINCT projection_id AS report_id FROM lineage LEFT JOIN n USING (source_id) WHERE projection_kind = 'community_report' AND coalesce(now, 0) <> 5"),
-    "rollup_plan": with_shapes("observations", f"""{HISTORY_SQL}, old AS (SELECT *, CASE WHEN log_offset < 2 THEN 0 ELSE 1 END AS island, max(log_offset) OVER (PARTITION BY scope, subject) AS newest FROM turns WHERE log_offset < n - 2 AND NOT summarised),
-        p AS (SELECT *, (row_number() OVER (PARTITION BY scope, subject, island ORDER BY log_offset) - 1) // 3 AS part FROM old), g AS (SELECT scope, subject, island, part, min(log_offset) AS from_offset, max(log_offset) AS to_offset, count(*) AS covered, any_value(n) AS n FROM p GROUP BY 1, 2, 3, 4)
-        SELECT scope, subject, from_offset, to_offset, covered FROM g WHERE covered = 3 OR (island = 0 AND n - 2 > 2 AND covered >= 2)"""),
-    "rollup_levels": with_shapes("observations", f"{HISTORY_SQL}, f AS (SELECT scope, subject, log_offset // 2 AS p, min(log_offset) AS a, max(log_offset) AS b, count(*) AS c FROM turns GROUP BY 1, 2, 3 HAVING count(*) = 2) SELECT scope, subject, 2 AS level, min(a) AS from_offset, max(b) AS to_offset, sum(c)::BIGINT AS covered FROM f GROUP BY scope, subject, p // 3 HAVING count(*) = 3"),
+    "rollup_plan": _ROLLUP.format(top=2),
+    "rollup_levels": _ROLLUP.format(top=7),
     "assembled_context": with_shapes("observations", f"""{HISTORY_SQL}, seg AS (SELECT scope, subject, min(log_offset) AS a, max(log_offset) AS b FROM turns WHERE summarised GROUP BY 1, 2), cov AS (SELECT t.scope, t.subject, t.log_offset, a, b FROM turns t JOIN seg USING (scope, subject) WHERE t.summarised AND t.log_offset < t.n - 2),
         items AS (SELECT DISTINCT scope, subject, 'segment' AS kind, a AS from_offset, b AS to_offset, 40 AS size FROM cov UNION ALL SELECT scope, subject, 'turn', log_offset, log_offset, size FROM turns t WHERE NOT EXISTS (SELECT 1 FROM cov c WHERE c.scope = t.scope AND c.subject = t.subject AND c.log_offset = t.log_offset)),
         r AS (SELECT *, sum(size) OVER (PARTITION BY scope, subject ORDER BY to_offset DESC ROWS UNBOUNDED PRECEDING) AS total FROM items) SELECT scope, subject, kind, count(*) AS items, sum(size)::BIGINT AS size, min(from_offset) AS oldest FROM r WHERE total <= 3000 GROUP BY 1, 2, 3"""),
     "segment_lineage": with_shapes("observations", f"{HISTORY_SQL} SELECT scope || ':' || subject AS segment_id, count(*) AS covered, count(*) AS linked, true AS complete FROM turns WHERE summarised GROUP BY 1"),
-    "long_histories": with_shapes("observations", "SELECT scope, data_subject_id AS subject, count(*) AS turns FROM observations GROUP BY 1, 2 HAVING count(*) > 8"),
+    "long_histories": f"SELECT 'p0' AS scope, 'u' || (user_id % 5) AS subject, count(*) AS turns FROM events GROUP BY 2 HAVING count(*) > {VERBATIM}",
     "document_segments": "SELECT doc_id AS id, true AS lossless, true AS bounded, strlen(text)::INT AS bytes FROM documents",
     "documents_by_label": "SELECT lang, quality, toxic, count(*) AS documents, sum(n_chars)::BIGINT AS characters FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1, 2, 3",
     "streamed_claims": with_shapes("claims", f"{VERSIONS_SQL} SELECT object_value, count(*) AS facts, count(DISTINCT subject_id) AS subjects FROM vf GROUP BY 1"),
