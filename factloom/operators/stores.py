@@ -66,15 +66,15 @@ def only_grows(old: Column, new: Column) -> Column:
 
 
 def admit_to_backlog(waiting: DataFrame, most: int = BACKLOG, most_of_project: int = BACKLOG_PER_PROJECT) -> DataFrame:
-    """Which turns the backlog has room for, in arrival order within projects; `waiting` is `scope, arrival`. A project's share is bounded
-    first, and projects then share what the instance holds by their order of names, so that no row needs all rows before it."""
+    """Which turns the backlog has room for, first come first served; `waiting` is `scope, arrival`. A project holds `most_of_project` at most,
+    and of what projects may hold the instance takes the first `most` to arrive, whichever project they are of."""
     order = Window.partitionBy("scope").orderBy("arrival")
     ranked = waiting.withColumn("nth", F.row_number().over(order))
-    held = waiting.groupBy("scope").agg(F.least(F.count("*"), F.lit(most_of_project)).alias("held"))
-    # One row a project.
-    before = held.withColumn("before", F.sum("held").over(Window.orderBy("scope")) - F.col("held"))
-    rows = ranked.join(before, "scope")
-    return rows.select("scope", "arrival", ((F.col("nth") <= most_of_project) & (F.col("before") + F.col("nth") <= most)).alias("admitted"))
+    come = F.struct("arrival", "scope")
+    # The last that still has room: `most` rows at most are ordered as a whole.
+    last = ranked.where(F.col("nth") <= most_of_project).orderBy("arrival", "scope").limit(most).agg(F.max(come).alias("last"))
+    rows = ranked.crossJoin(F.broadcast(last))  # one row
+    return rows.select("scope", "arrival", F.coalesce((F.col("nth") <= most_of_project) & (come <= F.col("last")), F.lit(False)).alias("admitted"))
 
 
 def effective_controls(asked: DataFrame, most_characters: int) -> DataFrame:

@@ -189,7 +189,9 @@ def purged_facts(spark, sf_dir):
 
 
 def unreferenced_entities(spark, sf_dir):
-    return governance.unreferenced(a.entities(spark, sf_dir), a.facts(spark, sf_dir)).select("entity_id", "entity_type")
+    """Entities that nothing refers to once one has been purged."""
+    rest = governance.purge_entity(a.facts(spark, sf_dir), "n:3")
+    return governance.unreferenced(a.entities(spark, sf_dir), rest).select("entity_id", "entity_type")
 
 
 def subject_export(spark, sf_dir):
@@ -198,8 +200,9 @@ def subject_export(spark, sf_dir):
 
 
 def dangling_lineage(spark, sf_dir):
-    """Lineage rows whose fact does not exist: none."""
-    return a.lineage(spark, sf_dir).where("projection_kind = 'fact'").join(a.facts(spark, sf_dir).select(F.col("fact_id").alias("projection_id")), "projection_id", "left_anti").select("projection_id", "source_id")
+    """Lineage rows of facts that a purge has removed."""
+    rest = governance.purge_entity(a.facts(spark, sf_dir), "n:3").select(F.col("fact_id").alias("projection_id"))
+    return a.lineage(spark, sf_dir).where("projection_kind = 'fact'").join(rest, "projection_id", "left_anti").select("projection_id", "source_id")
 
 
 def quota_totals(spark, sf_dir):
@@ -290,9 +293,9 @@ ORACLES = {
         mk AS (SELECT l.*, e.source_id IS NOT NULL AS own FROM lineage l LEFT JOIN ex e USING (source_id)), o AS ({OUTCOME_SQL("own").replace("FROM lineage", "FROM mk")}) {_RECEIPT}"""),
     "purge_preview": with_shapes("facts", f"{_ENDS} SELECT entity_id, count(*) AS facts, count(DISTINCT data_subject_id) AS claimants FROM ends GROUP BY 1"),
     "purged_facts": with_shapes("facts", "SELECT predicate, count(*) AS facts FROM facts WHERE subject_id <> 'n:3' AND object_id <> 'n:3' GROUP BY 1"),
-    "unreferenced_entities": with_shapes("facts entities", f"{_ENDS} SELECT entity_id, entity_type FROM entities WHERE entity_id NOT IN (SELECT entity_id FROM ends)"),
+    "unreferenced_entities": with_shapes("facts entities", f"{_ENDS.replace('FROM facts', 'FROM facts WHERE subject_id <> $n:3$ AND object_id <> $n:3$'.replace('$', chr(39)))} SELECT entity_id, entity_type FROM entities WHERE entity_id NOT IN (SELECT entity_id FROM ends)"),
     "subject_export": with_shapes("facts lineage", f"""SELECT 'fact' AS section, fact_id AS item_id, '{{"fact_id":"' || fact_id || '","predicate":"' || predicate || '","source_role":"' || source_role || '","statement":"' || statement || '"}}' AS document FROM facts WHERE fact_id IN (SELECT projection_id FROM lineage WHERE projection_kind = 'fact' AND data_subject_id = '{SUBJECT}')"""),
-    "dangling_lineage": with_shapes("facts lineage", "SELECT projection_id, source_id FROM lineage WHERE projection_kind = 'fact' AND projection_id NOT IN (SELECT fact_id FROM facts)"),
+    "dangling_lineage": with_shapes("facts lineage", "SELECT projection_id, source_id FROM lineage WHERE projection_kind = 'fact' AND projection_id NOT IN (SELECT fact_id FROM facts WHERE subject_id <> 'n:3' AND object_id <> 'n:3')"),
     "quota_totals": with_shapes("messages", "SELECT scope, sum(strlen(content))::BIGINT AS bytes, count(*) AS objects, sum(strlen(content)) > 20000 AS over FROM messages GROUP BY 1"),
     "vocabulary_coverage": with_shapes("facts", "SELECT predicate, source_role, count(*) AS facts, count(DISTINCT subject_id) AS subjects FROM facts GROUP BY 1, 2"),
     "facts_per_source": with_shapes("lineage", "p AS (SELECT source_id, count(*) AS n FROM lineage WHERE projection_kind = 'fact' GROUP BY 1) SELECT count(*) AS sources, quantile_cont(n, 0.5)::DOUBLE AS median, max(n) AS most FROM p"),

@@ -163,19 +163,30 @@ def fact_history(spark, sf_dir):
     return rows.groupBy("status").agg(F.count("*").alias("versions"), F.count_distinct("subject_id").alias("subjects"), F.min("known_from").alias("first"), F.max("known_from").alias("last"))
 
 
-def overlapping_versions(spark, sf_dir):
-    """Two versions of a one-valued key that overlap in both times: none may."""
+def _misshapen(spark, sf_dir):
+    """Versions as a faulty writer might leave them: every 40th order's superseded facts stay open, every 30th order's history ends late."""
     facts, history = _versions(spark, sf_dir)
-    rows = facts.unionByName(history).withColumn("vid", F.concat_ws("/", "fact_id", F.col("known_from").cast("string")))
-    pairs = rows.alias("a").join(rows.alias("b"), (F.col("a.subject_id") == F.col("b.subject_id")) & (F.col("a.predicate") == F.col("b.predicate")))
-    return pairs.where(F.col("a.vid") < F.col("b.vid")).where(temporal.overlap("a", "b", "valid") & temporal.overlap("a", "b", "known")).select(F.col("a.vid").alias("one"), F.col("b.vid").alias("other"))
+    k = F.expr("cast(substring(subject_id, 3) as long)")
+    facts = facts.withColumn("valid_to", F.when(k % 40 == 0, None).otherwise(F.col("valid_to")))
+    late = F.expr("known_to + make_dt_interval(400)")
+    return facts, history.withColumn("known_to", F.when(k % 30 == 0, late).otherwise(F.col("known_to")))
+
+
+def overlapping_versions(spark, sf_dir):
+    """Facts of a one-valued key that begin before an earlier one, believed at the same time, has ended."""
+    facts, _ = _misshapen(spark, sf_dir)
+    before = Window.partitionBy("scope", "account", "subject_id", "predicate").orderBy("valid_from", "fact_id").rowsBetween(Window.unboundedPreceding, -1)
+    # The farthest end before each, in one pass over the key: no pairs are made.
+    end = F.max(F.coalesce("valid_to", F.expr("timestamp'9999-01-01 00:00:00'"))).over(before)
+    return facts.where("known_to is null").withColumn("_end", end).where(F.col("_end") > F.col("valid_from")).select("fact_id", "subject_id", "valid_from")
 
 
 def ranges_and_gaps(spark, sf_dir):
-    """Counts of versions whose ranges are empty, or whose successive beliefs overlap; both must be 0."""
-    _, history = _versions(spark, sf_dir)
-    late = F.lag("known_to").over(Window.partitionBy("fact_id").orderBy("known_from")) > F.col("known_from")
-    return history.withColumn("late", F.coalesce(late, F.lit(False))).agg(F.count("*").alias("versions"), F.count_if(F.col("known_to") <= F.col("known_from")).alias("empty"), F.count_if("late").alias("overlapping"))
+    """Counts of versions whose ranges are empty, and whose beliefs go on into the fact's present one."""
+    facts, history = _misshapen(spark, sf_dir)
+    now = facts.select("fact_id", F.col("known_from").alias("_now"))
+    rows = history.join(now, "fact_id", "left")
+    return rows.agg(F.count("*").alias("versions"), F.count_if(F.col("known_to") <= F.col("known_from")).alias("empty"), F.count_if(F.col("known_to") > F.col("_now")).alias("overlapping"))
 
 
 def records_page(spark, sf_dir):
@@ -241,8 +252,10 @@ ORACLES = {
     "supersession": with_shapes("claims", f"{VERSIONS_SQL} SELECT claim_id, accepted, CASE WHEN accepted THEN next_valid END AS valid_to, CASE WHEN accepted THEN known_at END AS known_at FROM sup"),
     "refused_conflicts": with_shapes("claims", f"{VERSIONS_SQL} SELECT 'conflicting_value' AS reason, count(*) AS claims, count(DISTINCT subject_id) AS subjects FROM sup WHERE NOT accepted HAVING count(*) > 0"),
     "fact_history": with_shapes("claims", f"{VERSIONS_SQL} SELECT status, count(*) AS versions, count(DISTINCT subject_id) AS subjects, min(known_from) AS first, max(known_from) AS last FROM (SELECT *, CASE WHEN valid_to IS NULL THEN 'current' ELSE 'validity_closed' END AS status FROM vf UNION ALL SELECT *, 'knowledge_closed' FROM vh) GROUP BY 1"),
-    "overlapping_versions": "SELECT '' AS one, '' AS other WHERE false",
-    "ranges_and_gaps": with_shapes("claims", f"{VERSIONS_SQL} SELECT count(*) AS versions, count(*) FILTER (known_to <= known_from) AS empty, 0::BIGINT AS overlapping FROM vh"),
+    "overlapping_versions": with_shapes("claims", f"{VERSIONS_SQL}, bad AS (SELECT fact_id, subject_id, valid_from, CASE WHEN substring(subject_id, 3)::BIGINT % 40 <> 0 THEN valid_to END AS t FROM vf) "
+    "SELECT DISTINCT b.fact_id, b.subject_id, b.valid_from FROM bad a JOIN bad b ON a.subject_id = b.subject_id AND a.valid_from < b.valid_from AND (a.t IS NULL OR a.t > b.valid_from)"),
+    "ranges_and_gaps": with_shapes("claims", f"{VERSIONS_SQL}, bad AS (SELECT fact_id, known_from, CASE WHEN substring(subject_id, 3)::BIGINT % 30 = 0 THEN known_to + INTERVAL 400 DAYS ELSE known_to END AS t FROM vh) "
+    "SELECT count(*) AS versions, count(*) FILTER (t <= bad.known_from) AS empty, count(*) FILTER (t > vf.known_from) AS overlapping FROM bad LEFT JOIN vf USING (fact_id)"),
     "read_current": with_shapes("claims", f"{VERSIONS_SQL} SELECT {_VCOLS} FROM vf WHERE valid_to IS NULL AND known_to IS NULL"),
     "read_valid_at": with_shapes("claims", f"{VERSIONS_SQL} SELECT {_VCOLS} FROM vf WHERE {_IN('valid', VALID)} AND known_to IS NULL"),
     "read_known_at": with_shapes("claims", f"{VERSIONS_SQL} SELECT {_VCOLS} FROM va WHERE {_IN('known', KNOWN)} AND valid_to IS NULL"),

@@ -172,8 +172,8 @@ ORACLES = {
         lost AS (SELECT DISTINCT q.project, q.day FROM pairs q JOIN d b ON b.project = q.project AND b.day + 1 = q.day WHERE NOT EXISTS (SELECT 1 FROM d n WHERE n.project = q.project AND n.day = q.day AND n.event_type = b.event_type))
         SELECT lost.day IS NULL AS grows, count(*) AS changes FROM pairs LEFT JOIN lost ON lost.project = pairs.project AND lost.day = pairs.day GROUP BY 1""",
     "backlog_admission": f"""WITH w AS (SELECT 'p' || (user_id % 13) AS scope, event_id AS arrival, row_number() OVER (PARTITION BY user_id % 13 ORDER BY event_id) AS nth FROM events),
-        h AS (SELECT scope, least(count(*), {BACKLOG_PER_PROJECT}) AS held FROM w GROUP BY 1), b AS (SELECT scope, sum(held) OVER (ORDER BY scope) - held AS before FROM h)
-        SELECT scope, nth <= {BACKLOG_PER_PROJECT} AND before + nth <= {BACKLOG} AS admitted, count(*) AS turns, max(arrival) AS last FROM w JOIN b USING (scope) GROUP BY 1, 2""",
+        h AS (SELECT *, row_number() OVER (ORDER BY arrival) AS place FROM w WHERE nth <= {BACKLOG_PER_PROJECT})
+        SELECT w.scope, coalesce(place <= {BACKLOG}, false) AS admitted, count(*) AS turns, max(w.arrival) AS last FROM w LEFT JOIN h USING (scope, arrival) GROUP BY 1, 2""",
     "recall_controls": f"""WITH q AS (SELECT event_id AS id, coalesce(CASE WHEN event_id % 4 <> 0 THEN event_id % 17 * 1000 END, {BUDGET})::INT AS m, CASE WHEN event_id % 3 <> 0 THEN [{_ROLE.format("event_id")}, {_ROLE.format("event_id + 1 + event_id % 4")}] ELSE ['user'] END AS r,
         CASE WHEN event_id % 5 <> 0 THEN [{_SURFACE.format("event_id")}, {_SURFACE.format("event_id + event_id % 3")}] ELSE {_LIST(SURFACES)} END AS s, least(greatest((event_id % 4)::INT, 1), 2) AS h FROM events),
         v AS (SELECT *, m BETWEEN 1 AND {BUDGET} AND len(list_distinct(r)) = len(r) AND NOT list_contains(r, 'owner') AND len(list_distinct(s)) = len(s) AS valid FROM q)
