@@ -114,6 +114,64 @@ def test_language_id_on_held_out_documents(spark, sf, docs, empty):
     assert language_id.identify(empty, model).count() == 0
 
 
+def plain_backoff(texts, sample, max_n=4, smoothing=0.5):
+    """Scores of texts by dicts of counts: a known word's log frequencies, else the mean over its places of the longest known n-gram's."""
+    letters = lambda t: re.sub(r"[^\W\d_]+|.", lambda m: m[0] if m[0][0].isalpha() else " ", (t or "").lower(), flags=re.S).split()
+    langs = sorted({lang for _, lang in sample})
+    words, grams = Counter(), Counter()
+    for t, lang in sample:
+        for w in letters(t):
+            words[w, lang] += 1
+            for n in range(1, max_n + 1):
+                for i in range(len(w) + 3 - n):
+                    grams[f"^{w}$"[i : i + n], lang] += 1
+    known, seen = {w for w, _ in words}, {g for g, _ in grams}
+
+    def logs(counts, of, x):
+        total = {k: sum(c for (y, lang), c in counts.items() if lang == k and of(y)) for k in langs}
+        size = len({y for y, _ in counts if of(y)})
+        return [math.log((counts[x, k] + smoothing) / (total[k] + smoothing * (size + 1))) for k in langs]
+
+    memo, floor = {}, logs(grams, lambda y: True, None)
+
+    def word(w):
+        if w in memo:
+            return memo[w]
+        if w in known:
+            memo[w] = logs(words, lambda y: True, w)
+            return memo[w]
+        m, rows = f"^{w}$", []
+        for i in range(len(m) - 1):
+            g = next((m[i : i + n] for n in range(min(max_n, len(m) - i), 0, -1) if m[i : i + n] in seen), None)
+            if i == 0 and (g is None or len(g) == 1):
+                continue  # the start mark counts only with what follows it
+            rows.append(logs(grams, lambda y, n=len(g or ""): len(y) == n, g) if g else floor)
+        memo[w] = [sum(x) / max(len(rows), 1) for x in zip(*rows)] if rows else [0.0] * len(langs)
+        return memo[w]
+
+    out = []
+    for t in texts:
+        total = [sum(x) for x in zip(*map(word, letters(t)))] or [0.0] * len(langs)
+        best = max(range(len(langs)), key=lambda k: (total[k], -k))
+        some = any(c.isalpha() for c in t or "")
+        out.append((langs[best] if some else "und", 1 / sum(math.exp(x - total[best]) for x in total) if some else 0.0))
+    return out
+
+
+def test_language_scores_equal_plain_backoff(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").select("text", "lang").collect()
+    sample = [(r.text, r.lang) for r in docs[:80] if r.text and r.lang and len(r.text) < 1500]
+    asked = [(r.text or "")[:300] for r in docs[80:]] + ["", None, "12 ?", "Ünder straße", "x", "word " * 30_000]
+    model = language_id.fit(spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate(sample)], "doc_id long, text string, lang string"))
+    got = language_id.identify(spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string"), model).orderBy("doc_id").collect()
+    for r, (lang, score) in zip(got, plain_backoff(asked, sample)):
+        assert abs(r.score - score) < 1e-4 and (r.lang_pred == lang or abs(score - 0.5) < 1e-3), (asked[r.doc_id], r, lang, score)
+    # Equal counts in two languages are a tie, which the first in order wins.
+    tie = language_id.fit(spark.createDataFrame([(1, "same words", "b"), (2, "same words", "a")], "doc_id long, text string, lang string"))
+    row = language_id.identify(spark.createDataFrame([(1, "same unseen"), (1, "same unseen")], "doc_id long, text string"), tie).collect()
+    assert [(r.lang_pred, r.score) for r in row] == [("a", 0.5)] * 2
+
+
 def test_quality_counts_equal_brute_force(spark, rows, docs, empty):
     def base(t):
         t = t or ""
