@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from factloom.plans import citation_queries, erasure_queries, graph_queries, ops_queries, recall_queries, replay_queries, semantic_queries, store_queries, write_queries
+from factloom.plans import citation_queries, erasure_queries, graph_queries, ops_queries, recall_queries, replay_queries, report_queries, semantic_queries, store_queries, write_queries
 
-_PARTS = [recall_queries, write_queries, ops_queries, graph_queries, store_queries, citation_queries, erasure_queries, replay_queries, semantic_queries]
+_PARTS = [recall_queries, write_queries, ops_queries, graph_queries, store_queries, citation_queries, erasure_queries, replay_queries, semantic_queries, report_queries]
 
 QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 ORACLES = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}

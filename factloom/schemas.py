@@ -18,6 +18,8 @@ BUDGET_CHARACTERS = 16_000
 BUDGET_ROWS = 200
 SURFACE_BYTES = 2000
 REPORT_SURFACE_BYTES = 8000
+REPORT_INPUT_BYTES = 1_048_576
+REPORT_BUDGET = 12_000
 COMMUNITY_RESOLUTION = 0.05
 COMMUNITY_SIZE = 24
 FINER_FACTORS = (2, 4, 8, 16)
