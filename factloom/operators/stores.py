@@ -1,4 +1,4 @@
-"""Stores beside the facts: artifacts, subjects, feedback, vocabulary requests, backlog, controls, generations, and what they must keep to."""
+"""Stores beside the facts: subjects, feedback, vocabulary requests, backlog, controls, generations, and what they must keep to."""
 
 from __future__ import annotations
 
@@ -16,18 +16,6 @@ def segment_key(digest: Column, ordinal: Column, role: Column, subject: Column)
     return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12))
 
 
-def latest_artifacts(puts: DataFrame) -> DataFrame:
-    """`owner, name, kind, version, bytes` after all writes: a write that expects another version than the last changes nothing, and writes
-    come in order of `version`, so the largest stands."""
-    best = F.max(F.struct("version", "kind", "bytes"))
-    return puts.groupBy("owner", "name").agg(best.alias("x"), F.count("*").alias("writes")).select("owner", "name", "x.*", "writes")
-
-
-def over_quota(artifacts: DataFrame, most_bytes: int) -> DataFrame:
-    """Owners whose artifacts take more than they may."""
-    return artifacts.groupBy("owner").agg(F.count("*").alias("artifacts"), F.sum("bytes").alias("bytes")).withColumn("over", F.col("bytes") > most_bytes)
-
-
 def live(subjects: DataFrame, sources: DataFrame) -> DataFrame:
     """Registered subjects that some source still names."""
     return subjects.join(sources.select("data_subject_id").where("data_subject_id is not null"), "data_subject_id", "left_semi")

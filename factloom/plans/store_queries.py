@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.text import segmented
-from factloom.operators import stores
-from factloom.schemas import BACKLOG, BACKLOG_PER_PROJECT, ROLES, SEGMENT_BYTES, SEGMENT_NAMESPACE, SURFACES
+from factloom.operators import artifacts, stores
+from factloom.plans.session import stored
+from factloom.schemas import ARTIFACT_BYTES, BACKLOG, BACKLOG_PER_PROJECT, ROLES, SEGMENT_BYTES, SEGMENT_NAMESPACE, SURFACES
 from factloom.sources import adapters as a
 from factloom.sources.adapters import with_shapes
 
-QUOTA, BUDGET = 60_000, 16_000
+BUDGET = 16_000
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,20 +34,54 @@ def segment_key_clashes(spark, sf_dir):
     return keyed.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").agg(F.count("*").alias("keys"), F.coalesce(F.sum("n"), F.lit(0)).alias("segments"))
 
 
-def _artifacts(spark, sf_dir):
-    docs = _documents(spark, sf_dir)
-    puts = docs.select(F.col("source").alias("owner"), F.concat_ws("/", "lang", (F.col("doc_id") % 97).cast("string")).alias("name"), F.col("doc_id").alias("version"), F.when(F.col("doc_id") % 2 == 0, "state").otherwise("file").alias("kind"), F.octet_length("text").alias("bytes"))
-    return stores.latest_artifacts(puts.where("owner is not null"))
+def _artifact_log(spark, sf_dir):
+    """Puts of documents: most expect the version before, some an earlier one, none or another's; some are sent twice, some artifacts deleted."""
+    d, content, h = F.col("doc_id"), F.encode(F.coalesce("text", F.lit("")), "UTF-8"), F.md5(F.concat_ws(":", "source", "name"))
+    docs = a.table(spark, sf_dir, "documents").where("source is not null").withColumn("name", F.concat_ws("/", "lang", (d % 7).cast("string")))
+    part = lambda i, n: F.substring(h, i, n)
+    docs = docs.select(
+        d.alias("d"), F.col("source").alias("scope"), (d * 10).alias("seq"), F.lit("put").alias("op"), F.concat_ws("-", part(1, 8), part(9, 4), part(13, 4), part(17, 4), part(21, 12)).alias("id"), F.when(d % 37 == 0, "other").otherwise(F.col("source")).alias("subject"),
+        F.when(d % 31 == 0, "file").otherwise("state").alias("kind"), "name", content.alias("content"),
+    )
+    d, digest = F.col("d"), artifacts.request_digest(F.col("subject"), F.col("kind"), F.col("name"), F.col("content"))
+    docs = docs.withColumns({"bytes": F.octet_length("content").cast("long"), "digest": digest}).drop("content")
+    order = Window.partitionBy("scope", "name").orderBy("d")
+    last = lambda n: F.lag("seq", n).over(order)
+    puts = docs.withColumn("expected", F.when(d % 11 == 0, last(2)).when(d % 7 != 0, last(1))).withColumn("artifact_id", F.when(d % 41 != 0, F.col("id")).otherwise("none"))
+    puts = puts.select("scope", "seq", "op", "artifact_id", "subject", "kind", "name", "bytes", "digest", "expected", "d")
+    twice = puts.where("d % 13 = 0").withColumn("seq", F.col("seq") + 1)
+    gone = puts.where("d % 29 = 0").withColumns({"op": F.lit("delete"), "expected": F.col("seq"), "seq": F.col("seq") + 2})
+    return puts.unionByName(twice).unionByName(gone).drop("d").withColumn("at", F.timestamp_seconds(F.lit(1_700_000_000)))
+
+
+def _replayed_artifacts(spark, sf_dir, most_bytes=1 << 40, most_objects=100_000):
+    log = _artifact_log(spark, sf_dir)
+    policies = log.select("scope").distinct().where("scope <> 'src3'").select("scope", *[F.lit(v).cast("long").alias(c) for c, v in (("max_object_bytes", ARTIFACT_BYTES), ("max_bytes", most_bytes), ("max_objects", most_objects))], F.lit(720).alias("max_age_hours"))
+    return *artifacts.replay(log, policies, lambda d: stored(d, "artifacts")), policies
+
+
+def artifact_outcomes(spark, sf_dir):
+    """What became of each put and delete."""
+    return _replayed_artifacts(spark, sf_dir)[0]
 
 
 def artifact_quota(spark, sf_dir):
-    return stores.over_quota(_artifacts(spark, sf_dir), QUOTA)
+    """What each project holds after the log."""
+    _, standing, policies = _replayed_artifacts(spark, sf_dir)
+    return artifacts.usage(standing, policies).select("scope", "objects", "used")
+
+
+def artifact_capacity(spark, sf_dir):
+    """The same log where a project holds 5 artifacts and 16 KB at most: how many commands each outcome had, and what is held."""
+    said, standing, policies = _replayed_artifacts(spark, sf_dir, 16_384, 5)
+    counts = said.groupBy("scope").pivot("outcome", ["created", "replaced", "deleted", "replayed", "conflict", "not_found", "capacity", "invalid", "no_such_project"]).count()
+    return counts.join(artifacts.usage(standing, policies), "scope", "left")
 
 
 def artifact_page(spark, sf_dir):
-    """A page of one kind under a prefix, after a cursor."""
-    rows = _artifacts(spark, sf_dir).where((F.col("kind") == "file") & F.col("name").startswith("en/") & (F.struct("name", "owner") > F.struct(F.lit("en/1"), F.lit(""))))
-    return rows.orderBy("name", "owner").limit(25).select("owner", "name", "version", "bytes", "writes")
+    """A page of one project's state under a prefix, after a cursor."""
+    rows = artifacts.page(_replayed_artifacts(spark, sf_dir)[1], "src1", "state", "e", "20000000-0000-0000-0000-000000000000", 25)
+    return rows.select("artifact_id", "name", "version", "bytes")
 
 
 def live_subjects(spark, sf_dir):
@@ -140,13 +175,26 @@ def generation_readiness(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    segment_keys, segment_key_clashes, artifact_quota, artifact_page, live_subjects, open_feedback, promoted_feedback, vocabulary_requests, project_names, shrinking_projects, backlog_admission, recall_controls,
+    segment_keys, segment_key_clashes, artifact_outcomes, artifact_quota, artifact_capacity, artifact_page, live_subjects, open_feedback, promoted_feedback, vocabulary_requests, project_names, shrinking_projects, backlog_admission, recall_controls,
     scopes_owing_reports, rewritten_ledger, embedding_catch_up, generation_readiness,
 )}
 
-_ARTIFACTS = """
-puts AS (SELECT source AS owner, lang || '/' || (doc_id % 97) AS name, doc_id AS version, CASE WHEN doc_id % 2 = 0 THEN 'state' ELSE 'file' END AS kind, strlen(coalesce(text, '')) AS bytes FROM documents WHERE source IS NOT NULL),
-arts AS (SELECT owner, name, max(version) AS version, arg_max(kind, version) AS kind, arg_max(bytes, version) AS bytes, count(*) AS writes FROM puts GROUP BY 1, 2)"""
+_ARTIFACTS = """RECURSIVE
+named AS (SELECT *, lang || '/' || (doc_id % 7) AS name FROM documents WHERE source IS NOT NULL),
+base AS (SELECT source AS scope, doc_id AS d, doc_id * 10 AS seq, name, 'put' AS op, coalesce(text, '') AS body, CASE WHEN doc_id % 31 = 0 THEN 'file' ELSE 'state' END AS kind, CASE WHEN doc_id % 37 = 0 THEN 'other' ELSE source END AS subject,
+  CASE WHEN doc_id % 11 = 0 THEN lag(doc_id, 2) OVER w * 10 WHEN doc_id % 7 <> 0 THEN lag(doc_id) OVER w * 10 END AS expected, md5(source || ':' || name) AS h FROM named WINDOW w AS (PARTITION BY source, name ORDER BY doc_id)),
+log AS (SELECT * FROM base UNION ALL SELECT * REPLACE (seq + 1 AS seq) FROM base WHERE d % 13 = 0 UNION ALL SELECT * REPLACE (seq + 2 AS seq, 'delete' AS op, seq AS expected) FROM base WHERE d % 29 = 0),
+known AS (SELECT *, h[1:8] || '-' || h[9:12] || '-' || h[13:16] || '-' || h[17:20] || '-' || h[21:32] AS id, strlen(body) AS bytes FROM log),
+tried AS (SELECT *, sha256(subject || '|' || kind || '|' || name || '|' || body) AS digest, row_number() OVER (PARTITION BY scope, id ORDER BY seq) AS nth FROM known WHERE scope <> 'src3' AND d % 41 <> 0 AND (bytes <= 524288 OR op = 'delete')),
+step AS (SELECT scope, id, 0::BIGINT AS nth, (-1)::BIGINT AS seq, '' AS outcome, false AS used, NULL::BIGINT AS version, NULL::BIGINT AS previous, NULL::VARCHAR AS digest, NULL::VARCHAR AS first, NULL::VARCHAR AS subject, NULL::VARCHAR AS kind, NULL::VARCHAR AS name, NULL::BIGINT AS bytes FROM tried WHERE nth = 1
+  UNION ALL SELECT scope, id, nth, seq, outcome, used OR outcome = 'created', CASE WHEN wrote THEN seq WHEN outcome <> 'deleted' THEN version END, CASE WHEN wrote THEN version ELSE previous END, CASE WHEN wrote THEN new.digest ELSE old_digest END,
+    CASE WHEN outcome = 'created' THEN new.digest ELSE first END, CASE WHEN wrote THEN new.subject ELSE old_subject END, CASE WHEN wrote THEN new.kind ELSE old_kind END, CASE WHEN wrote THEN new.name ELSE old_name END, CASE WHEN wrote THEN new.bytes ELSE old_bytes END
+  FROM (SELECT *, outcome IN ('created', 'replaced') AS wrote FROM (SELECT t.scope, t.id, t.nth, t.seq, t AS new, s.used, s.version, s.previous, s.first, s.digest AS old_digest, s.subject AS old_subject, s.kind AS old_kind, s.name AS old_name, s.bytes AS old_bytes,
+    CASE WHEN t.op = 'delete' THEN CASE WHEN s.version IS NULL OR s.subject <> t.subject THEN 'not_found' WHEN s.version <> t.expected THEN 'conflict' ELSE 'deleted' END
+    WHEN s.version IS NULL THEN CASE WHEN t.expected IS NOT NULL THEN 'not_found' WHEN s.used THEN 'conflict' ELSE 'created' END WHEN s.subject <> t.subject OR s.kind <> t.kind THEN 'conflict'
+    WHEN t.expected IS NULL THEN CASE WHEN s.first = t.digest THEN 'replayed' ELSE 'conflict' END WHEN s.version = t.expected THEN 'replaced' WHEN s.previous = t.expected AND s.digest = t.digest THEN 'replayed' ELSE 'conflict' END AS outcome
+    FROM step s JOIN tried t ON t.scope = s.scope AND t.id = s.id AND t.nth = s.nth + 1))),
+arts AS (SELECT scope, id, arg_max(v, nth).version AS version, arg_max(v, nth).kind AS kind, arg_max(v, nth).name AS name, arg_max(v, nth).bytes AS bytes FROM (SELECT scope, id, nth, {'version': version, 'kind': kind, 'name': name, 'bytes': bytes} AS v FROM step) GROUP BY 1, 2 HAVING arg_max(v, nth).version IS NOT NULL)"""
 _FEEDBACK = """
 feedback AS (SELECT event_id AS feedback_id, 'lives_in:c:' || c_custkey || ':n:' || c_nationkey AS fact_id, CASE WHEN event_id % 3 = 0 THEN 'n:' || (event_id % 25) END AS proposed FROM events JOIN customer ON user_id = c_custkey WHERE event_type <> 'error')"""
 _VECTORS = """
@@ -158,8 +206,9 @@ _LIST = lambda x: "['" + "', '".join(x) + "']"
 ORACLES = {
     "segment_keys": f"""WITH h AS (SELECT doc_id, sha256(unhex('{SEGMENT_NAMESPACE.replace("-", "")}') || encode(sha256(coalesce(text, '')) || chr(10) || '0' || chr(10) || 'user' || chr(10) || 'u' || (doc_id % 11))) AS h FROM documents WHERE strlen(coalesce(text, '')) <= {SEGMENT_BYTES})
         SELECT doc_id, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || translate(h[17:17], '0123456789abcdef', '89ab89ab89ab89ab') || h[18:20] || '-' || h[21:32] AS segment_key FROM h""",
-    "artifact_quota": f"WITH {_ARTIFACTS} SELECT owner, count(*) AS artifacts, sum(bytes)::BIGINT AS bytes, sum(bytes) > {QUOTA} AS over FROM arts GROUP BY 1",
-    "artifact_page": f"WITH {_ARTIFACTS} SELECT owner, name, version, bytes, writes FROM arts WHERE kind = 'file' AND starts_with(name, 'en/') AND (name, owner) > ('en/1', '') ORDER BY name, owner LIMIT 25",
+    "artifact_outcomes": f"WITH {_ARTIFACTS} SELECT k.scope, k.seq, CASE WHEN d % 41 = 0 THEN 'none' ELSE k.id END AS artifact_id, CASE WHEN d % 41 = 0 OR (k.op = 'put' AND k.bytes > {ARTIFACT_BYTES}) THEN 'invalid' WHEN k.scope = 'src3' THEN 'no_such_project' ELSE outcome END AS outcome FROM known k LEFT JOIN step s ON s.scope = k.scope AND s.seq = k.seq",
+    "artifact_quota": f"WITH {_ARTIFACTS}, p AS (SELECT DISTINCT source AS scope FROM named WHERE source <> 'src3') SELECT p.scope, count(id) AS objects, coalesce(sum(bytes), 0)::BIGINT AS used FROM p LEFT JOIN arts ON arts.scope = p.scope GROUP BY 1",
+    "artifact_page": f"WITH {_ARTIFACTS} SELECT id AS artifact_id, name, version, bytes FROM arts WHERE scope = 'src1' AND kind = 'state' AND starts_with(name, 'e') AND id > '20000000-0000-0000-0000-000000000000' ORDER BY id LIMIT 26",
     "live_subjects": with_shapes("lineage", "s AS (SELECT 'u' || (c_custkey % 23) AS data_subject_id, count(*) AS \"references\", min(c_name) AS first FROM customer GROUP BY 1) SELECT * FROM s WHERE data_subject_id IN (SELECT data_subject_id FROM lineage WHERE data_subject_id IS NOT NULL)"),
     "open_feedback": f"WITH {_FEEDBACK} SELECT fact_id, count(*) AS open, count(proposed) AS proposals FROM feedback WHERE feedback_id % 5 <> 0 GROUP BY 1",
     "promoted_feedback": f"WITH {_FEEDBACK}, f AS (SELECT fact_id, min(feedback_id) AS feedback_id FROM feedback GROUP BY 1) SELECT fact_id, feedback_id, proposed, CASE WHEN proposed IS NULL THEN 'retraction' ELSE 'correction' END AS becomes FROM f JOIN feedback USING (fact_id, feedback_id)",

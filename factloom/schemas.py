@@ -20,6 +20,9 @@ SURFACE_BYTES = 2000
 REPORT_SURFACE_BYTES = 8000
 REPORT_INPUT_BYTES = 1_048_576
 REPORT_BUDGET = 12_000
+ARTIFACT_BYTES = 524_288
+ARTIFACT_NAME_BYTES = 256
+ARTIFACT_SUBJECT_BYTES = 1024
 COMMUNITY_RESOLUTION = 0.05
 COMMUNITY_SIZE = 24
 FINER_FACTORS = (2, 4, 8, 16)
@@ -42,6 +45,7 @@ SEGMENT_NAMESPACE = "6f1d8a1e-3b7c-4d2a-9f0e-5c4b3a2d1e0f"
 
 # Closed sets.
 SURFACES = ["facts", "reports", "passages"]
+ARTIFACT_KINDS = ["state", "file"]
 ROLES = ["user", "assistant", "tool", "system"]
 ENTITY_TYPES = ["person", "organisation", "place", "thing", "event", "concept"]
 CARDINALITY_ONE = ["has_name", "has_role", "lives_in", "born_in", "has_timezone", "instance_of", "located_in", "occurred_on", "scheduled_for", "due_on", "has_status"]
