@@ -9,13 +9,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.text import segmented
-from factloom.operators import community, compaction, vectors
+from factloom.operators import community, compaction, generations, vectors
 from factloom.plans.recall_queries import VERSIONS_SQL
 from factloom.plans.session import shared_dir, stored
 from factloom.schemas import VERBATIM
 from factloom.sources import adapters as a
 from factloom.sources.adapters import with_shapes
 from factloom.streaming import formation as streams
+from factloom.streaming import reads
 
 SIZE, K = 64, 10
 
@@ -83,6 +84,38 @@ def embedded_messages(spark, sf_dir):
     return rows.select("source_id", "ordinal", "digest", F.element_at("embedding", 1).cast("int").alias("a"), F.element_at("embedding", 5).cast("int").alias("e"))
 
 
+def _logged(spark, sf_dir):
+    return a.messages(spark, sf_dir).select("scope", "source_id", "ordinal", "content", F.col("conv_id").alias("log_offset"))
+
+
+def _started(spark, sf_dir):
+    """Each project asks for three generations, for the first again, and for the second again with another model."""
+    m = _logged(spark, sf_dir)
+    asked = m.select("scope").distinct().selectExpr("scope", "posexplode(split('a m1,b m2,c m1,a m1,b m3', ',')) as (place, ask)")
+    asked = asked.selectExpr("scope", "place + 1L as seq", "split_part(ask, ' ', 1) as operation_key", "split_part(ask, ' ', 2) as model")
+    return generations.start(spark.createDataFrame([], generations.BUILDS), asked, m)
+
+
+def generation_starts(spark, sf_dir):
+    return _started(spark, sf_dir)[0]
+
+
+def generation_activation(spark, sf_dir):
+    """Two generations of each project built while messages are edited and erased; the first is built again from what it lacks, and both are
+    asked to be active."""
+    base = f"{shared_dir(spark)}/generations-{uuid.uuid4().hex}"
+    then, builds = _logged(spark, sf_dir), stored(_started(spark, sf_dir)[1], "builds")
+    k = F.col("log_offset")
+    now = then.where(k % 17 != 3).withColumn("content", F.when(k % 13 == 5, F.concat("content", F.lit("!"))).otherwise(F.col("content")))
+    none = spark.createDataFrame([], "generation_id string, scope string, source_id string, ordinal int, digest string, embedding array<float>")
+    generations.write(generations.commit(generations.build(then, none, builds, _stub, 8), now), base)
+    first = builds.where("operation_key = 'a'")
+    generations.write(generations.commit(generations.build(now, spark.read.parquet(base), first, _stub, 8), now), base)
+    vectors, ready = spark.read.parquet(base), builds.withColumn("state", F.lit("ready"))
+    said, _ = generations.activate(ready, spark.createDataFrame([], "scope string, generation_id string"), builds.select("scope", "generation_id"), now, vectors)
+    return said.join(vectors.groupBy("generation_id").agg(F.count("*").alias("vectors")), "generation_id", "left")
+
+
 def surface_texts(spark, sf_dir):
     """What the vectors of nations are made of: name, aliases, quotes, within 60 bytes."""
     entities = a.entities(spark, sf_dir).where("entity_type = 'place'").select("entity_id", "canonical_name", F.array(F.lower("canonical_name"), F.upper("canonical_name")).alias("aliases"))
@@ -214,14 +247,38 @@ def streamed_claims(spark, sf_dir):
     return spark.read.parquet(f"{base}/store").groupBy("object_value").agg(F.count("*").alias("facts"), F.count_distinct("subject_id").alias("subjects"))
 
 
+def _reads(spark, sf_dir):
+    return a.audit(spark, sf_dir).select("entry_id", "principal", "project", "occurred_at")
+
+
+def coalesced_reads(spark, sf_dir):
+    """Entries of each caller in a project counted in days that begin with an entry."""
+    return reads.counted(_reads(spark, sf_dir), 86_400)
+
+
+def streamed_reads(spark, sf_dir):
+    """The same from a stream that is stopped and started twice; a tenth of the entries come a day late. Windows that the last watermark, two
+    days before the last entry, has passed."""
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    rows = _reads(spark, sf_dir)
+    came = F.col("occurred_at") + F.when(F.col("entry_id") % 10 == 0, F.expr("interval 1 day")).otherwise(F.expr("interval 0 day"))
+    part = F.when(came < F.lit("2024-01-11").cast("timestamp"), 0).when(came < F.lit("2024-01-21").cast("timestamp"), 1).otherwise(2)
+    for n in range(3):
+        rows.where(part == n).write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{base}/in")
+        out = reads.streamed(stream, 86_400, "2 days").writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint")
+        out.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(reads.COUNTED).parquet(f"{base}/out")
+
+
 def event_windows(spark, sf_dir):
     """Fixed six-hour windows of the ledger."""
     return streams.windowed_activity(a.audit(spark, sf_dir), 360)
 
 
 QUERIES = {f.__name__: f for f in (
-    vector_faults, vector_topk, vector_topk_generation, vector_candidates, cosine_pairs, stale_vectors, embedding_page, embedded_messages, surface_texts, graph_edges, graph_components, community_hierarchy, community_quality,
-    report_material, stale_reports, rollup_plan, rollup_levels, rollup_after_erasure, assembled_context, segment_lineage, long_histories, document_segments, documents_by_label, streamed_claims, event_windows,
+    vector_faults, vector_topk, vector_topk_generation, vector_candidates, cosine_pairs, stale_vectors, embedding_page, embedded_messages, generation_starts, generation_activation, surface_texts, graph_edges, graph_components, community_hierarchy, community_quality,
+    report_material, stale_reports, rollup_plan, rollup_levels, rollup_after_erasure, assembled_context, segment_lineage, long_histories, document_segments, documents_by_label, streamed_claims, coalesced_reads, streamed_reads, event_windows,
 )}
 
 _COS = "list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[])"
@@ -234,7 +291,16 @@ _STEPS = 16
 _LABELS = "e AS (SELECT DISTINCT subject_id AS x, object_id AS y FROM facts UNION SELECT object_id, subject_id FROM facts), l0 AS (SELECT x AS node, min(least(x, y)) AS c FROM e GROUP BY 1)" + "".join(
     f", l{i} AS (SELECT x AS node, min(least(n.c, o.c)) AS c FROM e JOIN l{i - 1} n ON n.node = y JOIN l{i - 1} o ON o.node = x GROUP BY 1)" for i in range(1, _STEPS + 1)
 )
+_READS = """WITH RECURSIVE t AS (SELECT 'u' || user_id AS principal, 'p' || (user_id % 4) AS project, epoch_us(ts) AS us FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+    w AS (SELECT principal, project, min(us) AS start FROM t GROUP BY 1, 2 UNION ALL SELECT w.principal, w.project, min(t.us) FROM w JOIN t ON t.principal = w.principal AND t.project = w.project AND t.us >= w.start + 86400000000 GROUP BY 1, 2),
+    c AS (SELECT w.principal, w.project, w.start, count(*) - 1 AS further FROM w JOIN t ON t.principal = w.principal AND t.project = w.project AND t.us >= w.start AND t.us < w.start + 86400000000 GROUP BY 1, 2, 3 HAVING count(*) > 1)
+    SELECT principal, project, start, further FROM c"""
 ORACLES = {
+    "generation_starts": "SELECT scope, seq::BIGINT AS seq, operation_key, outcome FROM (SELECT DISTINCT 'p' || (conv_id % 3) AS scope FROM conversations), (VALUES (1, 'a', 'started'), (2, 'b', 'started'), (3, 'c', 'capacity'), (4, 'a', 'replayed'), (5, 'b', 'conflict')) v(seq, operation_key, outcome)",
+    "generation_activation": """WITH m AS (SELECT 'p' || (conv_id % 3) AS scope, conv_id % 13 = 5 AS edited FROM conversations WHERE conv_id % 17 <> 3), n AS (SELECT scope, count(*) AS n, count(*) FILTER (edited) AS edited FROM m GROUP BY 1)
+        SELECT scope, scope || '-a' AS generation_id, 0::BIGINT AS lacking, 'activated' AS outcome, n AS vectors FROM n UNION ALL SELECT scope, scope || '-b', edited, CASE WHEN edited > 0 THEN 'incomplete' ELSE 'activated' END, n - edited FROM n""",
+    "coalesced_reads": _READS,
+    "streamed_reads": f"{_READS} WHERE ceil((start + 86400000000) / 1000) < (SELECT max(us) // 1000 - 2 * 86400000 FROM t)",
     "vector_faults": with_shapes("vectors", "SELECT generation_id, CASE WHEN len(embedding) <> (SELECT max(len(embedding)) FROM vectors) THEN 'size' ELSE 'none' END AS fault, count(*) AS vectors FROM vectors GROUP BY 1, 2"),
     "vector_topk": with_shapes("vectors", f"s AS (SELECT q.item_id AS query_id, v.item_id, {_COS} AS c FROM vectors q, vectors v WHERE q.item_id % 100 = 0) SELECT query_id, item_id, round(c, 6) AS similarity, row_number() OVER (PARTITION BY query_id ORDER BY round(c, 9) DESC, item_id)::INT AS place FROM s QUALIFY place <= {K}"),
     "vector_topk_generation": with_shapes("vectors", f"s AS (SELECT q.item_id AS query_id, v.item_id, {_COS} AS c FROM vectors q, vectors v WHERE q.item_id % 100 = 0 AND v.generation_id = 'g1') SELECT query_id, item_id, round(c, 6) AS similarity FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(c, 9) DESC, item_id) <= 3"),

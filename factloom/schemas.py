@@ -20,6 +20,7 @@ SURFACE_BYTES = 2000
 REPORT_SURFACE_BYTES = 8000
 REPORT_INPUT_BYTES = 1_048_576
 REPORT_BUDGET = 12_000
+RETAINED_GENERATIONS = 2
 ARTIFACT_BYTES = 524_288
 ARTIFACT_NAME_BYTES = 256
 ARTIFACT_SUBJECT_BYTES = 1024
