@@ -6,5 +6,14 @@ from factloom.plans import citation_queries, erasure_queries, graph_queries, ops
 
 _PARTS = [recall_queries, write_queries, ops_queries, graph_queries, store_queries, citation_queries, erasure_queries, replay_queries, semantic_queries, report_queries]
 
-QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
-ORACLES = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}
+
+def united(parts: list[dict]) -> dict:
+    """All entries of the parts; a name that two of them use is refused, as one would take the other's place unseen."""
+    names = [name for part in parts for name in part]
+    if twice := {name for name in names if names.count(name) > 1}:
+        raise ValueError(f"registered more than once: {sorted(twice)}")
+    return {name: value for part in parts for name, value in part.items()}
+
+
+QUERIES = united([part.QUERIES for part in _PARTS])
+ORACLES = united([part.ORACLES for part in _PARTS])
