@@ -39,3 +39,21 @@ def test_reads_without_a_time_or_a_caller(spark):
     rows = [("c", "p", START), ("c", "p", None), ("c", "p", START + timedelta(seconds=90)), ("c", "p", None), ("d", "p", None), ("d", "p", None), (None, None, START), (None, None, START + timedelta(seconds=5)), (None, None, None)]
     got = {(r.principal, (r.window_start - START).seconds if r.window_start else None, r.kind, r.magnitude) for r in ledger.coalesce_reads(spark.createDataFrame(rows, READS), 60).collect()}
     assert got == {("c", 0, "first", 1), ("c", 90, "first", 1), ("c", 90, "further", 2), ("d", None, "first", 1), ("d", None, "further", 1), (None, 0, "first", 1)}
+
+
+def histories(folder, turns, extra=0):
+    """Writes conversations of one subject of each scope, so many each and `extra` more in the first; gives the numbers of turns."""
+    ids = [s + 33 * i for s in range(3) for i in range(turns + extra * (s == 0))]
+    values = ", ".join(f"({k}::BIGINT, {t}::BIGINT, 'user', 'x')" for k in ids for t in range(2))
+    duckdb.sql(f"COPY (SELECT * FROM (VALUES {values}) v(conv_id, turn, role, text)) TO '{folder}/conversations.parquet'")
+    return {(f"p{s}", f"u{s}"): turns + extra * (s == 0) for s in range(3)}
+
+
+def test_rollup_plan_closes_gaps_in_all_histories(spark, tmp_path):
+    """Of n turns the newest two stay and the third to the fifth are summarised: the two before them are a gap, the rest are runs of three."""
+    want = set()
+    for key, n in histories(tmp_path, 13, 3).items():
+        want |= {(*key, 0, 1, 2)} | {(*key, at, at + 2, 3) for at in range(5, n - 4, 3)}
+    df = catalog.QUERIES["rollup_plan"](spark, str(tmp_path))
+    assert df.columns == ["scope", "subject", "from_offset", "to_offset", "covered"]
+    assert sorted(map(tuple, df.collect())) == sorted(want)
