@@ -57,3 +57,10 @@ def test_rollup_plan_closes_gaps_in_all_histories(spark, tmp_path):
     df = catalog.QUERIES["rollup_plan"](spark, str(tmp_path))
     assert df.columns == ["scope", "subject", "from_offset", "to_offset", "covered"]
     assert sorted(map(tuple, df.collect())) == sorted(want)
+
+
+def test_long_histories_are_those_of_observations(spark, tmp_path):
+    """Eight turns of two messages are kept as they are; nine are a long history."""
+    want = {(*key, n) for key, n in histories(tmp_path, 8, 1).items() if n > 8}
+    got = catalog.QUERIES["long_histories"](spark, str(tmp_path))
+    assert got.columns == ["scope", "subject", "turns"] and set(map(tuple, got.collect())) == want == {("p0", "u0", 9)}
