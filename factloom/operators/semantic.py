@@ -37,12 +37,12 @@ def of_reader(anchors: DataFrame, kept: DataFrame, semantic: DataFrame, data_sub
     return rows.where(F.col("_meant").isNull() | F.col("_kept")).drop("_kept", "_meant")
 
 
-def report_hits(hits: DataFrame, reports: DataFrame, hierarchy: DataFrame, most: int = REPORTS, children: int = CHILDREN) -> DataFrame:
+def report_hits(hits: DataFrame, reports: DataFrame, hierarchy: DataFrame, most: int = REPORTS, children: int | None = CHILDREN) -> DataFrame:
     """`question_id, place, community, parent, level, similarity, size`: the nearest reports, the best one followed by reports below it.
 
     `hits`: `question_id, community, similarity, place`, of which those without a report are passed over. `reports`: `community, title,
-    summary`. `hierarchy`: `community, parent, level`. Only the first of the `most` nearest brings its children, in the order of their names.
-    A report listed as a child is not listed again."""
+    summary`. `hierarchy`: `community, parent, level`. Only the first of the `most` nearest brings its children, in the order of their names,
+    all of them if `children` is None. A report listed as a child is not listed again."""
     written = reports.select("community", (F.char_length("title") + F.char_length("summary")).alias("size"))
     near = hits.join(written, "community").withColumn("a", F.row_number().over(Window.partitionBy("question_id").orderBy("place", "community")))
     none = {"parent": F.lit(None).cast("string"), "level": F.lit(None).cast("int"), "b": F.lit(0)}
@@ -50,7 +50,9 @@ def report_hits(hits: DataFrame, reports: DataFrame, hierarchy: DataFrame, most:
     best = direct.where("a = 1").select("question_id", F.col("community").alias("parent"))
     below = hierarchy.where("parent is not null").join(best, "parent").join(written, "community")
     order = Window.partitionBy("question_id").orderBy("community")
-    below = below.withColumn("b", F.row_number().over(order)).where(F.col("b") <= children)
+    below = below.withColumn("b", F.row_number().over(order))
+    if children is not None:
+        below = below.where(F.col("b") <= children)
     below = below.select("question_id", "community", "parent", "level", F.lit(None).cast("double").alias("similarity"), "size", F.lit(1).alias("a"), "b")
     rows = direct.unionByName(below)
     first = Window.partitionBy("question_id", "community").orderBy("a", "b")

@@ -1,8 +1,33 @@
 """Recall by meaning on hand-made neighbours: who gets semantic anchors, which reports are listed once, how roles sift, what is told as lacking."""
 
+from pathlib import Path
+
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
+from compare import TABLES, same
 from factloom.operators import semantic as s
+from factloom.plans import semantic_queries as sq
+
+
+@pytest.fixture(scope="module")
+def six_children(sf, tmp_path_factory):
+    """The small tables with a few vectors, of which 422 is nearest to 100 and has six written reports below it."""
+    folder = tmp_path_factory.mktemp("tables")
+    for t in TABLES:
+        (folder / f"{t}.parquet").symlink_to(Path(sf) / f"{t}.parquet")
+    (folder / "embeddings.parquet").unlink()
+    made = {100: [1.0, 0.0, 0.0], 422: [1.0, 0.1, 0.0], 575: [1.0, 0.5, 0.0], 58: [1.0, 1.0, 0.0], 1: [0.0, 1.0, 1.0], 4: [0.0, 0.5, 1.0]}
+    rows = {"vec_id": pa.array(list(made), pa.int64()), "embedding": pa.array(list(made.values()), pa.list_(pa.float32())), "label": pa.array([0] * len(made), pa.int32())}
+    pq.write_table(pa.table(rows), folder / "embeddings.parquet")
+    return str(folder)
+
+
+def test_all_children_of_the_best_report_are_listed_as_in_the_sql(spark, six_children):
+    found = sq.report_hits(spark, six_children)
+    assert found.where("question_id = 'v:100' and parent = 'k:422'").count() == 6
+    same(found, six_children, sq.ORACLES["report_hits"])
 
 
 def test_only_questions_without_a_name_get_anchors(spark):
