@@ -30,6 +30,12 @@ def test_all_children_of_the_best_report_are_listed_as_in_the_sql(spark, six_chi
     same(found, six_children, sq.ORACLES["report_hits"])
 
 
+def test_surfaces_count_all_children_of_the_best_report(spark, six_children):
+    found = sq.recall_surfaces(spark, six_children)
+    assert found.where("question_id = 'v:100' and surface = 1").first()["items"] == 8
+    same(found, six_children, sq.ORACLES["recall_surfaces"])
+
+
 def test_only_questions_without_a_name_get_anchors(spark):
     hits = spark.createDataFrame([("q1", f"e{i}", 0.9 - i / 10, i + 1) for i in range(7)] + [("q2", "e1", 0.5, 1)], "question_id string, entity_id string, similarity double, place int")
     entities = spark.createDataFrame([(f"e{i}", f"E{i}") for i in range(7) if i != 1], "entity_id string, canonical_name string")
