@@ -195,8 +195,9 @@ def unreferenced_entities(spark, sf_dir):
 
 
 def subject_export(spark, sf_dir):
+    """All that a person's sources support, however much it is: rows go on as a table."""
     facts = a.facts(spark, sf_dir).select("fact_id", "predicate", "statement", "source_role")
-    return governance.export_sections(a.lineage(spark, sf_dir), SUBJECT, {"fact": (facts, "fact_id")}, 1_000_000)
+    return governance.export_sections(a.lineage(spark, sf_dir), SUBJECT, {"fact": (facts, "fact_id")}, None)
 
 
 def dangling_lineage(spark, sf_dir):

@@ -6,7 +6,8 @@ import duckdb
 import pytest
 
 from factloom import catalog
-from factloom.operators import ledger
+from factloom.operators import governance, ledger
+from factloom.plans import ops_queries
 
 START = datetime(2024, 1, 1)
 READS = "principal string, project string, occurred_at timestamp"
@@ -64,3 +65,16 @@ def test_long_histories_are_those_of_observations(spark, tmp_path):
     want = {(*key, n) for key, n in histories(tmp_path, 8, 1).items() if n > 8}
     got = catalog.QUERIES["long_histories"](spark, str(tmp_path))
     assert got.columns == ["scope", "subject", "turns"] and set(map(tuple, got.collect())) == want == {("p0", "u0", 9)}
+
+
+def test_an_export_has_no_ceiling(spark, sf, monkeypatch):
+    """More facts than any ceiling are exported; an operator that is given one still refuses."""
+    n = 1_100_000
+    ids = spark.range(n).selectExpr("'f:' || id as fact_id")
+    facts = ids.selectExpr("fact_id", "'said' as predicate", "'s' as statement", "'user' as source_role")
+    lineage = ids.selectExpr(f"'{ops_queries.SUBJECT}' as data_subject_id", "'fact' as projection_kind", "fact_id as projection_id")
+    monkeypatch.setattr(ops_queries.a, "facts", lambda *_: facts)
+    monkeypatch.setattr(ops_queries.a, "lineage", lambda *_: lineage)
+    assert ops_queries.subject_export(spark, sf).count() == n
+    with pytest.raises(ValueError, match="more than 1000 rows"):
+        governance.export_sections(lineage, ops_queries.SUBJECT, {"fact": (facts, "fact_id")}, 1000)
