@@ -1,5 +1,6 @@
 """Queries that do their whole job, against plain Python."""
 
+import itertools
 from datetime import datetime, timedelta
 
 import duckdb
@@ -67,6 +68,17 @@ def test_long_histories_are_those_of_observations(spark, tmp_path):
     assert got.columns == ["scope", "subject", "turns"] and set(map(tuple, got.collect())) == want == {("p0", "u0", 9)}
 
 
+@pytest.mark.parametrize("name", ["recall_reach", "recall_bundle", "recall_co_derived", "recall_explain", "anchors_for_a_person"])
+def test_terms_of_questions_are_not_sent_whole(spark, sf, name):
+    """However small their table is, what is made of it by `explode` never goes through the driver."""
+    lines = catalog.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString().splitlines()
+    depth = lambda x: len(x) - len(x.lstrip(" :+-"))
+    for i, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            below = itertools.takewhile(lambda x: depth(x) > depth(line), lines[i + 1 :])  # noqa: B023
+            assert not [x for x in below if "Generate explode" in x and "AS words" not in x and "term" in x]
+
+
 def test_an_export_has_no_ceiling(spark, sf, monkeypatch):
     """More facts than any ceiling are exported; an operator that is given one still refuses."""
     n = 1_100_000
